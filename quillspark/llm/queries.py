@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, mixing, ngram_join, secrets, spm
+from quillspark.llm import chat, langid, mixing, ngram_join, quality, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("decoded_chars"), same.alias("round_trip"), "ids")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, size=5)
 
@@ -47,7 +51,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op4_ngram_jaccard_join, op6_language_id, op8_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op6_language_id, op8_secret_scan, op10_mix_sources)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
@@ -63,6 +67,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('<s>[INST][/INST]</s>') + length({_ESC.format("role")}) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars,
   false AS rewrites
 FROM rows GROUP BY conv_id""",
+    "op3_quality_rules": quality.rules_sql(),
     "op4_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -86,7 +91,7 @@ lists AS (SELECT source, steps, list(c ORDER BY k) AS cdf FROM cdf GROUP BY sour
 drawn AS (
   SELECT d.doc_id, d.source, l.cdf,
     (CAST('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || j), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM (SELECT *, row_number() OVER () AS at FROM documents) d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.steps + 1)) t(j)),
+  FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.steps + 1)) t(j)),
 counts AS (SELECT doc_id, CAST(sum(len(list_filter(cdf, lambda c: c < u))) AS BIGINT) AS n FROM drawn GROUP BY doc_id)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.i AS INTEGER) AS copy_no
 FROM documents d JOIN (SELECT doc_id, unnest(range(0, n)) AS i FROM counts) c ON d.doc_id = c.doc_id""",
