@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, mixing, ngram_join, quality, secrets, spm
+from quillspark.llm import chat, langid, mixing, ngram_join, quality, repair, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -43,6 +43,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        tokenizer = f.read()
+    return repair.digests(repair.write_ids(table(spark, sf_dir, "documents"), tokenizer))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -51,7 +57,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op6_language_id, op8_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op6_language_id, op7_token_ids, op8_secret_scan, op10_mix_sources)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
