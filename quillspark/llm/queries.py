@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, mixing, ngram_join, quality, repair, secrets, spm
+from quillspark.llm import bm25, chat, langid, licenses, mixing, ngram_join, quality, repair, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -37,6 +37,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, size=5)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.TEMPLATES, least=0.8)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
@@ -53,14 +57,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages whose id is divisible by 20 as queries, against all documents."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.top_k(table(spark, sf_dir, "documents"), asked, k=10)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op6_language_id, op7_token_ids, op8_secret_scan, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op10_mix_sources)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES = {
     "op1_chat_format": f"""
 WITH rows AS (
@@ -85,6 +97,17 @@ links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id""",
+    "op9_bm25_top_k": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*)::DOUBLE AS mean FROM d),
+q AS (SELECT item_id AS query_id, unnest({_WORDS}) AS t FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT query_id, t, count(*) AS w FROM q GROUP BY query_id, t),
+tf AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY rid, doc_id, n, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT query_id, rid, doc_id, round(sum(qt.w * ln(1 + (n.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * ({bm25.K1} + 1)::DOUBLE / (tf + {bm25.K1}::DOUBLE * (1 - {bm25.B}::DOUBLE + {bm25.B}::DOUBLE * tf.n / mean))), 9) AS score
+      FROM tf JOIN qt USING (t) JOIN df USING (t), n GROUP BY query_id, rid, doc_id),
+r AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM s)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""",
     "op10_mix_sources": f"""
 WITH sums AS (SELECT source, CAST(sum(greatest(coalesce(length(text), 0), 1)) AS BIGINT) AS size FROM documents GROUP BY source),
 total AS (SELECT sum(size) AS total, count(*) AS n FROM sums),
