@@ -7,11 +7,14 @@
 2. Two sets at the threshold share a hash among the first size - ceil(threshold * size) + 1 of each, in
    any common order; rare hashes come first. Sets that share such a hash form a group; of groups with
    the same members one is kept.
-3. In a group each set queries an inverted index of the others: short lists are heap-merged, the
-   longest are probed by binary search (DivideSkip), and sets reaching the required overlap are links.
-   Only a link between sets not yet connected is sought, so a group of n near copies yields n - 1 links.
-4. A group of more than BLOCK sets is split into blocks, which share one pivot set; afterwards blocks
-   are compared with each other where they hold different components. No pair is lost.
+3. In a group sets query an inverted index of the others: of the lists of the query's hashes the short
+   ones are merged, the longest are probed by binary search (DivideSkip), and sets reaching the
+   required overlap are links. Only links between sets not yet connected are kept, so a group of n near
+   copies yields n - 1.
+4. First each set is searched in its largest group only. Then all groups are searched that still hold
+   different components and sets that weren't together before. A group of more than BLOCK hashes is
+   split into blocks that share one pivot set, and later into pairs of blocks with different
+   components. No pair is lost: sets of one component need no further link.
 
 Hashes keep 40 bits below the bucket's; equality of two different shingles by chance adds 1 to one
 overlap in about 10 ** 9 pairs of ordinary documents.
@@ -23,10 +26,7 @@ rows has a null id. An empty table gives an empty result. Extra columns are igno
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
 from math import ceil, log2
 
 import numpy as np
@@ -39,7 +39,8 @@ from quillspark.llm.components import components
 from quillspark.llm.shared import written
 from quillspark.llm.words import mix, shingle_sets, text_parts, word_hashes
 
-BLOCK = 256
+#: Hashes of all sets in a block together.
+BLOCK = 500_000
 #: Buckets: at least so many, and one for so many characters of text (a few MB of hashes each).
 LEAST_BUCKETS, BUCKET_CHARS = 64, 24_000_000
 _LOW = np.uint64((1 << 40) - 1)
@@ -134,11 +135,11 @@ def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefixes(percent: int):
-    schema = pa.schema([("key", pa.int64()), ("set", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("set", pa.int64()), ("k", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, sizes = [], [], []
             for s, n, hits, ranks in zip(batch["set"].to_pylist(), batch["n"].to_pylist(), batch["hits"].to_pylist(), batch["ranks"].to_pylist()):
                 hits, ranks = np.frombuffer(b"".join(hits), np.int64), np.frombuffer(b"".join(ranks), np.uint8)
                 most = n - -(-percent * n // 100) + 1 - (n - len(hits))  # hashes of one set alone come first
@@ -146,108 +147,108 @@ def _prefixes(percent: int):
                     first = hits[np.lexsort((hits, ranks))[:most]]
                     keys.append(first)
                     sets.append(np.full(len(first), s))
+                    sizes.append(np.full(len(first), len(hits), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes))], schema=schema)
 
     return rows
 
 
-def divide_skip(index: dict[int, list[int]], query: list[int], least: int, mu: float = 0.01) -> Iterator[tuple[int, int]]:
-    """(number, overlap) of the indexed sets that have at least least keys of query."""
-    lists = sorted((index[k] for k in query if k in index), key=len, reverse=True)
-    if len(lists) < least:
+class Index:
+    """Inverted index of the sets of one block: for each hash the ascending numbers of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        keys = np.concatenate(sets)
+        order = np.argsort(keys, kind="stable")
+        self.n = len(sets)
+        self.who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+        self.keys, self.start = np.unique(keys[order], return_index=True)
+        self.stop = np.append(self.start[1:], len(self.who))
+
+
+def divide_skip(index: Index, query: np.ndarray, least: int, mu: float = 0.01, lists_from: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, overlaps) of the indexed sets that have at least least of query's hashes.
+
+    Lists are taken by length: the short ones are merged, counting how often each set comes up, and only
+    sets with enough of them are looked up in the long ones by binary search. As many lists are long
+    as the least overlap allows (DivideSkip's rule), of those with more than lists_from sets.
+    """
+    at = np.minimum(np.searchsorted(index.keys, query), len(index.keys) - 1)
+    at = at[index.keys[at] == query]
+    if len(at) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    size = index.stop[at] - index.start[at]
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    skip = min(least - 1, int(least / (mu * log2(max(2, int(size[0]))) + 1)), int(np.count_nonzero(size > lists_from)))
+    long, short, sizes = at[:skip], at[skip:], size[skip:]
+    first = np.cumsum(sizes) - sizes
+    merged = index.who[np.arange(int(sizes.sum())) + np.repeat(index.start[short] - first, sizes)]
+    count = np.bincount(merged, minlength=index.n)
+    found = np.flatnonzero(count >= least - skip)
+    overlap = count[found]
+    for left, k in zip(range(skip, 0, -1), long.tolist()):
+        may = overlap + left >= least
+        found, overlap = found[may], overlap[may]
+        x = index.who[index.start[k] : index.stop[k]]
+        where = np.minimum(np.searchsorted(x, found), len(x) - 1)
+        overlap = overlap + (x[where] == found)
+    enough = overlap >= least
+    return found[enough], overlap[enough]
+
+
+def links_within(names: np.ndarray, labels: np.ndarray, components_: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that connect components of one block. Sets of equal labels were compared before; so the most
+    common label's sets are only searched, and the others search."""
+    _, label = np.unique(labels, return_inverse=True)
+    if label.max() == 0:
         return
-    skip = min(least - 1, int(least / (mu * log2(max(2, len(lists[0]))) + 1)))
-    long, short = lists[:skip], lists[skip:]
-    for who, found in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in found)
-        if n >= least - skip:
-            for k, x in enumerate(long):
-                if n + len(long) - k < least:
-                    break
-                at = bisect_left(x, who)
-                n += at < len(x) and x[at] == who
-            if n >= least:
-                yield who, n
-
-
-class _Sets:
-    """Sets of one group, their components, and an inverted index of each component."""
-
-    def __init__(self, percent: int):
-        self.percent, self.parent, self.index, self.members, self.sets = percent, {}, {}, {}, []
-
-    def root(self, c: int) -> int:
-        while self.parent.setdefault(c, c) != c:
-            self.parent[c] = c = self.parent[self.parent[c]]
-        return c
-
-    def joined(self, a: int, b: int) -> int:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return a
-        if len(self.members.get(a, ())) < len(self.members.get(b, ())):
-            a, b = b, a
-        self.parent[b] = a
-        for key, who in self.index.pop(b, {}).items():
-            mine = self.index[a].setdefault(key, [])
-            mine += who
-            mine.sort()
-        self.members.setdefault(a, []).extend(self.members.pop(b, ()))
-        return a
-
-    def enough(self, o: int, n: int, m: int) -> bool:
-        return 100 * o >= self.percent * (n + m - o)
-
-    def add(self, name: int, component: int, n: int, keys: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The links that connect this set to other components of the group."""
-        mine, least, listed = self.root(component), -(-self.percent * n // 100), None
-        for other in list(self.members):
-            other = self.root(other)
-            if other == (mine := self.root(mine)) or other not in self.members:
-                continue
-            link = None
-            if len(self.members[other]) > 3:  # most likely a near copy of the newest member
-                name2, n2, keys2 = self.sets[self.members[other][-1]]
-                if self.enough(len(np.intersect1d(keys, keys2, assume_unique=True)), n, n2):
-                    link = name2
-            if link is None:
-                listed = keys.tolist() if listed is None else listed
-                link = next((self.sets[w][0] for w, o in divide_skip(self.index[other], listed, least) if self.enough(o, n, self.sets[w][1])), None)
-            if link is not None:
-                yield name, link
-                mine = self.joined(mine, other)
-        number = len(self.sets)
-        self.sets.append((name, n, keys))
-        mine = self.root(mine)
-        self.members.setdefault(mine, []).append(number)
-        index = self.index.setdefault(mine, {})
-        for k in keys.tolist():
-            index.setdefault(k, []).append(number)
+    _, c = np.unique(components_, return_inverse=True)
+    usual = np.bincount(label).argmax()
+    index = None
+    for x in np.flatnonzero(label != usual).tolist():
+        other = (c != c[x]) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if not other.any():
+            continue
+        index = index or Index(sets)
+        found, overlap = divide_skip(index, sets[x], -(-percent * int(n[x]) // 100))
+        good = other[found] & (100 * overlap >= percent * (n[x] + n[found] - overlap))
+        for y in found[good].tolist():
+            if c[y] != c[x]:
+                yield int(names[x]), int(names[y])
+                c[c == c[y]] = c[x]
 
 
 def _linker(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        names, labels, comps, n = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+        return list(links_within(names, labels, comps, n, [r[4] for r in rows], percent))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, None, []
+        now, held = None, []
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("g1", "g2", "g3", "set", "component", "n", "hits")]
-            for g1, g2, g3, name, component, n, hits in zip(*columns):
+            out = []
+            columns = [batch[c].to_pylist() for c in ("g1", "g2", "g3", "set", "label", "component", "n", "hits")]
+            for g1, g2, g3, name, label, component, n, hits in zip(*columns):
                 if (g1, g2, g3) != now:
-                    now, group = (g1, g2, g3), _Sets(percent)
-                out += group.add(name, component, n, np.sort(np.frombuffer(b"".join(hits), np.int64)))
+                    out += links(held) if len(held) > 1 else []
+                    now, held = (g1, g2, g3), []
+                held.append((name, label, component, n, np.sort(np.frombuffer(b"".join(hits), np.int64))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
-                out = []
+        out = links(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     return rows
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: (g1, g2, g3, set, component) -> links (a, b) within each (g1, g2, g3)."""
+    """members: (g1, g2, g3, set, label, component) -> links (a, b) within each (g1, g2, g3)."""
     full = members.join(sets.select("set", "n", "hits"), "set")
-    return full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "n", "set").mapInArrow(_linker(percent), "a long, b long")
+    return full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").mapInArrow(_linker(percent), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -264,21 +265,34 @@ def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> Data
     shared = F.aggregate("ranks", F.lit(0), lambda acc, h: acc + F.octet_length(h))
     sets = written(hits.where(shared > 0).join(known.select("set", "n"), "set").where(100 * shared >= percent * F.col("n")), "sets")
 
-    entries = written(sets.mapInArrow(_prefixes(percent), "key long, set long"), "prefixes")
-    groups = entries.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("who"), F.min("set").alias("pivot")).where("c > 1")
-    groups = groups.groupBy("c", "who", "pivot").agg(F.min("key").alias("key"))
-    groups = groups.withColumn("blocks", F.when(F.col("c") <= BLOCK, 1).otherwise(F.ceil(F.col("c") * 1.3 / BLOCK)).cast("int"))
+    entries = written(sets.mapInArrow(_prefixes(percent), "key long, set long, k int"), "prefixes")
+    groups = entries.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("who"), F.min("set").alias("pivot"), F.sum("k").alias("weight")).where("c > 1")
+    groups = groups.groupBy("c", "who", "pivot").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+    # Twice as many blocks as full ones would take, so that none is much too full.
+    groups = groups.withColumn("blocks", F.when(F.col("weight") <= BLOCK, 1).otherwise(F.ceil(F.col("weight") * 2 / BLOCK)).cast("int"))
     groups = written(groups, "groups")
-    members = entries.join(groups, "key")
-    one = members.select(F.col("key").alias("g1"), F.pmod(F.xxhash64("set", "key"), F.col("blocks")).cast("long").alias("g2"), F.lit(0).cast("long").alias("g3"), "set")
-    pivots = groups.where("blocks > 1").select(F.col("key").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("g2"), F.lit(0).cast("long").alias("g3"), F.col("pivot").alias("set"))
-    one = one.unionByName(pivots).distinct().withColumn("component", F.col("set"))
-    links = written(_links(one, sets, percent), "found")
+    members = written(entries.join(groups, "key").select("key", "set", "c", "blocks", "pivot", "k"), "members")
+
+    # Each set in its largest group, in blocks that share a pivot: near copies are connected from here on.
+    zero = F.lit(0).cast("long")
+    own = members.groupBy("set").agg(F.max(F.struct("c", "key", "blocks")).alias("g")).select("set", "g.*")
+    own = own.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("long")).withColumn("label", F.xxhash64("key", "block"))
+    own = written(own, "first")
+    first = own.select(F.col("key").alias("g1"), F.col("block").alias("g2"), zero.alias("g3"), "set")
+    pivots = groups.where("blocks > 1").select(F.col("key").alias("g1"), F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)).alias("g2"), zero.alias("g3"), F.col("pivot").alias("set"))
+    first = first.unionByName(pivots).distinct().withColumn("component", F.col("set")).withColumn("label", F.col("set"))
+    links = written(_links(first, sets, percent), "found")
     roots = written(components(links), "roots")
 
-    large = groups.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_links(_across(members.join(large.select("key"), "key"), roots), sets, percent))
+    # Every group that still holds different components, and sets that were not compared yet.
+    m = members.join(own.select("set", "label"), "set").join(roots.withColumnRenamed("node", "set"), "set", "left")
+    m = m.select("key", "set", "blocks", "k", "label", F.coalesce("root", "set").alias("component"))
+    open_ = m.groupBy("key").agg(*[f(x).alias(f"{name}_{x}") for name, f in (("a", F.min), ("b", F.max)) for x in ("component", "label")])
+    m = written(m.join(open_.where("a_component < b_component AND a_label < b_label").select("key"), "key"), "open")
+    if not m.isEmpty():
+        rest = m.where("blocks = 1").select(F.col("key").alias("g1"), zero.alias("g2"), zero.alias("g3"), "set", "label", "component")
+        rest = rest.unionByName(_across(m.where("blocks > 1").select("key", "set", "k", "label", "component")))
+        links = links.unionByName(written(_links(rest, sets, percent), "found"))
         roots = written(components(links), "roots")
 
     of_root = roots.join(known, roots["node"] == known["set"]).groupBy("root").agg(F.min("least").alias("component_id"))
@@ -288,23 +302,23 @@ def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> Data
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of large groups, dealt to pairs of blocks that hold different components."""
-    m = members.join(roots.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("root", "set").alias("component"))
-    sizes = m.groupBy("key", "component").agg(F.count("*").alias("k"))
-    half = BLOCK // 2
-    small = sizes.where(F.col("k") <= half)
-    bins = small.groupBy("key").agg(F.ceil(F.sum("k") / half).cast("long").alias("bins"))
-    place = sizes.join(bins, "key", "left").withColumn("is_small", F.col("k") <= half)
-    block = F.when(F.col("is_small"), F.pmod(F.xxhash64("component"), F.col("bins"))).otherwise(F.pmod(F.xxhash64("set"), F.ceil(F.col("k") / half).cast("long")))
-    m = written(m.join(place, ["key", "component"]).withColumn("block", F.xxhash64(F.when(~F.col("is_small"), F.col("component")), block)).select("key", "set", "component", "block", F.when(~F.col("is_small"), F.col("component")).alias("alone")), "blocks")
+def _across(m: DataFrame) -> DataFrame:
+    """Members (key, set, k, label, component) of large groups, dealt to pairs of blocks that hold different
+    components. A component of much weight has blocks of its own; small ones share blocks."""
+    sizes = m.groupBy("key", "component").agg(F.sum("k").alias("weight"))
+    half = BLOCK / 2
+    small = sizes.where(F.col("weight") <= half)
+    bins = small.groupBy("key").agg(F.ceil(F.sum("weight") * 2 / half).cast("long").alias("bins"))
+    place = sizes.join(bins, "key", "left").withColumn("is_small", F.col("weight") <= half)
+    block = F.when(F.col("is_small"), F.pmod(F.xxhash64("component"), F.col("bins"))).otherwise(F.pmod(F.xxhash64("set"), F.ceil(F.col("weight") * 2 / half).cast("long")))
+    alone = F.when(~F.col("is_small"), F.col("component"))
+    m = written(m.join(place, ["key", "component"]).withColumn("block", F.xxhash64(alone, block)).select("key", "set", "label", "component", "block", alone.alias("alone")), "blocks")
     blocks = m.select("key", "block", "alone").distinct()
-    left, right = blocks.toDF("key", "g2", "alone2"), blocks.toDF("key", "g3", "alone3")
-    # Blocks of one group, not its members: a group of n sets has about n / 128 of them.
-    pairs = left.join(right, "key").where("g2 <= g3 AND NOT (alone2 <=> alone3 AND alone2 IS NOT NULL)").select("key", "g2", "g3")
-    a = m.join(pairs, (m["key"] == pairs["key"]) & (m["block"] == pairs["g2"])).select(pairs["key"].alias("g1"), "g2", "g3", "set", "component")
-    b = m.join(pairs, (m["key"] == pairs["key"]) & (m["block"] == pairs["g3"])).select(pairs["key"].alias("g1"), "g2", "g3", "set", "component")
-    return a.unionByName(b).distinct()
+    left, right = blocks.toDF("g1", "g2", "alone2"), blocks.toDF("g1", "g3", "alone3")
+    # Blocks of one group, not its members.
+    pairs = written(left.join(right, "g1").where("g2 <= g3 AND NOT (alone2 <=> alone3 AND alone2 IS NOT NULL)").select("g1", "g2", "g3"), "pairs")
+    sides = [m.join(pairs, (m["key"] == pairs["g1"]) & (m["block"] == pairs[g])).select("g1", "g2", "g3", "set", "label", "component") for g in ("g2", "g3")]
+    return sides[0].unionByName(sides[1]).distinct()
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
