@@ -73,11 +73,12 @@ def logistic(train: DataFrame, test: DataFrame, features: list[str], label: str
     from pyspark.ml.functions import vector_to_array
 
     cast = lambda df: df.select("*", *[F.col(f).cast("double").alias(f"_f_{f}") for f in features], F.col(label).cast("double").alias("_y"))
-    train, test = cast(train), cast(test)
+    train, test = cast(train).select("_y", *[f"_f_{f}" for f in features]).persist(), cast(test)
     n = train.count()
     inputs = [f"_f_{f}" for f in features]
-    stages = [Imputer(strategy="median", inputCols=inputs, outputCols=[f"_i_{f}" for f in features]), VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_v"), StandardScaler(withMean=True, inputCol="_v", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200)]
+    stages = [Imputer(strategy="median", inputCols=inputs, outputCols=[f"_i_{f}" for f in features]), VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_v"), StandardScaler(withMean=True, inputCol="_v", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=50)]
     model = Pipeline(stages=stages).fit(train)
+    train.unpersist()
     out = model.transform(test).withColumn("score", vector_to_array("probability")[1])
     spark = train.sparkSession
     coefficients = spark.createDataFrame([(f, float(w)) for f, w in zip(features, model.stages[-1].coefficients)], "feature string, coefficient double")
@@ -93,10 +94,11 @@ def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label:
     from pyspark.ml.functions import vector_to_array
 
     cast = lambda df: df.select("*", *[F.col(f).cast("double").alias(f"_f_{f}") for f in features], F.col(label).cast("double").alias("_y"))
-    train, test = cast(train), cast(test)
+    train, test = cast(train).select("_y", *[f"_f_{f}" for f in features], *([validation] if validation else [])).persist(), cast(test)
     gbt = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=rounds, stepSize=step, maxDepth=depth, seed=42)
     gbt = gbt.setValidationIndicatorCol(validation) if validation else gbt
     model = Pipeline(stages=[Imputer(strategy="median", inputCols=[f"_f_{f}" for f in features], outputCols=[f"_i_{f}" for f in features]), VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_v"), gbt]).fit(train)
+    train.unpersist()
     out = model.transform(test).withColumn("score", vector_to_array("probability")[1])
     importances = train.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.stages[-1].featureImportances.toArray())], "feature string, importance double")
     keep = [x for x in test.columns if not x.startswith("_")]
