@@ -21,6 +21,7 @@ result. An existing column named ids (decode: decoded) is replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,40 +36,52 @@ MOST_MODEL_BYTES = 64 << 20
 MOST_WORDS = 600_000
 
 
-class Segmenter:
+class Decoder:
+    """The pieces of a model, and texts from ids."""
+
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
-        proto = sentencepiece_model_pb2.ModelProto()
+        self.proto = proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
-        kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+        self.kind = kind = sentencepiece_model_pb2.ModelProto.SentencePiece
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.normalizer_spec.add_dummy_prefix:
             raise ValueError("only models with identity normalization and a dummy prefix are supported")
         self.pieces = [p.piece for p in proto.pieces]
-        self.ids = {p.piece: k for k, p in enumerate(proto.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("a piece crosses words")
-        self.score = [p.score for p in proto.pieces]
         self.unknown = next(k for k, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN)
         self.byte = [None] * 256
+        self.bytes_of = [p.encode() for p in self.pieces]
         for k, p in enumerate(proto.pieces):
             if p.type == kind.BYTE:
                 self.byte[int(p.piece[1:-1], 16)] = k
+                self.bytes_of[k] = bytes([int(p.piece[1:-1], 16)])
+        self.bytes_of[self.unknown] = " ⁇ ".encode()
+
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:].replace(MARK, " ") if text.startswith(MARK) else text.replace(MARK, " ")
+
+
+class Segmenter(Decoder):
+    """Ids from texts."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        proto, kind = self.proto, self.kind
+        self.ids = {p.piece: k for k, p in enumerate(proto.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)}
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("a piece crosses words")
+        self.score = [p.score for p in proto.pieces]
         self.unknown_score = min(self.score[k] for k in self.ids.values()) - 10.0
-        self.longest = max(map(len, self.ids))
         self.unigram = proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
         self.merging = dict(self.ids)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}  # of pairs of pieces
         if not self.unigram:  # pieces that merging can't reach never come out
             self.ids = {p: k for p, k in self.ids.items() if self.merged(p) == [p]}
+        self.suffix = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids  # all endings of pieces; -1: no piece itself
         lone = "\n" if not any("\n" in p for p in self.merging) else ""
         self.cut = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
         self.known: dict[str, bytes] = {}
-        self.bytes_of = [p.encode() for p in self.pieces]
-        for b, k in enumerate(self.byte):
-            if k is not None:
-                self.bytes_of[k] = bytes([b])
-        self.bytes_of[self.unknown] = " ⁇ ".encode()
 
     def merged(self, s: str) -> list[str]:
         """BPE of a short string, merge by merge."""
@@ -83,13 +96,11 @@ class Segmenter:
 
     def is_stable(self, a: int, b: int) -> bool:
         """Does merging the two pieces' text give back just these two?"""
-        out = self.stable.get((a, b))
-        if out is None:
-            x, y = self.pieces[a], self.pieces[b]
-            out = self.merged(x + y) == [x, y]
-            if len(self.stable) > 2_000_000:
-                self.stable.clear()
-            self.stable[a, b] = out
+        x, y = self.pieces[a], self.pieces[b]
+        out = self.merged(x + y) == [x, y]
+        if len(self.stable) > 2_000_000:
+            self.stable.clear()
+        self.stable[a << 32 | b] = out
         return out
 
     def spelled(self, c: str) -> list[int]:
@@ -98,35 +109,16 @@ class Segmenter:
         return [self.unknown] if None in out else out
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each of the sorted words; begin, last and best are the forward states along the trie's current path."""
-        ids, score, longest, unigram = self.ids, self.score, self.longest, self.unigram
+        """Ids of each of the sorted words; begin and last (and best) are the forward states along the trie's current path."""
         begin, last, best = [0], [-1], [0.0]  # of a prefix: where its last piece begins, that piece, score
+        forward = self.forward_unigram if self.unigram else self.forward_bpe
         before = ""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del begin[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                at, piece, top = end - 1, -1, 0.0
-                if unigram:
-                    if word[end - 1] not in ids:
-                        top = best[end - 1] + self.unknown_score
-                    else:
-                        top = -float("inf")
-                    for k in range(max(0, end - longest), end):
-                        p = ids.get(word[k:end])
-                        if p is not None and (best[k] + score[p] > top):
-                            at, piece, top = k, p, best[k] + score[p]
-                else:
-                    for k in range(max(0, end - longest), end):
-                        p = ids.get(word[k:end])
-                        if p is not None and (last[k] < 0 or self.is_stable(last[k], p)):
-                            at, piece = k, p
-                            break
-                begin.append(at)
-                last.append(piece)
-                best.append(top)
+            forward(word, shared + 1, begin, last, best)
             out, end = [], len(word)
             while end:
                 if last[end] >= 0:
@@ -135,7 +127,48 @@ class Segmenter:
                     out += self.spelled(word[begin[end] : end])[::-1]
                 end = begin[end]
             before = word
-            yield word, np.array(out[::-1], "<u4").tobytes()
+            out.reverse()
+            yield word, array("I", out).tobytes()
+
+    def forward_bpe(self, word: str, first: int, begin: list[int], last: list[int], best: list[float]) -> None:
+        """The one stable last piece of each prefix from length first on: endings are tried from the shortest, until no piece ends so."""
+        suffix, stable = self.suffix.get, self.stable.get
+        for end in range(first, len(word) + 1):
+            at, piece, k = end - 1, -1, end - 1
+            while k >= 0:
+                p = suffix(word[k:end])
+                if p is None:
+                    break
+                if p >= 0:
+                    left = last[k]
+                    if left >= 0:
+                        ok = stable(left << 32 | p)
+                        if ok is None:
+                            ok = self.is_stable(left, p)
+                    else:
+                        ok = True
+                    if ok:
+                        at, piece = k, p
+                        break
+                k -= 1
+            begin.append(at)
+            last.append(piece)
+
+    def forward_unigram(self, word: str, first: int, begin: list[int], last: list[int], best: list[float]) -> None:
+        """The best score of each prefix from length first on, and its last piece."""
+        ids, suffix, score = self.ids, self.suffix, self.score
+        for end in range(first, len(word) + 1):
+            at, piece = end - 1, -1
+            top = -float("inf") if word[end - 1] in ids else best[end - 1] + self.unknown_score
+            for k in range(end - 1, -1, -1):
+                p = suffix.get(word[k:end])
+                if p is None:
+                    break
+                if p >= 0 and best[k] + score[p] >= top:
+                    at, piece, top = k, p, best[k] + score[p]
+            begin.append(at)
+            last.append(piece)
+            best.append(top)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -150,16 +183,17 @@ class Segmenter:
         known.update(self.encode_words(sorted(new)))
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:].replace(MARK, " ") if text.startswith(MARK) else text.replace(MARK, " ")
-
 
 @lru_cache(2)
 def _segmenter(model: bytes) -> Segmenter:
     return Segmenter(model)
 
 
+@lru_cache(2)
+def _decoder(model: bytes) -> Decoder:
+    return Decoder(model)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         model = f.read()
@@ -190,13 +224,13 @@ def decode(coded: DataFrame, model: bytes) -> DataFrame:
     coded = coded.drop("decoded")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = _segmenter(model)
+        decoder = _decoder(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = part["ids"]
                 flat, bounds = ids.flatten().to_pylist(), np.cumsum([0] + [n or 0 for n in ids.value_lengths().to_pylist()]).tolist()
-                texts = [segmenter.decode(flat[b:e]) for b, e in zip(bounds, bounds[1:])]
+                texts = [decoder.decode(flat[b:e]) for b, e in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(rows, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
