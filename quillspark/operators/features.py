@@ -128,3 +128,39 @@ def safe_features(df: DataFrame, features: list[str], exact: tuple[str, ...] = L
 def numeric_features(df: DataFrame, exact: tuple[str, ...] = LEAKING, patterns: tuple[str, ...] = ("label", "target_hours", "_rel_to_")) -> list[str]:
     ok = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
     return [c for c, t in df.dtypes if t in ok and c not in exact and not any(p in c for p in patterns)]
+
+
+def retrieved_prompts(samples: DataFrame, embeddings: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """input_text of each sample: its retrieved liked and disliked items as '- similarity=0.1234: [app_id=7] text', or a fixed line for none."""
+    told = F.concat(F.lit("[app_id="), F.col("app_id").cast("string"), F.lit("] "), F.coalesce("game_title", F.lit("unknown item")))
+    r = retrieved(samples, embeddings, k).join(items.select("app_id", "game_title"), "app_id", "left")
+    r = r.withColumn("line", F.concat(F.lit("- similarity="), F.format_string("%.4f", "sim"), F.lit(": "), told))
+    side = lambda want: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == want, F.struct("place", "line")))), lambda x: x["line"]), "\n")  # noqa: E731  k lines at most
+    g = r.groupBy("user_id").agg(side(True).alias("l"), side(False).alias("d"))
+    none = lambda c, text_: F.when(F.coalesce(F.col(c), F.lit("")) == "", text_).otherwise(F.col(c))
+    out = samples.select("user_id").join(g, "user_id", "left")
+    return out.select("user_id", F.concat_ws("\n", F.lit("Similar liked items:"), none("l", "No similar liked items found."), F.lit("Similar disliked items:"), none("d", "No similar disliked items found.")).alias("input_text"))
+
+
+def shortest(samples: DataFrame, text_column: str, label: str, key: str, n: int) -> DataFrame:
+    """The n shortest texts of each label."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.length(text_column), key))
+    return samples.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def user_text(instruction, input_, prompt, messages):
+    """instruction and input, else the prompt, else the user's messages (array of role and content)."""
+    said = F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n")
+    both = F.when(instruction.isNotNull() | input_.isNotNull(), F.concat_ws("\n\n", instruction, input_))
+    return F.coalesce(both, prompt, said)
+
+
+def known_coverage(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: samples, those whose target is in events, and those with a liked or a disliked history item in it."""
+    known = events.select("app_id").distinct().withColumn("known", F.lit(True))
+    h = samples.select("user_id", F.explode_outer("history").alias("h")).select("user_id", F.col("h.app_id").alias("app_id"), F.col("h.label").alias("label")).join(known, "app_id", "left")
+    g = h.groupBy("user_id").agg(F.max(F.coalesce(F.col("known") & F.col("label"), F.lit(False))).alias("liked"), F.max(F.coalesce(F.col("known") & ~F.col("label"), F.lit(False))).alias("disliked"))
+    t = samples.select("user_id", "target_app_id").join(known.withColumnRenamed("app_id", "target_app_id"), "target_app_id", "left")
+    return t.join(g, "user_id").agg(F.count("*").alias("n"), F.count_if("known").alias("known_targets"), F.count_if("liked").alias("with_liked"), F.count_if("disliked").alias("with_disliked"))

@@ -41,3 +41,9 @@ def label_balance(df: DataFrame, label: str, *by: str) -> DataFrame:
 
 def crosstab(df: DataFrame, rows: str, column: str, values: list) -> DataFrame:
     return df.groupBy(rows).pivot(column, values).count().na.fill(0)
+
+
+def schema_preview(df: DataFrame, most: int = 500) -> DataFrame:
+    """(column, type, value): each column's type and its value in one row, cut to most characters."""
+    first = df.limit(1).select(*[F.substring(F.col(c).cast("string"), 1, most).alias(c) for c in df.columns])
+    return first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).alias("value")) for c, t in df.dtypes])).alias("x")).select("x.*")

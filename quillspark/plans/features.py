@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, tokens
-from quillspark.operators import features, history
-from quillspark.plans.base import HIST, query
-from quillspark.plans.data import candidates
+from quillspark.operators import features, history, profile, sampling, scorers
+from quillspark.plans.base import HIST, SPLIT, query
+from quillspark.plans.data import candidates, splits
 from quillspark.sources import canonical
 from quillspark.sources.canonical import SQL_EMBEDDINGS, SQL_ITEMS, table
 
@@ -110,3 +110,44 @@ FROM cand c JOIN s USING (user_id) LEFT JOIN items t ON t.app_id = c.target_app_
 def prompt_build(spark, sf_dir):
     df = features.prompts(history.with_items(candidates(spark, sf_dir), canonical.items(spark, sf_dir)))
     return df.select("user_id", "output_text", "prompt_text")
+
+
+@query(f"""{_SIM}, {SQL_ITEMS}, r AS (SELECT user_id, label, app_id, coalesce(sim, -1.0) AS sim, row_number() OVER (PARTITION BY user_id, label ORDER BY coalesce(sim, -1.0) DESC, pos) AS place FROM sim WHERE app_id <> target_app_id),
+l AS (SELECT r.user_id, label, place, '- similarity=' || printf('%.4f', r.sim) || ': [app_id=' || r.app_id || '] ' || i.game_title AS line FROM r LEFT JOIN items i USING (app_id) WHERE place <= 5),
+g AS (SELECT user_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE label) AS l, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT label) AS d FROM l GROUP BY user_id)
+SELECT c.user_id, 'Similar liked items:' || chr(10) || coalesce(l, 'No similar liked items found.') || chr(10) || 'Similar disliked items:' || chr(10) || coalesce(d, 'No similar disliked items found.') AS input_text FROM cand c LEFT JOIN g USING (user_id)""")
+def retrieved_prompts(spark, sf_dir):
+    return features.retrieved_prompts(candidates(spark, sf_dir), canonical.item_embeddings(spark, sf_dir), canonical.items(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id, quality, text FROM labels JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY length(text), doc_id) AS r FROM d),
+s AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || 'shots'), doc_id) AS k FROM r WHERE r <= 20), o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM s WHERE k <= 2)
+SELECT string_agg('Example ' || i || ':' || chr(10) || text || chr(10) || 'Answer: ' || CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END, chr(10) || chr(10) ORDER BY doc_id) AS few_shot FROM o""")
+def few_shot_examples(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    shots = sampling.balanced(features.shortest(d, "text", "quality", "doc_id", 20), "quality", 2, "doc_id", "shots")
+    return features.few_shot_block(shots.withColumn("answer", F.when(F.col("quality") == 1, "Yes").otherwise("No")), "text", "answer", "doc_id")
+
+
+@query("SELECT role, count(*) AS n, min(length(text)) AS shortest, round(avg(length(text)), 6) AS mean, max(length(text)) AS longest, count(*) FILTER (WHERE length(text) > 1000) AS truncated FROM conversations GROUP BY role")
+def prompt_stats(spark, sf_dir):
+    n = F.length("text").cast("long")
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("longest"), F.count_if(n > 1000).alias("truncated"))
+
+
+@query(f"""WITH {SPLIT}, ev AS (SELECT app_id FROM hist JOIN split USING (user_id) WHERE hist.label AND split = 'train' UNION SELECT target_app_id FROM split WHERE label AND split = 'train'),
+h AS (SELECT s.user_id, bool_or(h.label AND h.app_id IN (SELECT app_id FROM ev)) AS l, bool_or(NOT h.label AND h.app_id IN (SELECT app_id FROM ev)) AS d FROM split s JOIN hist h USING (user_id) WHERE split = 'test' GROUP BY s.user_id)
+SELECT count(*) AS n, count(*) FILTER (WHERE s.target_app_id IN (SELECT app_id FROM ev)) AS known_targets, count(*) FILTER (WHERE l) AS with_liked, count(*) FILTER (WHERE d) AS with_disliked FROM split s JOIN h USING (user_id)""")
+def known_item_coverage(spark, sf_dir):
+    s = splits(spark, sf_dir)
+    return features.known_coverage(s.where("split = 'test'"), scorers.positive_events(s.where("split = 'train'")))
+
+
+@query(f"""WITH {SPLIT} SELECT user_id, 'sample_' || lpad(CAST(row_number() OVER (ORDER BY split, label, target_date, user_id) - 1 AS VARCHAR), 6, '0') AS sample_id FROM split""")
+def sample_ids(spark, sf_dir):
+    return history.with_sample_id(splits(spark, sf_dir), ["split", "label", "target_date", "user_id"]).select("user_id", "sample_id")
+
+
+@query("""SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) t("column", type)""")
+def schema_preview(spark, sf_dir):
+    return profile.schema_preview(table(spark, sf_dir, "region")).select("column", "type")
