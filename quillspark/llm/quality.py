@@ -110,7 +110,9 @@ def judged(docs: DataFrame) -> DataFrame:
     nearest = reduce(lambda rest, kw: F.when(kw[1] == c("excess"), F.lit(kw[0])).otherwise(rest), list(zip(names, worst))[::-1], F.lit(names[0]))
     df = df.withColumn("_q_nearest", nearest)
     passed = (c("n_words") < MIN_WORDS) | (c("excess") <= 1) | F.coalesce(~lang.isin(names), F.lit(False))
-    return df.withColumn("_q_kept", ~c("base_failed") & passed)
+    # The row number keeps filters above the chain of columns: pushed below, they would repeat each
+    # column's expression wherever the next one refers to it.
+    return df.withColumn("_q_kept", ~c("base_failed") & passed).withColumn("_q_row", F.monotonically_increasing_id())
 
 
 RULE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "excess")
@@ -119,13 +121,14 @@ RULE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id and what the rules say of every row of docs; excess over 1: too far from every reference."""
     df = judged(docs.select("doc_id", "text", *[x for x in ("lang",) if x in docs.columns]))
-    out = [F.round("_q_excess", 6).alias("excess") if k == "excess" else F.col(f"_q_{k}").alias(k) for k in RULE_COLUMNS]
+    column = lambda k: F.round("_q_excess", 6) if k == "excess" else F.col(f"_q_{k}")
+    out = [F.when(F.col("_q_row") >= 0, column(k)).alias(k) for k in RULE_COLUMNS]
     return df.select("doc_id", *out)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
-    return judged(docs).where("_q_kept").select(*docs.columns)
+    return judged(docs).where("_q_kept AND _q_row >= 0").select(*docs.columns)
 
 
 def rules_sql() -> str:
