@@ -27,8 +27,9 @@ are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,33 +44,32 @@ from quillspark.llm.shared import written
 END = 1
 BLOCK_IDS = 2_000_000
 ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
-MOST_WORDS = 400_000
-
-_PART = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-
+MOST_WORDS = 1_000_000
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32, by way of their space-separated parts."""
+    """Ids of texts as little-endian uint32, by way of the parts between ASCII white space."""
 
     def __init__(self, tokenizer: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.recent: set[bytes] = set()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [_PART.findall(t) if t else () for t in texts]
+        parts = [t.encode("utf-8").split() if t else () for t in texts]
+        words: set[bytes] = set()
+        for p in parts:
+            words.update(p)
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        new: set[str] = set()
-        for words in parts:
-            new.update(words)
-        new.difference_update(self.known)
+            self.known = {w: self.known[w] for w in self.recent}
+        self.recent = words
+        new = list(words.difference(self.known))
         if new:
-            words = list(new)
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @lru_cache(2)
@@ -87,12 +87,21 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END) -> tuple[np.nda
         free = (symbols[:-1] != fixed) & (symbols[1:] != fixed)
         slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         count = np.bincount(slot[free], minlength=1 << 20)
-        # Slots that may hold a frequent pair; then the exact counts of their pairs.
-        most = np.sort(np.partition(count, -2 * PAIRS)[-2 * PAIRS :])[0] if len(count) > 2 * PAIRS else 0
-        at = np.flatnonzero(free & (count[slot] >= max(most, LEAST_COUNT)))
-        if not len(at):
+        # The fullest slots; of each the first pair, and its exact count.
+        most = np.partition(count, -2 * PAIRS)[-2 * PAIRS]
+        full = np.flatnonzero(count >= max(most, LEAST_COUNT))
+        if not len(full):
             break
-        pairs, who, n = np.unique(keys[at], return_inverse=True, return_counts=True)
+        number = np.full(1 << 20, -1, np.int32)
+        number[full] = np.arange(len(full))
+        who = number[slot]
+        at = np.flatnonzero(free & (who >= 0))
+        who, pair = who[at], keys[at]
+        pairs = np.empty(len(full), np.int64)
+        pairs[who[::-1]] = pair[::-1]
+        same = pair == pairs[who]
+        at, who = at[same], who[same]
+        n = np.bincount(who, minlength=len(full))
         order = np.lexsort((pairs, -n))[:PAIRS]
         order = order[n[order] >= LEAST_COUNT]
         if not len(order):
