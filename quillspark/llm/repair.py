@@ -28,6 +28,7 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -46,8 +47,18 @@ BLOCK_IDS = 2_000_000
 ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
 MOST_WORDS = 1_000_000
 
+# A point or comma after an ASCII letter and before white space.
+_POINT = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+_APART = b"`"
+
+
 class WordEncoder:
-    """Ids of texts as little-endian uint32, by way of the parts between ASCII white space."""
+    """Ids of texts as little-endian uint32, by way of the parts between ASCII white space.
+
+    For a tokenizer that lower-cases and splits off punctuation, parts are first made more alike: ASCII
+    letters in lower case and a point or comma after a word as a part of its own. Left alone are texts
+    with what could be a special token, or with combining marks, whose composition depends on case.
+    """
 
     def __init__(self, tokenizer: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
@@ -55,21 +66,45 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
         self.known: dict[bytes, bytes] = {}
-        self.recent: set[bytes] = set()
+        self.recent: list[bytes] = []
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.alike = ids("Ab, Cd.\nEf.") == [x for t in ("ab", ",", "cd", ".", "ef", ".") for x in ids(t)]
+        apart = ids(_APART.decode())
+        self.apart = apart[0] if len(apart) == 1 and ids(f"a {_APART.decode()} b") == [*ids("a"), *apart, *ids("b")] else None
+
+    def parts(self, text: str) -> list[bytes]:
+        b = text.encode("utf-8")
+        if self.alike and b"<|" not in b and b"\xcc" not in b and b"\xcd" not in b:
+            b = _POINT.sub(rb" \g<0>", b.lower())
+        return b.split()
+
+    def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of new parts: many in one text, apart from each other by a part that none contains."""
+        alone = words if self.apart is None else [w for w in words if _APART in w]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            yield w, array("I", e.ids).tobytes()
+        if self.apart is not None:
+            many = [w for w in words if _APART not in w]
+            groups = [many[k : k + 256] for k in range(0, len(many), 256)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([(b" " + _APART + b" ").join(g).decode() for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.apart) * 4
+                data = ids.tobytes()
+                yield from zip(group, [data[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [t.encode("utf-8").split() if t else () for t in texts]
+        parts = [self.parts(t) if t else () for t in texts]
         words: set[bytes] = set()
         for p in parts:
             words.update(p)
         if len(self.known) > MOST_WORDS:
             self.known = {w: self.known[w] for w in self.recent}
-        self.recent = words
-        new = list(words.difference(self.known))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        self.recent = list(words)
+        here = dict(zip(self.recent, map(self.known.get, self.recent)))  # small, so that looking up is fast
+        new = dict(self.learn([w for w, ids in here.items() if ids is None]))
+        self.known |= new
+        here |= new
+        return [b"".join(map(here.__getitem__, p)) for p in parts]
 
 
 @lru_cache(2)
@@ -79,25 +114,29 @@ def _encoder(tokenizer: bytes) -> WordEncoder:
 
 def compress(ids: np.ndarray, first_rule: int, fixed: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): Re-Pair of ids; fixed is in no pair. Rule k is symbol first_rule + k."""
-    symbols, rules = ids.astype(np.int64), []
+    small = first_rule < 1 << 16  # so that two symbols fit 32 bits
+    kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+    symbols, rules = ids.astype(kind), []
     for _ in range(ROUNDS):
-        if len(symbols) < 2 or first_rule < 1 << 16 < first_rule + len(rules) + PAIRS:
+        if len(symbols) < 2 or small and first_rule + len(rules) + PAIRS > 1 << 16:
             break
-        keys = symbols[:-1] << 32 | symbols[1:]
-        free = (symbols[:-1] != fixed) & (symbols[1:] != fixed)
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        count = np.bincount(slot[free], minlength=1 << 20)
+        keys = symbols[:-1] << shift | symbols[1:]
+        slot = (keys * np.uint32(0x9E3779B1) >> np.uint32(12) if small else keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        end = symbols == fixed
+        slot[end[:-1] | end[1:]] = 1 << 20
+        count = np.bincount(slot, minlength=(1 << 20) + 1)
+        count[1 << 20] = 0
         # The fullest slots; of each the first pair, and its exact count.
         most = np.partition(count, -2 * PAIRS)[-2 * PAIRS]
         full = np.flatnonzero(count >= max(most, LEAST_COUNT))
         if not len(full):
             break
-        number = np.full(1 << 20, -1, np.int32)
+        number = np.full((1 << 20) + 1, -1, np.int32)
         number[full] = np.arange(len(full))
         who = number[slot]
-        at = np.flatnonzero(free & (who >= 0))
+        at = np.flatnonzero(who >= 0)
         who, pair = who[at], keys[at]
-        pairs = np.empty(len(full), np.int64)
+        pairs = np.empty(len(full), kind)
         pairs[who[::-1]] = pair[::-1]
         same = pair == pairs[who]
         at, who = at[same], who[same]
@@ -122,8 +161,9 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END) -> tuple[np.nda
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs[order[used]]]
-    return symbols, np.array(rules, np.int64).reshape(-1, 2)
+        chosen = pairs[order[used]]
+        rules += zip((chosen >> shift).tolist(), (chosen & kind((1 << int(shift)) - 1)).tolist())
+    return symbols.astype(np.int64), np.array(rules, np.int64).reshape(-1, 2)
 
 
 def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -133,18 +173,30 @@ def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rules one after another, and where each begins (and the end)."""
+    out: list[np.ndarray] = []
+    for a, b in rules.tolist():
+        out.append(np.concatenate([out[x - first_rule] if x >= first_rule else np.array([x]) for x in (a, b)]))
+    return np.concatenate(out) if out else np.empty(0, np.int64), np.cumsum([0] + [len(x) for x in out])
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids of a sequence of symbols, level by level."""
+    """The ids of a sequence of symbols."""
     symbols = symbols.astype(np.int64)
-    while len(rules) and len(symbols) and symbols.max() >= first_rule:
-        is_rule = symbols >= first_rule
-        place = np.cumsum(1 + is_rule) - (1 + is_rule)
-        out = np.empty(int(place[-1] + 1 + is_rule[-1]), np.int64)
-        r = rules[symbols[is_rule] - first_rule]
-        out[place[~is_rule]] = symbols[~is_rule]
-        out[place[is_rule]], out[place[is_rule] + 1] = r[:, 0], r[:, 1]
-        symbols = out
-    return symbols
+    flat, bounds = expansions(rules, first_rule)
+    is_rule = symbols >= first_rule
+    size = np.ones(len(symbols), np.int64)
+    start = np.zeros(len(symbols), np.int64)
+    r = symbols[is_rule] - first_rule
+    size[is_rule], start[is_rule] = bounds[r + 1] - bounds[r], bounds[r]
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.int64)
+    out[(end - 1)[~is_rule]] = symbols[~is_rule]
+    begin, size, start = (end - size)[is_rule], size[is_rule], start[is_rule]
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + within] = flat[np.repeat(start, size) + within]
+    return out
 
 
 _FILE = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_before", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("n_ids", pa.binary()), ("begins", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("first_rule", pa.int32())])
@@ -182,8 +234,8 @@ def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None) -> D
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_block(shard, block, before, held, first_rule), _FILE)], schema=_FILE)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 for d, coded in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist())):
                     held.append((d, coded))
                     n += len(coded) // 4 + 1
