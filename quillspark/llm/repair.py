@@ -28,7 +28,6 @@ are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,19 +44,17 @@ from quillspark.llm.shared import written
 END = 1
 BLOCK_IDS = 2_000_000
 ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_600_000
 
-# A point or comma after an ASCII letter and before white space.
-_POINT = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
 _APART = b"`"
 
 
 class WordEncoder:
     """Ids of texts as little-endian uint32, by way of the parts between ASCII white space.
 
-    For a tokenizer that lower-cases and splits off punctuation, parts are first made more alike: ASCII
-    letters in lower case and a point or comma after a word as a part of its own. Left alone are texts
-    with what could be a special token, or with combining marks, whose composition depends on case.
+    For a tokenizer that lower-cases, ASCII letters are put in lower case first, so that more parts are
+    alike. Left alone are texts with what could be a special token, or with combining marks, whose
+    composition depends on case.
     """
 
     def __init__(self, tokenizer: bytes):
@@ -68,14 +65,14 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.recent: list[bytes] = []
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.alike = ids("Ab, Cd.\nEf.") == [x for t in ("ab", ",", "cd", ".", "ef", ".") for x in ids(t)]
+        self.alike = ids("Ab, CD.\nEf.") == ids("ab, cd.\nef.")
         apart = ids(_APART.decode())
         self.apart = apart[0] if len(apart) == 1 and ids(f"a {_APART.decode()} b") == [*ids("a"), *apart, *ids("b")] else None
 
     def parts(self, text: str) -> list[bytes]:
         b = text.encode("utf-8")
         if self.alike and b"<|" not in b and b"\xcc" not in b and b"\xcd" not in b:
-            b = _POINT.sub(rb" \g<0>", b.lower())
+            b = b.lower()
         return b.split()
 
     def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -127,10 +124,11 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END) -> tuple[np.nda
         count = np.bincount(slot, minlength=(1 << 20) + 1)
         count[1 << 20] = 0
         # The fullest slots; of each the first pair, and its exact count.
-        most = np.partition(count, -2 * PAIRS)[-2 * PAIRS]
-        full = np.flatnonzero(count >= max(most, LEAST_COUNT))
+        full = np.flatnonzero(count >= LEAST_COUNT)
         if not len(full):
             break
+        if len(full) > 2 * PAIRS:
+            full = full[count[full] >= np.partition(count[full], -2 * PAIRS)[-2 * PAIRS]]
         number = np.full((1 << 20) + 1, -1, np.int32)
         number[full] = np.arange(len(full))
         who = number[slot]

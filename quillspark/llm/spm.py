@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 MOST_MODEL_BYTES = 64 << 20
-#: Words whose ids a worker keeps; when full it starts anew.
-MOST_WORDS = 600_000
+#: Words whose ids a worker keeps; when full, those of the last batch stay.
+MOST_WORDS = 500_000
 
 
 class Decoder:
@@ -81,7 +81,9 @@ class Segmenter(Decoder):
         self.suffix = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids  # all endings of pieces; -1: no piece itself
         lone = "\n" if not any("\n" in p for p in self.merging) else ""
         self.cut = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
+        self.lone = bool(lone)
         self.known: dict[str, bytes] = {}
+        self.recent: list[str] = []
 
     def merged(self, s: str) -> list[str]:
         """BPE of a short string, merge by merge."""
@@ -170,18 +172,26 @@ class Segmenter(Decoder):
             last.append(piece)
             best.append(top)
 
+    def words(self, text: str) -> list[str]:
+        """The marked words of a text; also empty ones where a newline stands by a space."""
+        if self.lone and text[0] != " " and "  " not in text and MARK not in text:
+            return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+        return self.cut.findall(MARK + text.replace(" ", MARK))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        new: set[str] = set()
+        cut = [self.words(t) if t else () for t in texts]
+        every: set[str] = set()
         for words in cut:
-            new.update(words)
-        new.difference_update(known)
-        known.update(self.encode_words(sorted(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+            every.update(words)
+        if len(self.known) > MOST_WORDS:
+            self.known = {w: self.known[w] for w in self.recent}
+        self.recent = list(every)
+        here = dict(zip(self.recent, map(self.known.get, self.recent)))  # small, so that looking up is fast
+        new = dict(self.encode_words(sorted(w for w, ids in here.items() if ids is None)))
+        self.known.update(new)
+        here.update(new)
+        return [b"".join(map(here.__getitem__, words)) for words in cut]
 
 
 @lru_cache(2)
