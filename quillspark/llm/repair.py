@@ -28,13 +28,16 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +47,15 @@ from quillspark.llm.shared import written
 END = 1
 BLOCK_IDS = 2_000_000
 ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
-MOST_WORDS = 1_600_000
+MOST_WORDS = 1_200_000
+MOST_TAILS = 100_000
+BATCH_BYTES = 24 << 20
 
-_APART = b"`"
+_APART = "`"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_WORD = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+# What could be a special token, or a combining mark.
+_ALONE = "<\\||[\u0300-\u037f]"
 
 
 class WordEncoder:
@@ -54,7 +63,9 @@ class WordEncoder:
 
     For a tokenizer that lower-cases, ASCII letters are put in lower case first, so that more parts are
     alike. Left alone are texts with what could be a special token, or with combining marks, whose
-    composition depends on case.
+    composition depends on case. The distinct parts of a batch are looked up and the texts' ids gathered
+    from theirs. A new part of lower-case letters that the tokenizer's own normalizer and pre-tokenizer
+    keep as one goes to its model at once, and so does such a part before punctuation split off from it.
     """
 
     def __init__(self, tokenizer: bytes):
@@ -62,46 +73,96 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.known: dict[bytes, bytes] = {}
-        self.recent: list[bytes] = []
-        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.alike = ids("Ab, CD.\nEf.") == ids("ab, cd.\nef.")
-        apart = ids(_APART.decode())
-        self.apart = apart[0] if len(apart) == 1 and ids(f"a {_APART.decode()} b") == [*ids("a"), *apart, *ids("b")] else None
-
-    def parts(self, text: str) -> list[bytes]:
-        b = text.encode("utf-8")
-        if self.alike and b"<|" not in b and b"\xcc" not in b and b"\xcd" not in b:
-            b = b.lower()
-        return b.split()
-
-    def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of new parts: many in one text, apart from each other by a part that none contains."""
-        alone = words if self.apart is None else [w for w in words if _APART in w]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes | None] = {}
+        self.alike = self.ids("Ab, CD.\nEf.") == self.ids("ab, cd.\nef.")
+        apart = self.ids(_APART)
+        self.apart = apart[0] if len(apart) == 1 and self.ids(f"a {_APART} b") == [*self.ids("a"), *apart, *self.ids("b")] else None
+        self.letters = {ord(c): "".join(self.pieces(c)) for c in _LETTERS}
+        if self.pieces(_LETTERS) != [_LETTERS.translate(self.letters)] or any(self.ids(w) != self.model_ids(w) for w in (_LETTERS, *_LETTERS)):
+            self.letters = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def pieces(self, text: str) -> list[str]:
+        """What the tokenizer's model gets of a text."""
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normalizer.normalize_str(text) if normalizer else text
+        return [p for p, _ in cutter.pre_tokenize_str(text)] if cutter else [text]
+
+    def model_ids(self, letters: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.letters))]
+
+    def tail(self, tail: str) -> bytes | None:
+        """Ids of punctuation that is split off from letters before it; None if it isn't."""
+        if tail not in self.tails:
+            if len(self.tails) > MOST_TAILS:
+                self.tails.clear()
+            apart = self.pieces("ab" + tail) == [*self.pieces("ab"), *self.pieces(tail)] and self.ids("ab" + tail) == self.ids("ab") + self.ids(tail)
+            self.tails[tail] = array("I", self.ids(tail)).tobytes() if apart else None
+        return self.tails[tail]
+
+    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of new parts: the model's for letters, else many in one text, apart from each other by a part that none contains."""
+        rest = []
+        for w in words:
+            cut = _WORD.fullmatch(w) if self.letters else None
+            tail = self.tail(cut[2]) if cut and cut[2] else b""
+            if cut is None or tail is None:
+                rest.append(w)
+                continue
+            ids = self.known.get(cut[1])
+            yield w, (array("I", self.model_ids(cut[1])).tobytes() if ids is None else ids) + tail
+        alone = rest if self.apart is None else [w for w in rest if _APART in w]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             yield w, array("I", e.ids).tobytes()
         if self.apart is not None:
-            many = [w for w in words if _APART not in w]
+            many = [w for w in rest if _APART not in w]
             groups = [many[k : k + 256] for k in range(0, len(many), 256)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([(b" " + _APART + b" ").join(g).decode() for g in groups], add_special_tokens=False)):
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_APART} ".join(g) for g in groups], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
                 cuts = np.flatnonzero(ids == self.apart) * 4
                 data = ids.tobytes()
                 yield from zip(group, [data[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.parts(t) if t else () for t in texts]
-        words: set[bytes] = set()
-        for p in parts:
-            words.update(p)
-        if len(self.known) > MOST_WORDS:
-            self.known = {w: self.known[w] for w in self.recent}
-        self.recent = list(words)
-        here = dict(zip(self.recent, map(self.known.get, self.recent)))  # small, so that looking up is fast
-        new = dict(self.learn([w for w, ids in here.items() if ids is None]))
-        self.known |= new
-        here |= new
-        return [b"".join(map(here.__getitem__, p)) for p in parts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        if self.alike:
+            texts = pc.if_else(pc.match_substring_regex(texts, _ALONE), texts, pc.ascii_lower(texts))
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, words))
+        new = dict(self.learn([w for w, ids in zip(words, found) if ids is None]))
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+        if len(self.known) + len(new) > MOST_WORDS:
+            self.known = dict(zip(words, found))
+        else:
+            self.known |= new
+        # The ids of each part in order, gathered from those of the distinct ones, some documents at a time.
+        pool = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, which, bounds = np.cumsum(length) - length, coded.indices.to_numpy(), parts.offsets.to_numpy()
+        out: list[bytes] = []
+        for k in range(0, len(texts), 1024):
+            at = bounds[k : k + 1025] - bounds[0]
+            words = which[at[0] : at[-1]]
+            size = length[words]
+            reached = np.concatenate([[0], np.cumsum(size)])
+            data = pool[np.repeat(start[words] - reached[:-1], size) + np.arange(reached[-1])].tobytes()
+            ends = (4 * reached[at - at[0]]).tolist()
+            out += [data[x:y] for x, y in zip(ends, ends[1:])]
+        return out
+
+
+def pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts in slices of about BATCH_BYTES."""
+    place = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
 
 
 @lru_cache(2)
@@ -172,29 +233,21 @@ def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
 
 
 def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rules one after another, and where each begins (and the end)."""
-    out: list[np.ndarray] = []
+    """The ids of all symbols one after another, terminals first, and where each symbol's begin (and the end)."""
+    out: list[list[int]] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - first_rule] if x >= first_rule else np.array([x]) for x in (a, b)]))
-    return np.concatenate(out) if out else np.empty(0, np.int64), np.cumsum([0] + [len(x) for x in out])
+        out.append([*(out[a - first_rule] if a >= first_rule else (a,)), *(out[b - first_rule] if b >= first_rule else (b,))])
+    sizes = np.concatenate([np.ones(first_rule, np.int64), np.array([len(x) for x in out], np.int64)])
+    flat = np.concatenate([np.arange(first_rule, dtype="<u4"), np.fromiter(chain.from_iterable(out), "<u4")])
+    return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids of a sequence of symbols."""
-    symbols = symbols.astype(np.int64)
     flat, bounds = expansions(rules, first_rule)
-    is_rule = symbols >= first_rule
-    size = np.ones(len(symbols), np.int64)
-    start = np.zeros(len(symbols), np.int64)
-    r = symbols[is_rule] - first_rule
-    size[is_rule], start[is_rule] = bounds[r + 1] - bounds[r], bounds[r]
+    begin, size = bounds[:-1][symbols], np.diff(bounds)[symbols]
     end = np.cumsum(size)
-    out = np.empty(int(end[-1]) if len(end) else 0, np.int64)
-    out[(end - 1)[~is_rule]] = symbols[~is_rule]
-    begin, size, start = (end - size)[is_rule], size[is_rule], start[is_rule]
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(begin, size) + within] = flat[np.repeat(start, size) + within]
-    return out
+    return flat[np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))]
 
 
 _FILE = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_before", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("n_ids", pa.binary()), ("begins", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("first_rule", pa.int32())])
@@ -232,9 +285,9 @@ def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None) -> D
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_block(shard, block, before, held, first_rule), _FILE)], schema=_FILE)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                for d, coded in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist())):
+            doc_ids = iter(batch["doc_id"].to_pylist())
+            for texts in pieces_of(batch["text"]):
+                for coded, d in zip(encoder.encode(texts), doc_ids):
                     held.append((d, coded))
                     n += len(coded) // 4 + 1
                     if n >= BLOCK_IDS:
