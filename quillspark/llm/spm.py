@@ -20,20 +20,22 @@ result. An existing column named ids (decode: decoded) is replaced.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillspark.llm.coded import ids_of, pieces_of
+
 MARK = "▁"
 MOST_MODEL_BYTES = 64 << 20
 #: Words whose ids a worker keeps; when full, those of the last batch stay.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class Decoder:
@@ -57,9 +59,17 @@ class Decoder:
                 self.bytes_of[k] = bytes([int(p.piece[1:-1], 16)])
         self.bytes_of[self.unknown] = " ⁇ ".encode()
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:].replace(MARK, " ") if text.startswith(MARK) else text.replace(MARK, " ")
+        self.bytes_array = pa.array(self.bytes_of, pa.binary())
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The text of each list of ids; bytes that aren't UTF-8 are replaced."""
+        bounds = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())]), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(bounds, self.bytes_array.take(ids.flatten())), b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+        return pc.replace_substring(pc.replace_substring_regex(text, f"^{MARK}", ""), MARK, " ")
 
 
 class Segmenter(Decoder):
@@ -79,11 +89,8 @@ class Segmenter(Decoder):
         if not self.unigram:  # pieces that merging can't reach never come out
             self.ids = {p: k for p, k in self.ids.items() if self.merged(p) == [p]}
         self.suffix = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids  # all endings of pieces; -1: no piece itself
-        lone = "\n" if not any("\n" in p for p in self.merging) else ""
-        self.cut = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
-        self.lone = bool(lone)
+        self.lone = not any("\n" in p for p in self.merging)
         self.known: dict[str, bytes] = {}
-        self.recent: list[str] = []
 
     def merged(self, s: str) -> list[str]:
         """BPE of a short string, merge by merge."""
@@ -172,26 +179,31 @@ class Segmenter(Decoder):
             last.append(piece)
             best.append(top)
 
-    def words(self, text: str) -> list[str]:
-        """The marked words of a text; also empty ones where a newline stands by a space."""
-        if self.lone and text[0] != " " and "  " not in text and MARK not in text:
-            return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
-        return self.cut.findall(MARK + text.replace(" ", MARK))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def words(self, texts: pa.Array) -> pa.Array:
+        """The marked words of each text; also empty ones, which have no ids."""
+        texts = pc.fill_null(texts, "")
+        out = pc.replace_substring(pc.replace_substring(texts, " ", MARK), MARK, f" {MARK}")
+        out = pc.binary_join_element_wise(pa.scalar(MARK), out, "")
+        for _ in range(2):  # so that runs of marks of any length are whole again
+            out = pc.replace_substring(out, f"{MARK} {MARK}", MARK + MARK)
+        if self.lone:
+            out = pc.replace_substring(out, "\n", " \n ")
+        return pc.split_pattern(pc.if_else(pc.equal(texts, ""), texts, out), " ")
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: the new ones are sorted and encoded."""
+        found = list(map(self.known.get, words))
+        new = dict(self.encode_words(sorted(w for w, ids in zip(words, found) if ids is None)))
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+        if len(self.known) + len(new) > MOST_WORDS:
+            self.known = dict(zip(words, found))
+        else:
+            self.known.update(new)
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.words(t) if t else () for t in texts]
-        every: set[str] = set()
-        for words in cut:
-            every.update(words)
-        if len(self.known) > MOST_WORDS:
-            self.known = {w: self.known[w] for w in self.recent}
-        self.recent = list(every)
-        here = dict(zip(self.recent, map(self.known.get, self.recent)))  # small, so that looking up is fast
-        new = dict(self.encode_words(sorted(w for w, ids in here.items() if ids is None)))
-        self.known.update(new)
-        here.update(new)
-        return [b"".join(map(here.__getitem__, words)) for words in cut]
+        return ids_of(self.words(texts), self.lookup)
 
 
 @lru_cache(2)
@@ -219,9 +231,12 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                coded = segmenter.encode(part["text"].to_pylist())
+            a = 0
+            for texts in pieces_of(batch["text"], 2 << 20):
+                pa.default_memory_pool().release_unused()
+                part = batch.slice(a, len(texts))
+                a += len(texts)
+                coded = segmenter.encode(texts)
                 offsets = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(coded), np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*part.schema.names, "ids"])
@@ -238,9 +253,6 @@ def decode(coded: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                ids = part["ids"]
-                flat, bounds = ids.flatten().to_pylist(), np.cumsum([0] + [n or 0 for n in ids.value_lengths().to_pylist()]).tolist()
-                texts = [decoder.decode(flat[b:e]) for b, e in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.decode(part["ids"])], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(rows, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
