@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.coded import ids_of, pieces_of
 from quillspark.llm.shared import written
 
 END = 1
@@ -49,7 +50,6 @@ BLOCK_IDS = 2_000_000
 ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
 MOST_WORDS = 1_200_000
 MOST_TAILS = 100_000
-BATCH_BYTES = 24 << 20
 
 _APART = "`"
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -130,9 +130,10 @@ class WordEncoder:
         texts = pc.fill_null(texts, "")
         if self.alike:
             texts = pc.if_else(pc.match_substring_regex(texts, _ALONE), texts, pc.ascii_lower(texts))
-        parts = pc.ascii_split_whitespace(texts)
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        return ids_of(pc.ascii_split_whitespace(texts), self.lookup)
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct parts; the new ones are learned."""
         found = list(map(self.known.get, words))
         new = dict(self.learn([w for w, ids in zip(words, found) if ids is None]))
         found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
@@ -140,29 +141,7 @@ class WordEncoder:
             self.known = dict(zip(words, found))
         else:
             self.known |= new
-        # The ids of each part in order, gathered from those of the distinct ones, some documents at a time.
-        pool = np.frombuffer(b"".join(found), "<u4")
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start, which, bounds = np.cumsum(length) - length, coded.indices.to_numpy(), parts.offsets.to_numpy()
-        out: list[bytes] = []
-        for k in range(0, len(texts), 1024):
-            at = bounds[k : k + 1025] - bounds[0]
-            words = which[at[0] : at[-1]]
-            size = length[words]
-            reached = np.concatenate([[0], np.cumsum(size)])
-            data = pool[np.repeat(start[words] - reached[:-1], size) + np.arange(reached[-1])].tobytes()
-            ends = (4 * reached[at - at[0]]).tolist()
-            out += [data[x:y] for x, y in zip(ends, ends[1:])]
-        return out
-
-
-def pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
-    """An array of texts in slices of about BATCH_BYTES."""
-    place = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BATCH_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield texts.slice(a, b - a)
+        return found
 
 
 @lru_cache(2)
