@@ -54,7 +54,7 @@ def _set_id(h: np.ndarray) -> int:
 
 
 def _packer(bits: int, size: int):
-    """Batches of documents -> for each bucket the set ids, how many hashes of each, and the hashes; with one bucket go (doc_id, known, set id, size) of all rows."""
+    """Batches of documents -> for each bucket the set ids, how many hashes of each, and the hashes; with one bucket go (doc_id, known, set id, size, row key) of all rows."""
 
     def flush(docs: list[tuple], sets: dict[int, np.ndarray], turn: int) -> pa.RecordBatch:
         meta = np.array(docs, np.int64).tobytes()
@@ -79,13 +79,13 @@ def _packer(bits: int, size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, sets, held, turn = [], {}, 0, 0
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
+            ids, rows = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
             for a, _, data, bounds in text_parts(batch["text"]):
                 words, first = word_hashes(data, bounds)
                 for k, h in enumerate(shingle_sets(words, first, size), a):
                     turn = turn or int(h[0] if len(h) else 0)
                     key = _set_id(h)
-                    docs.append((ids[k] or 0, ids[k] is not None, key, len(h)))
+                    docs.append((ids[k] or 0, ids[k] is not None, key, len(h), rows[k]))
                     if len(h) and key not in sets:
                         sets[key] = h
                         held += len(h)
@@ -98,17 +98,17 @@ def _packer(bits: int, size: int):
     return pack
 
 
-_REDUCED = "is_doc boolean, doc_id long, set long, n long, hits binary, ranks binary"
+_REDUCED = "is_doc boolean, doc_id long, row long, set long, n long, hits binary, ranks binary"
 
 
 def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: the rows of its documents, and for each set the hashes that another set has too, with log2 of how many have them."""
     bucket = int(pdf["bucket"].iloc[0])
     out = []
-    meta = [np.frombuffer(m, np.int64).reshape(-1, 4) for m in pdf["meta"] if m]
+    meta = [np.frombuffer(m, np.int64).reshape(-1, 5) for m in pdf["meta"] if m]
     if meta:
         m = np.concatenate(meta)
-        out.append(pd.DataFrame({"is_doc": True, "doc_id": pd.array(m[:, 0], "Int64").copy(), "set": m[:, 2], "n": m[:, 3], "hits": None, "ranks": None}))
+        out.append(pd.DataFrame({"is_doc": True, "doc_id": pd.array(m[:, 0], "Int64").copy(), "row": m[:, 4], "set": m[:, 2], "n": m[:, 3], "hits": None, "ranks": None}))
         out[-1].loc[m[:, 1] == 0, "doc_id"] = pd.NA
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sets"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
@@ -130,8 +130,8 @@ def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
     who, start = np.unique(owner, return_index=True)
     stop = np.append(start[1:], len(owner))
     if len(who):
-        out.append(pd.DataFrame({"is_doc": False, "doc_id": pd.array([pd.NA] * len(who), "Int64"), "set": ids[who], "n": 0, "hits": [low[a:b].tobytes() for a, b in zip(start, stop)], "ranks": [many[a:b].tobytes() for a, b in zip(start, stop)]}))
-    return pd.concat(out) if out else pd.DataFrame({"is_doc": [], "doc_id": [], "set": [], "n": [], "hits": [], "ranks": []})
+        out.append(pd.DataFrame({"is_doc": False, "doc_id": pd.array([pd.NA] * len(who), "Int64"), "row": 0, "set": ids[who], "n": 0, "hits": [low[a:b].tobytes() for a, b in zip(start, stop)], "ranks": [many[a:b].tobytes() for a, b in zip(start, stop)]}))
+    return pd.concat(out) if out else pd.DataFrame({"is_doc": [], "doc_id": [], "row": [], "set": [], "n": [], "hits": [], "ranks": []})
 
 
 def _prefixes(percent: int):
@@ -251,19 +251,18 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3").mapInArrow(_linker(percent), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; sets link at a Jaccard similarity of percent / 100 or more."""
-    spark = docs.sparkSession
+def _linked(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_id, text, row) -> (doc_id, row, set, n) of every row, and (node, root) of the sets that are linked."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, ceil(log2(max(1, chars / BUCKET_CHARS))))
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(bits, size), "bucket int, meta binary, sets binary, counts binary, low binary")
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row").mapInArrow(_packer(bits, size), "bucket int, meta binary, sets binary, counts binary, low binary")
     reduced = written(packed.groupBy("bucket").applyInPandas(_shared_hashes, _REDUCED), "hashes")
 
-    rows = reduced.where("is_doc").select("doc_id", "set", "n")
-    known = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    rows = reduced.where("is_doc").select("doc_id", "row", "set", "n")
+    known = rows.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
     hits = reduced.where("NOT is_doc").groupBy("set").agg(F.collect_list("hits").alias("hits"), F.collect_list("ranks").alias("ranks"))
     shared = F.aggregate("ranks", F.lit(0), lambda acc, h: acc + F.octet_length(h))
-    sets = written(hits.where(shared > 0).join(known.select("set", "n"), "set").where(100 * shared >= percent * F.col("n")), "sets")
+    sets = written(hits.where(shared > 0).join(known, "set").where(100 * shared >= percent * F.col("n")), "sets")
 
     entries = written(sets.mapInArrow(_prefixes(percent), "key long, set long, k int"), "prefixes")
     groups = entries.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set")).alias("who"), F.min("set").alias("pivot"), F.sum("k").alias("weight")).where("c > 1")
@@ -294,7 +293,13 @@ def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> Data
         rest = rest.unionByName(_across(m.where("blocks > 1").select("key", "set", "k", "label", "component")))
         links = links.unionByName(written(_links(rest, sets, percent), "found"))
         roots = written(components(links), "roots")
+    return rows, roots
 
+
+def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; sets link at a Jaccard similarity of percent / 100 or more."""
+    rows, roots = _linked(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row")), percent, size)
+    known = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     of_root = roots.join(known, roots["node"] == known["set"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(of_root, "root").select(F.col("node").alias("set"), "component_id")
     of_set = known.join(linked, "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id"))
@@ -322,7 +327,20 @@ def _across(m: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of docs that stand for their component: its least doc_id; of repeated rows of that id, one."""
-    found = similar_documents(docs, percent, size).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of docs that stand for their component: of each the one of least doc_id, nulls last.
+
+    A row goes only if its text is linked to or has the same set as that of the row that stays, or if it
+    equals that row in all columns. Ties of one doc_id are broken by the ids of the sets, then by a hash of
+    the row. Null doc_ids don't make rows alike, nor does one doc_id on different texts; rows without
+    words are linked with nothing, so they stay. Rows of one hash (64 bits of all columns) count as equal.
+    """
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    rows, roots = _linked(keyed.select("doc_id", "text", F.col(key).alias("row")), percent, size)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "set", "row")
+    of_set = rows.where("n > 0").groupBy("set").agg(F.min(order).alias("best"))
+    of_root = of_set.join(roots.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
+    stay = of_root.select(F.col("best.row").alias(key)).unionByName(rows.where("n = 0").select(F.col("row").alias(key)))
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
