@@ -63,11 +63,17 @@ def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(table(spark, sf_dir, "documents"), asked, k=10)
 
 
+def op9_bm25_top_k_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose id is divisible by 20 as queries, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
@@ -125,3 +131,4 @@ counts AS (SELECT doc_id, CAST(sum(len(list_filter(cdf, lambda c: c < u))) AS BI
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.i AS INTEGER) AS copy_no
 FROM documents d JOIN (SELECT doc_id, unnest(range(0, n)) AS i FROM counts) c ON d.doc_id = c.doc_id""",
 }
+ORACLES["op9_bm25_top_k_documents"] = ORACLES["op9_bm25_top_k"].replace("SELECT item_id AS query_id", "SELECT doc_id AS query_id").replace("FROM benchmark WHERE item_id % 20 = 0", "FROM documents WHERE doc_id % 20 = 0")
