@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import numeric, text
 from quillspark.operators import clean, encoding, history, profile, sampling
-from quillspark.plans.base import CLEANED, HIST, SEQUENCE, SPLIT, query
+from quillspark.plans.base import CLEANED, HIST, ORACLES, SEQUENCE, SPLIT, query
 from quillspark.sources import canonical, files
 from quillspark.sources.canonical import SQL_INTERACTIONS, SQL_ITEMS, table
 
@@ -75,10 +75,12 @@ def activity_histogram_smallest(spark, sf_dir):
     return n.groupBy("user_interaction_count").agg(F.count("*").alias("users")).orderBy("user_interaction_count").limit(20)
 
 
-def item_dimension_of(spark, sf_dir) -> DataFrame:
+def item_dimension_of(spark, sf_dir, chars: int | None = 60) -> DataFrame:
+    """chars: how much of a text is its description, before it is normalized; None is the whole text."""
     counts = canonical.interactions(spark, sf_dir).groupBy("app_id").agg(F.count("*").alias("interaction_count"), F.countDistinct("user_id").alias("user_count"))
     items = clean.first_of(canonical.items(spark, sf_dir), ["app_id"], ["game_title"])
-    described = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), text.normalize(F.substring("text", 1, 60)).alias("description"))
+    described_by = F.col("text") if chars is None else F.substring("text", 1, chars)
+    described = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), text.normalize(described_by).alias("description"))
     return items.join(counts, "app_id", "left").join(described, "app_id", "left").withColumn("interaction_count", F.coalesce("interaction_count", F.lit(0)))
 
 
@@ -87,11 +89,21 @@ SELECT app_id, game_title, price, required_age, coalesce(interaction_count, 0) A
   nullif(trim(regexp_replace(substr(d.text, 1, 60), '[\\r\\n]', ' ', 'g')), '') AS description, coalesce(nullif(trim(d.source), ''), genres) AS origin
 FROM items LEFT JOIN c USING (app_id) LEFT JOIN documents d ON d.doc_id = app_id""")
 def item_dimension(spark, sf_dir):
+    return _with_origin(spark, sf_dir, 60)
+
+
+def _with_origin(spark, sf_dir, chars: int | None) -> DataFrame:
     origin = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), "source")
-    df = item_dimension_of(spark, sf_dir).join(origin, "app_id", "left")
+    df = item_dimension_of(spark, sf_dir, chars).join(origin, "app_id", "left")
     return df.select("app_id", "game_title", "price", "required_age", "interaction_count", "user_count", "description", F.coalesce(F.nullif(F.trim("source"), F.lit("")), "genres").alias("origin"))
 
 
+@query(ORACLES["item_dimension"].replace("substr(d.text, 1, 60)", "d.text"))
+def item_dimension_whole(spark, sf_dir):
+    """item_dimension with whole descriptions, as the reference keeps them."""
+    return _with_origin(spark, sf_dir, None)
+
+
 @query(f"""WITH {SQL_INTERACTIONS}, c AS (SELECT app_id, count(*) AS w FROM interactions GROUP BY app_id)
 SELECT count(*) AS n_keys, count(*) FILTER (WHERE v.vec_id IS NOT NULL) AS covered, CAST(sum(w) AS BIGINT) AS weight, CAST(coalesce(sum(w) FILTER (WHERE v.vec_id IS NOT NULL), 0) AS BIGINT) AS covered_weight
 FROM c LEFT JOIN embeddings v ON v.vec_id = c.app_id""")
