@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import numeric
 from quillspark.operators import evaluate, profile, sampling
-from quillspark.plans.base import query
+from quillspark.plans.base import ORACLES, query
 from quillspark.sources import files
 from quillspark.sources.canonical import table
 
@@ -104,7 +104,17 @@ def leaderboard(spark, sf_dir):
 @query("""WITH n AS (SELECT p_partkey, count(l_partkey) FILTER (WHERE l_linenumber = 7) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
 SELECT CASE WHEN n <= 0 THEN 'cold_0' WHEN n <= 2 THEN 'very_rare_1_2' WHEN n <= 5 THEN 'rare_3_5' WHEN n <= 20 THEN 'tail_6_20' WHEN n <= 100 THEN 'mid_21_100' ELSE 'head_101_plus' END AS bin, count(*) AS items FROM n GROUP BY 1""")
 def item_bins(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return _bins(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber = 7"))
+
+
+@query(ORACLES["item_bins"].replace(" FILTER (WHERE l_linenumber = 7)", ""))
+def item_bins_all(spark, sf_dir):
+    """item_bins by all interactions of an item."""
+    return _bins(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _bins(spark, sf_dir, lines: DataFrame) -> DataFrame:
+    lines = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     n = table(spark, sf_dir, "part").select("p_partkey").join(lines, "p_partkey", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return n.groupBy(numeric.item_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("items"))
 
