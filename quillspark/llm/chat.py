@@ -4,9 +4,13 @@ A template is only a function from a list of turns to a text. The operator rende
 a conversation one after another, takes the difference of consecutive outputs as the span of the
 newest turn, and reports a template that changes what it had already written ("rewrites").
 
+A conversation is one value, as a document's text is one, so that a black box can render it: its
+turns come together in one task. Rendering all prefixes costs the square of its number of turns.
+
 Defined cases: null text, role: empty. Turns are ordered by (turn, role, text), nulls first; repeated
-rows are repeated turns. conv_id null is one conversation of its own. An empty table gives an empty
-result. Other columns of the input, whatever their names, are ignored.
+rows are repeated turns. conv_id null is one conversation of its own. Very long texts and conversations
+of many turns are rendered whole like others. An empty table gives an empty result. Other columns of
+the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -58,44 +62,34 @@ class ChatTemplate:
 
 INST = ChatTemplate()
 
-#: Up to so many turns every prefix is rendered; longer conversations use a sliding context of CONTEXT
-#: turns first, accepted only if the pieces add up to the rendering of the whole conversation.
-ALL_PREFIXES, CONTEXT = 64, 4
-
-
 def turn_ends(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[int], bool]:
     """The whole output, the end of each turn in it, and whether a longer prefix changed earlier output.
 
-    Rendering every prefix costs the square of the length; a long conversation is therefore rendered
-    in sliding contexts, whose differences must concatenate to the one full rendering. Where they
-    don't, all its prefixes are rendered.
+    Every prefix is rendered, whatever the number of turns, as nothing less shows that a template leaves
+    alone what it wrote; two outputs are held at a time.
     """
-    whole = render(turns)
-    if len(turns) > ALL_PREFIXES:
-        parts = []
-        for k in range(len(turns)):
-            low = max(0, k - CONTEXT)
-            before, after = render(turns[low:k]) if k > low else "", render(turns[low : k + 1])
-            if not after.startswith(before):
-                break
-            parts.append(after[len(before) :])
-        else:
-            if "".join(parts) == whole:
-                ends, at = [], 0
-                for p in parts:
-                    at += len(p)
-                    ends.append(at)
-                return whole, ends, False
     ends, before, rewrites = [], "", False
     for k in range(1, len(turns) + 1):
-        after = render(turns[:k]) if k < len(turns) else whole
+        after = render(turns[:k])
         if not after.startswith(before):
             rewrites = True
-            same = next((i for i, (a, b) in enumerate(zip(before, after)) if a != b), min(len(before), len(after)))
+            same = common_prefix(before, after)
             ends = [min(e, same) for e in ends]  # what was rewritten belongs to the newest turn
         ends.append(len(after))
         before = after
-    return whole, ends, rewrites
+    return before, ends, rewrites
+
+
+def common_prefix(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 _SPAN = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_())]))
