@@ -4,12 +4,16 @@ Each language gets a binary codeword; one linear classifier of hashed byte n-gra
 bit (ridge regression on +-1 targets), and a text takes the language whose codeword has the least
 loss, each bit weighted by its training accuracy. Text whose two best codewords are close is flagged.
 
-The fit uses at most per_language labelled documents of each language (the documented bound, taken in
-the order of a hash of doc_id), whole texts, and at most MOST_LANGUAGES languages, most frequent first.
-
-Defined cases: text null, empty or without a letter: 'und', score 0. Null lang: not learned from. No
-labelled row at all, or an empty table: every text is 'und'. Repeated rows are predicted each. Extra
-columns are ignored. Ties take the alphabetically first language.
+The fit uses a sample of about per_language labelled documents of each language, whatever their number of
+languages (the documented bound): a document is in it if a hash of its doc_id and text is under the
+share that its language's count asks for, so no language is gathered in one task. Whole texts are read.
+The tasks sum the normal equations of the weighted ridge regression, (DIMS + 1) squared numbers
+however many languages and rows there are; the driver solves them.
+
+Defined cases: text null, empty or without a letter: 'und', score 0. Null lang: not learned from. Null
+doc_id: not held out. No labelled row at all, or an empty table: every text is 'und'. Repeated rows are
+predicted each. Very long texts are read in pieces, whole. Extra columns are ignored. Ties take the
+alphabetically first language.
 """
 
 from __future__ import annotations
@@ -18,16 +22,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMS, MOST_LANGUAGES = 4096, 256
+from quillspark.llm.shared import written
+
+DIMS = 2048
+_SHIFT = np.uint32(32 - DIMS.bit_length() + 1)
+#: Sampled rows in a task that sums, and rows of the sums in a message.
+TASK_ROWS, SLAB = 4096, 64
 _LETTER = r"\p{L}"
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Whether a document is only for testing; a null doc_id isn't."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def codewords(k: int) -> np.ndarray:
@@ -64,7 +75,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             three = two[:-1] * 263 + b[2:]
             four = three[:-1] * 269 + b[3:]
             for x in (two, three, four):
-                total += np.bincount((x * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMS)
+                total += np.bincount((x * np.uint32(2654435761)) >> _SHIFT, minlength=DIMS)
         out[k] = np.sqrt(total / max(1, total.sum()))
     return out
 
@@ -89,48 +100,71 @@ class Model:
         return best, p[np.arange(len(p)), best], close
 
 
-def fit(docs: DataFrame, per_language: int = 300, ridge: float = 0.02) -> Model | None:
-    """Learn from labelled rows of docs (columns doc_id, text, lang)."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
-    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    names = sorted(names)
-    if not names:
-        return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
-    few = labelled.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
-    few = F.broadcast(few)  # at most per_language * MOST_LANGUAGES ids
+def sample(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(lang, x) of the sampled documents, and how many there are of each language."""
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    share = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 x = features([t.encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], pa.array([r.astype(np.float16).tobytes() for r in x])], names=["doc_id", "lang", "x"])
-
-    got = labelled.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"], "left_semi").mapInArrow(shares, "doc_id long, lang string, x binary").orderBy("lang", F.xxhash64("doc_id", F.lit(11)), "x").collect()
-    seen: dict[str, int] = {}
-    kept = []
-    for r in got:  # ids may repeat
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
-    got = kept
-    x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float64) for r in got])
-    y = np.array([names.index(r["lang"]) for r in got])
-    code = codewords(len(names))
-    target = code[y].astype(np.float64)
-    weight = 1 / np.bincount(y, minlength=len(names))[y]  # each language counts alike
-    weight /= weight.mean()
-    mean = (weight[:, None] * x).mean(0)
-    c = x - mean
-    root = np.sqrt(weight)[:, None]
-    gram = (root * c) @ (root * c).T
-    level = (weight[:, None] * target).mean(0)
-    dual = np.linalg.solve(gram + ridge * np.trace(gram) / len(y) * np.eye(len(y)), root * (target - level))
-    w = (root * c).T @ dual
+                yield pa.RecordBatch.from_arrays([part["lang"], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+
+    few = labelled.select("lang", "text", chance.alias("chance")).join(share, "lang").where("chance < share").select("lang", "text")
+    drawn = written(few.mapInArrow(shares, "lang string, x binary"), "sample")
+    counts = sorted((r["lang"], r["count"]) for r in drawn.groupBy("lang").count().collect())  # a row for each language
+    return drawn.repartition(max(1, -(-sum(n for _, n in counts) // TASK_ROWS))), counts
+
+
+def _rows_of(batch: pa.RecordBatch, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Features with a last 1, and numbers of the languages."""
+    x = np.frombuffer(b"".join(batch["x"].to_pylist()), np.float32).reshape(-1, DIMS).astype(np.float64)
+    return np.hstack([x, np.ones((len(x), 1))]), np.array([place[n] for n in batch["lang"].to_pylist()])
+
+
+def fit(docs: DataFrame, per_language: int = 300, ridge: float = 0.02) -> Model | None:
+    """Learn from labelled rows of docs (columns doc_id, text, lang)."""
+    drawn, counts = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER)), per_language)
+    if not counts:
+        return None
+    names = [n for n, _ in counts]
+    place, code = {n: k for k, n in enumerate(names)}, codewords(len(names))
+    each = 1 / np.array([n for _, n in counts])  # each language counts alike
+    width = DIMS + 1 + code.shape[1]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((DIMS + 1, width))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                x, y = _rows_of(batch.slice(a, 512), place)
+                total += (x * each[y, None]).T @ np.hstack([x, code[y]])
+        slabs = [total[k : k + SLAB].tobytes() for k in range(0, DIMS + 1, SLAB)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(slabs)), pa.int32()), pa.array(slabs, pa.binary())], names=["slab", "data"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.sum([np.frombuffer(d) for d in pdf["data"]], axis=0)
+        return pd.DataFrame({"slab": pdf["slab"].iloc[:1], "data": [data.tobytes()]})
+
+    slabs = drawn.mapInArrow(sums, "slab int, data binary").groupBy("slab").applyInPandas(add, "slab int, data binary").orderBy("slab").toLocalIterator()
+    total = np.vstack([np.frombuffer(r["data"]).reshape(-1, width) for r in slabs])  # of fixed size
+    gram, aim = total[:, : DIMS + 1], total[:, DIMS + 1 :]
+    mean, n = gram[-1, :DIMS] / gram[-1, -1], len(names)
+    centred = gram[:DIMS, :DIMS] - n * np.outer(mean, mean)
+    level = aim[-1] / n
+    w = np.linalg.solve(centred + ridge * np.trace(centred) / DIMS * np.eye(DIMS), aim[:DIMS] - n * np.outer(mean, level))
     weights = np.vstack([w, level - mean @ w]).astype(np.float32)
-    right = ((x @ weights[:-1] + weights[-1]) * target > 0).mean(0)
-    return Model(names, code, weights, np.clip(2 * right - 1, 0.05, 1).astype(np.float32))
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _rows_of(batch, place)
+            hits = ((x @ weights) * code[y] > 0).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(hits)), pa.int32()), pa.array(hits, pa.int64())], names=["bit", "n"])
+
+    hits = {r["bit"]: r["n"] for r in drawn.mapInArrow(right, "bit int, n long").groupBy("bit").agg(F.sum("n").alias("n")).collect()}
+    share = np.array([hits[k] for k in range(code.shape[1])]) / sum(n for _, n in counts)
+    return Model(names, code, weights, np.clip(2 * share - 1, 0.05, 1).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
