@@ -1,10 +1,10 @@
 """Token-id output in a binary format with Re-Pair grammar compression.
 
 Documents are range-partitioned and sorted by doc_id; each partition is a shard, written as blocks of
-some millions of ids. In a block, rounds of Re-Pair replace frequent pairs of neighbours by new symbols
-(several pairs at once, no pair across an end id, left to right without overlap). A block stores its
-rules, the length each symbol expands to, the shortened sequence, and where each document begins in it,
-so one document is decoded without the rest.
+some millions of ids. In a block, Re-Pair replaces the most frequent pairs of neighbours by new symbols
+until no pair is left that pays (none across an end id). A block stores its rules, the length each rule
+expands to, the shortened sequence, and where each document begins in it, so one document, or any range
+of ids, is decoded without the rest.
 
 The files are Parquet in the shared folder, one row per block, with columns
   shard, block           place in the order of documents
@@ -21,8 +21,8 @@ Encoding is that of the tokenizers library. Pre-tokenization never joins across
 a text's ids are those of its space-separated parts one after another; parts are encoded once a worker.
 
 Defined cases: null or empty text: just the end id. Null doc_id sorts first. Repeated rows are stored
-each, in the order of their text. An empty table gives no file rows and an empty result. Extra columns
-are ignored.
+each, in the order of their text. A very long text is one document of one block. An empty table gives no
+file rows and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,9 @@ from quillspark.llm.shared import written
 
 END = 1
 BLOCK_IDS = 2_000_000
-ROUNDS, PAIRS, LEAST_COUNT = 6, 2048, 16
+#: A rule takes 12 bytes (two symbols and a length) and each place where it is used saves a symbol of 2: from 7 places on it pays.
+LEAST_COUNT = 7
+SHARD_CHARS = 64_000_000
 MOST_WORDS = 1_200_000
 MOST_TAILS = 100_000
 
@@ -149,95 +150,128 @@ def _encoder(tokenizer: bytes) -> WordEncoder:
     return WordEncoder(tokenizer)
 
 
-def compress(ids: np.ndarray, first_rule: int, fixed: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): Re-Pair of ids; fixed is in no pair. Rule k is symbol first_rule + k."""
-    small = first_rule < 1 << 16  # so that two symbols fit 32 bits
-    kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
-    symbols, rules = ids.astype(kind), []
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or small and first_rule + len(rules) + PAIRS > 1 << 16:
-            break
-        keys = symbols[:-1] << shift | symbols[1:]
-        slot = (keys * np.uint32(0x9E3779B1) >> np.uint32(12) if small else keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): Re-Pair of ids; fixed is in no pair. Rule k is symbol first_rule + k.
+
+    In a round all pairs that occur at least half as often as the most frequent one are replaced, the
+    more frequent first where they overlap; the most frequent is replaced wherever it stands. It ends
+    when no pair occurs least times without overlap. Counts are exact: the slots of a hash table bound
+    them from above, and pairs in full enough slots are counted one by one.
+    """
+    symbols, rules = ids.astype(np.uint64), np.empty(0, np.uint64)
+    bound = None
+    while len(symbols) > 1:
+        keys = symbols[:-1] << np.uint64(32) | symbols[1:]
+        slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
         end = symbols == fixed
         slot[end[:-1] | end[1:]] = 1 << 20
-        count = np.bincount(slot, minlength=(1 << 20) + 1)
-        count[1 << 20] = 0
-        # The fullest slots; of each the first pair, and its exact count.
-        full = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(full):
+        slots = np.bincount(slot, minlength=(1 << 20) + 1)
+        slots[1 << 20] = 0
+        most = int(slots.max())
+        if most < least:
             break
-        if len(full) > 2 * PAIRS:
-            full = full[count[full] >= np.partition(count[full], -2 * PAIRS)[-2 * PAIRS]]
-        number = np.full((1 << 20) + 1, -1, np.int32)
-        number[full] = np.arange(len(full))
-        who = number[slot]
-        at = np.flatnonzero(who >= 0)
-        who, pair = who[at], keys[at]
-        pairs = np.empty(len(full), kind)
-        pairs[who[::-1]] = pair[::-1]
-        same = pair == pairs[who]
-        at, who = at[same], who[same]
-        n = np.bincount(who, minlength=len(full))
-        order = np.lexsort((pairs, -n))[:PAIRS]
-        order = order[n[order] >= LEAST_COUNT]
-        if not len(order):
+        bound = max(least, min(most, bound or most) // 2)
+        while True:
+            at = np.flatnonzero((slots >= bound)[slot])
+            pairs, which = np.unique(keys[at], return_inverse=True)
+            # Of a run of one pair over itself (aaaa) every second place counts.
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(at) != 1) | (which[1:] != which[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            apart = (np.arange(len(at)) - start) % 2 == 0
+            at, which = at[apart], which[apart]
+            count = np.bincount(which, minlength=len(pairs))
+            if bound == least or count.max(initial=0) >= bound:
+                break
+            bound = max(least, bound // 2)
+        often = count >= bound
+        if not often.any():
             break
-        number = np.full(len(pairs), -1)
-        number[order] = np.arange(len(order))
-        chosen = number[who]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
-        # Left to right without overlap: in each run of adjacent places, every second one.
-        run = np.concatenate([[True], np.diff(at) != 1])
-        start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, chosen = at[take], chosen[take]
-        used = np.zeros(len(order), bool)
-        used[chosen] = True
-        rename = first_rule + len(rules) + np.cumsum(used) - 1
-        symbols[at] = rename[chosen]
+        # The more frequent of overlapping pairs goes first: places whose pair ranks above both neighbours'.
+        rank = np.full(len(pairs), -1)
+        order = np.flatnonzero(often)[np.lexsort((pairs[often], count[often]))]
+        rank[order] = np.arange(len(order))
+        at, which = at[often[which]], which[often[which]]
+        place = np.full(len(symbols) + 1, -1, np.int32)
+        place[at + 1] = rank[which]
+        mine = place[at + 1]
+        take = (mine > place[at]) & (mine > np.append(place, -1)[at + 2])
+        at, which = at[take], which[take]
+        # Pairs that have a rule from an earlier round keep it; new rules need enough places.
+        taken = np.bincount(which, minlength=len(pairs))
+        symbol = np.full(len(pairs), -1)
+        if len(rules):
+            sorter = np.argsort(rules, kind="stable")
+            k = sorter[np.minimum(np.searchsorted(rules, pairs, sorter=sorter), len(rules) - 1)]
+            symbol = np.where(rules[k] == pairs, first_rule + k, -1)
+        fresh = np.flatnonzero((taken >= least) & (symbol < 0))
+        symbol[fresh] = first_rule + len(rules) + np.arange(len(fresh))
+        rules = np.append(rules, pairs[fresh])
+        has = symbol[which] >= 0
+        at, which = at[has], which[has]
+        symbols[at] = symbol[which]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        chosen = pairs[order[used]]
-        rules += zip((chosen >> shift).tolist(), (chosen & kind((1 << int(shift)) - 1)).tolist())
-    return symbols.astype(np.int64), np.array(rules, np.int64).reshape(-1, 2)
+    return symbols.astype(np.int64), np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
 
 
 def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """How many ids each rule expands to."""
     out: list[int] = []
     for a, b in rules.tolist():
         out.append(sum(1 if x < first_rule else out[x - first_rule] for x in (a, b)))
     return np.array(out, np.int64)
 
 
-def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all symbols one after another, terminals first, and where each symbol's begin (and the end)."""
-    out: list[list[int]] = []
-    for a, b in rules.tolist():
-        out.append([*(out[a - first_rule] if a >= first_rule else (a,)), *(out[b - first_rule] if b >= first_rule else (b,))])
-    sizes = np.concatenate([np.ones(first_rule, np.int64), np.array([len(x) for x in out], np.int64)])
-    flat = np.concatenate([np.arange(first_rule, dtype="<u4"), np.fromiter(chain.from_iterable(out), "<u4")])
-    return flat, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids of a sequence of symbols."""
-    flat, bounds = expansions(rules, first_rule)
-    begin, size = bounds[:-1][symbols], np.diff(bounds)[symbols]
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """The ids of a sequence of symbols: rules are written out once each, one after another, at places their lengths give."""
+    ends = first_rule + np.cumsum(lengths)
+    flat = np.empty(int(ends[-1]) if len(ends) else first_rule, "<u4")
+    flat[:first_rule] = np.arange(first_rule)
+    begin = np.concatenate([np.arange(first_rule), ends - lengths]).astype(np.int64)
+    size = np.concatenate([np.ones(first_rule, np.int64), lengths])
+    starts, sizes = begin.tolist(), size.tolist()
+    for k, (a, b) in enumerate(rules.tolist(), first_rule):
+        at, n, m = starts[k], sizes[a], sizes[b]
+        flat[at : at + n] = flat[starts[a] : starts[a] + n]
+        flat[at + n : at + n + m] = flat[starts[b] : starts[b] + m]
+    begin, size = begin[symbols], size[symbols]
     end = np.cumsum(size)
     return flat[np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))]
 
 
+def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop of what symbols expand to. Whatever lies outside is passed over by its length;
+    only rules that reach into the range are opened, and of them only the parts that do."""
+    size = np.ones(len(symbols), np.int64)
+    size[symbols >= first_rule] = lengths[symbols[symbols >= first_rule] - first_rule]
+    reached = np.cumsum(size)
+    a = int(np.searchsorted(reached, start, side="right"))
+    skip = start - (int(reached[a - 1]) if a else 0)
+    left, out, work = stop - start, [], symbols[a : int(np.searchsorted(reached, stop)) + 1].tolist()[::-1]
+    while left > 0 and work:
+        x = work.pop()
+        n = 1 if x < first_rule else int(lengths[x - first_rule])
+        if skip >= n:
+            skip -= n
+        elif x < first_rule:
+            out.append(x)
+            left -= 1
+        else:
+            work += rules[x - first_rule].tolist()[::-1]
+    return np.array(out, "<u4")
+
+
 _FILE = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_before", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("n_ids", pa.binary()), ("begins", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("wide", pa.bool_()), ("first_rule", pa.int32())])
 _FILE_DDL = "shard int, block int, n_before long, doc_ids binary, known binary, n_ids binary, begins binary, rules binary, lengths binary, symbols binary, wide boolean, first_rule int"
 
 
-def _block(shard: int, block: int, before: int, docs: list[tuple[int | None, bytes]], first_rule: int) -> tuple:
+def _block(shard: int, block: int, before: int, docs: list[tuple[int | None, bytes]], first_rule: int, least: int) -> tuple:
     end = np.array([END], "<u4").tobytes()
     ids = np.frombuffer(b"".join(c + end for _, c in docs), "<u4")
     counts = np.array([len(c) // 4 + 1 for _, c in docs], "<u4")
-    symbols, rules = compress(ids, first_rule)
+    symbols, rules = compress(ids, first_rule, least=least)
     lengths = lengths_of(rules, first_rule)
     size = np.ones(len(symbols), np.int64)
     nonterminal = symbols >= first_rule
@@ -251,17 +285,20 @@ def _block(shard: int, block: int, before: int, docs: list[tuple[int | None, byt
     )
 
 
-def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None) -> DataFrame:
-    """Encode docs (doc_id, text), write the files, and return them as read again."""
+def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None, least: int = LEAST_COUNT) -> DataFrame:
+    """Encode docs (doc_id, text), write the files, and return them as read again. With least = 2 Re-Pair goes
+    on until no pair occurs twice, also where rules take more than they save."""
     spark = docs.sparkSession
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if shards is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, block, before, held, n = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, [], 0
         first_rule = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_block(shard, block, before, held, first_rule), _FILE)], schema=_FILE)
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_block(shard, block, before, held, first_rule, least), _FILE)], schema=_FILE)
 
         for batch in batches:
             doc_ids = iter(batch["doc_id"].to_pylist())
@@ -295,9 +332,7 @@ def starts_of_shards(files: DataFrame) -> DataFrame:
 
 def read_block(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids before it in the shard, its ids) of each document of a file row."""
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
-    ids = expand(symbols, rules, row["first_rule"])
+    ids = expand(*_grammar(row))
     counts = np.frombuffer(row["n_ids"], "<u4").astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     for d, known, a, b in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["known"], bounds.tolist(), bounds[1:].tolist()):
@@ -306,9 +341,19 @@ def read_block(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 def read_document(row: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of a file row, without decoding the others."""
+    symbols, rules, lengths, first_rule = _grammar(row)
     begins = np.frombuffer(row["begins"], "<u4")
-    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")[begins[k] : begins[k + 1]]
-    return expand(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64), row["first_rule"])
+    return expand_range(symbols[begins[k] : begins[k + 1]], rules, lengths, first_rule, 0, int(np.frombuffer(row["n_ids"], "<u4")[k]))
+
+
+def read_range(row: dict, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop of a file row, found by the stored lengths."""
+    return expand_range(*_grammar(row), start, stop)
+
+
+def _grammar(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
+    return symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64), np.frombuffer(row["lengths"], "<u4").astype(np.int64), row["first_rule"]
 
 
 def digests(files: DataFrame) -> DataFrame:
