@@ -6,10 +6,15 @@ number, and the inverse of the Poisson distribution turns it into a count; rows
 shuffled by a hash of the copy. A mean above STEP is a sum of independent Poisson numbers of equal
 means of at most STEP, so that no mean underflows.
 
+A row whose mean asks for many draws is split: each RUN of draws is a row of its own, which draws and
+explodes in a task of its own, so no row's copies pass through one task. Copies are dealt by a hash of
+doc_id, text and copy number, so the copies of a row are spread; only equal copies of equal rows meet.
+
 Defined cases: null source is a source of its own (weight key None). Null or empty text counts as one
 character, so that it too has a place in the mix. Repeated rows draw the same count. Sources that the
-weights do not name get weight 0 if others are named; without weights all sources get equal ones. An
-empty table gives an empty result. A column named copy_no, or any that is used inside, is replaced.
+weights do not name get weight 0 if others are named; without weights all sources get equal ones. Very
+long texts are repeated whole. An empty table gives an empty result. A column named copy_no is replaced;
+columns used inside take names that docs does not have.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP, MOST = 16.0, 90  # P(Poisson(16) > 90) is below 2 ** -53
+RUN = 64  # draws made and exploded together: some 1,000 copies
 BROADCAST_SOURCES = 100_000  # rows of (source, mean): some MB
 
 
@@ -50,20 +56,29 @@ def poisson_cdf(mean: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
-    """docs with each row repeated by its count (copy_no from 0), in an order that a hash shuffles globally."""
+    """docs with each row repeated by its count, in an order that a hash shuffles globally. copy_no is a long:
+    0, 1, ... in a run of draws, and run r begins at r * RUN * MOST."""
     columns = [c for c in docs.columns if c != "copy_no"]
-    mine = {c: f"_mix_{c}" for c in ("source", "rate", "steps", "cdf", "n", "key")}
+    prefix = "_mix"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    mine = {c: f"{prefix}_{c}" for c in ("source", "rate", "steps", "cdf", "n", "key", "run")}
     table = rates(docs, weights, epochs)
     steps = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("long")
     table = table.withColumn("steps", steps).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("steps")))
     table = table.select(*[F.col(c).alias(mine[c]) for c in ("source", "rate", "steps", "cdf")])
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.select(*columns).join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col(mine["source"])))
-    draws = F.transform(F.sequence(F.lit(1).cast("long"), F.col(mine["steps"])), lambda j: uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), j))
-    n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(mine["cdf"]), lambda c: c < u)))
-    n = F.when(F.col(mine["rate"]) <= 0, 0).otherwise(n)
-    copies = joined.withColumn(mine["n"], n).where(F.col(mine["n"]) > 0)
-    copies = copies.select(*columns, F.explode(F.sequence(F.lit(0), F.col(mine["n"]) - 1)).alias("copy_no"))
+    joined = joined.where(F.col(mine["rate"]) > 0)
+    runs = joined.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(mine["steps"]) - 1) / RUN))).alias(mine["run"]))
+    if (table.agg(F.max(mine["steps"])).first()[0] or 0) > RUN:
+        runs = runs.repartition(F.xxhash64("doc_id", "text", mine["run"]))
+    first, last = F.col(mine["run"]) * RUN + 1, F.least((F.col(mine["run"]) + 1) * RUN, F.col(mine["steps"]))
+    draws = F.transform(F.sequence(first, last), lambda j: uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), j))
+    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter(F.col(mine["cdf"]), lambda c: c < u)))
+    copies = runs.withColumn(mine["n"], n).where(F.col(mine["n"]) > 0)
+    numbers = F.sequence(F.lit(0).cast("long"), F.col(mine["n"]) - 1)
+    copies = copies.select(*columns, mine["run"], F.explode(numbers).alias("copy_no")).withColumn("copy_no", F.col("copy_no") + F.col(mine["run"]) * (RUN * MOST))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy_no"), F.xxhash64("text"))
-    shuffled = copies.withColumn(mine["key"], place)
+    shuffled = copies.select(*columns, "copy_no", place.alias(mine["key"]))
     return shuffled.repartition(mine["key"]).sortWithinPartitions(mine["key"]).drop(mine["key"])

@@ -128,7 +128,7 @@ drawn AS (
     (CAST('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || j), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.steps + 1)) t(j)),
 counts AS (SELECT doc_id, CAST(sum(len(list_filter(cdf, lambda c: c < u))) AS BIGINT) AS n FROM drawn GROUP BY doc_id)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.i AS INTEGER) AS copy_no
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.i AS copy_no
 FROM documents d JOIN (SELECT doc_id, unnest(range(0, n)) AS i FROM counts) c ON d.doc_id = c.doc_id""",
 }
 ORACLES["op9_bm25_top_k_documents"] = ORACLES["op9_bm25_top_k"].replace("SELECT item_id AS query_id", "SELECT doc_id AS query_id").replace("FROM benchmark WHERE item_id % 20 = 0", "FROM documents WHERE doc_id % 20 = 0")
