@@ -1,187 +1,248 @@
 """Exact top-k search: BM25 over an inverted index with block-max WAND pruning, per shard, merged exactly.
 
-A word is a run of bytes other than white space, A-Z in lower case. First pass: number of documents, their
-mean length, and in how many each query word occurs, over all documents. Second pass: each Arrow batch
-of documents is a shard. Its inverted index holds the lists of the query words, with each posting's
-BM25 impact and the largest impact in each block of BLOCK documents. WAND's test is made at blocks that
-all lists share: a block whose largest impacts don't add up to the query's k-th best score so far is
-skipped, and the bar rises as blocks are scored and is carried from shard to shard of a task. Shards
-use the global statistics, so their best k merge exactly.
-
-Queries are taken in groups of QUERY_GROUP; what is sent to the tasks is the words of one group.
+A word is a run of bytes other than white space, A-Z in lower case.
+
+Index: one pass over the documents writes shards of at most SHARD_DOCS documents: for each term its
+postings (document, frequency) in document order, cut at every BLOCK documents, and for each such
+block the largest BM25 factor of a posting in it (without idf; so the shards don't depend on the
+queries). It is written once; document frequencies are summed from it.
+
+Search: queries become term lists with their weights (idf times how often the query has the term),
+written in groups of QUERY_GROUP; each (shard, group) pair is a row for the tasks, a stated query set
+against all rows in blocks. For one query and shard, the block maxima of its terms add up to a bound for
+every block of documents; these are all that is read at first. WAND then goes through the blocks in
+document order: the pivot is the next block whose bound reaches the bar, the query's k-th best score so
+far; the cursors of the terms' lists jump to it by the block offsets, without touching the postings
+between, and its documents are scored. The bar starts at what the PRIMING blocks of the highest bounds
+give. Every k best of a shard are exact under the global statistics, so they merge exactly.
 
 Defined cases: null or empty text: a document (or query) of no words, never found (finding nothing). A
 document is found if it has a query word. Scores are rounded to 9 decimals; ties go to the least
-doc_id, nulls first. Repeated rows are documents of their own. A word that a query repeats counts as
-often. Empty tables give an empty result. Extra columns are ignored.
+doc_id, nulls first, rows of equal doc_id in any order. Repeated documents are documents of their own.
+Query rows of one query_id (null is one too) are one query: their words are taken together. A word that a
+query repeats counts as often. Very long texts are indexed and searched whole. Empty tables give an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import written
 from quillspark.llm.words import text_parts, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 64
-QUERY_GROUP = 2000
+BLOCK, PRIMING = 64, 2
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_000_000
+QUERY_GROUP = 1000
 _ROUND = 9
 
+_SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in ("doc_ids", "known", "terms", "first_block", "block", "first_posting", "most", "doc", "factor")])
+_SHARD_DDL = "shard long, doc_ids binary, known binary, terms binary, first_block binary, block binary, first_posting binary, most binary, doc binary, factor binary"
+
+
+def statistics(docs: DataFrame) -> tuple[int, float]:
+    """Number of documents and their mean length in words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = words = 0
+        for batch in batches:
+            for _, _, data, bounds in text_parts(batch["text"]):
+                words += int(word_hashes(data, bounds)[1][-1])
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words])], names=["n", "words"])
+
+    n, words = docs.select("text").mapInArrow(count, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
+    return n or 0, (words / n if words else 1.0)
 
-class _Lookup:
-    """Number of a hash among sorted ones, -1 for others."""
 
-    def __init__(self, terms: np.ndarray):
-        self.terms, self.may = terms, np.zeros(1 << 16, bool)
-        self.may[terms & np.uint64(0xFFFF)] = True
+def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float) -> tuple:
+    """parts: (term, document, frequency, length of that document) of postings."""
+    term, doc, tf, length = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((doc, term))
+    term, doc, tf, length = term[order], doc[order], tf[order], length[order]
+    factor = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    new_term = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
+    new_block = new_term.copy()
+    new_block[1:] |= doc[1:] // BLOCK != doc[:-1] // BLOCK
+    at = np.flatnonzero(new_block)
+    first_block = np.append(np.cumsum(new_block)[new_term] - 1, len(at))
+    most = np.maximum.reduceat(factor, at) if len(at) else factor
+    return (
+        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), term[new_term].tobytes(), first_block.astype("<i4").tobytes(),
+        (doc[at] // BLOCK).astype("<i2").tobytes(), np.append(at, len(term)).astype("<i4").tobytes(), most.tobytes(), doc.astype("<u2").tobytes(), factor.tobytes(),
+    )
 
-    def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, numbers) of the words that are terms."""
-        at = np.flatnonzero(self.may[words & np.uint64(0xFFFF)])
-        k = np.minimum(np.searchsorted(self.terms, words[at]), len(self.terms) - 1)
-        same = self.terms[k] == words[at]
-        return at[same], k[same]
 
+def build_index(docs: DataFrame, mean: float) -> DataFrame:
+    """The written shards of docs (doc_id, text)."""
 
-def _postings(batch: pa.RecordBatch, lookup: _Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Length of each document; term, document and frequency of each posting, by term and then document."""
-    length, keys = np.zeros(batch.num_rows, np.int64), []
-    for a, b, data, bounds in text_parts(batch["text"]):
-        words, first = word_hashes(data, bounds)
-        length[a:b] = np.diff(first)
-        at, k = lookup(words)
-        keys.append(k * batch.num_rows + np.searchsorted(first, at, side="right") - 1 + a)
-    keys, tf = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-    return length, keys // max(1, batch.num_rows), keys % max(1, batch.num_rows), tf
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        number, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
 
-def _statistics(docs: DataFrame, lookup: _Lookup) -> tuple[int, int, np.ndarray]:
-    """Number of documents, words in all of them, and documents of each term."""
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_shard(number, ids, parts, mean), _SHARD)], schema=_SHARD)
+
+        for batch in batches:
+            doc_ids = batch["doc_id"].to_pylist()
+            for a, _, data, bounds in text_parts(batch["text"]):
+                words, first = word_hashes(data, bounds)
+                for k, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist()), a):
+                    term, tf = np.unique(words[x:y], return_counts=True)
+                    parts.append((term, np.full(len(term), len(ids)), tf, np.full(len(term), y - x)))
+                    ids.append(doc_ids[k])
+                    held += len(term)
+                    if len(ids) == SHARD_DOCS or held >= SHARD_POSTINGS:
+                        yield out()
+                        number, ids, parts, held = number + 1, [], [], 0
+        if ids:
+            yield out()
+
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, _SHARD_DDL), "bm25-index")
+
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(term, df) of every term of the index."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = words = 0
-        df = np.zeros(len(lookup.terms), np.int64)
         for batch in batches:
-            length, term, _, _ = _postings(batch, lookup)
-            n, words = n + len(length), words + int(length.sum())
-            df += np.bincount(term, minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], some])), pa.array(np.concatenate([[n, words], df[some]]))], names=["term", "n"])
-
-    got = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.zeros(len(lookup.terms), np.int64)
-    for t, n in got.items():
-        if t >= 0:
-            df[t] = n
-    return got.get(-2, 0), got.get(-1, 0), df
-
-
-class Best:
-    """The k best (score, doc_id) of one query so far; the bar is the k-th score."""
-
-    def __init__(self, k: int):
-        self.k, self.found, self.bar = k, [], 0.0
-
-    def add(self, scores: np.ndarray, docs: list) -> None:
-        self.found += zip(scores.tolist(), docs)
-        self.found.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
-        del self.found[self.k :]
-        if len(self.found) == self.k:
-            self.bar = self.found[-1][0]
-
-
-def search_shard(n_docs: int, doc_ids: list, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: list[int], best: Best) -> int:
-    """Adds a shard's best documents for a query to best; returns how many blocks were scored.
-
-    lists: for each query term its documents (ascending), their impacts, and the largest impact of each block.
-    """
-    if not lists:
-        return 0
-    bound = reduce(np.add, [w * most for (_, _, most), w in zip(lists, weights)])
-    order = np.argsort(-bound, kind="stable")
-    order = order[bound[order] > 0]
-    scored, step = 0, 4
-    while scored < len(order):
-        chunk = order[scored : scored + step]
-        chunk = chunk[bound[chunk] >= best.bar - 1e-8]  # equal scores may win by doc_id
-        if not len(chunk):
-            break
-        inside = np.zeros(len(bound), bool)
-        inside[chunk] = True
-        scores = np.zeros(n_docs)
-        for (docs, impact, _), w in zip(lists, weights):
-            sel = inside[docs // BLOCK]
-            scores[docs[sel]] += w * impact[sel]
-        scores = np.round(scores, _ROUND)
-        hit = np.flatnonzero((scores > 0) & (scores >= best.bar))
-        if len(hit) > best.k:  # those below the k-th of this chunk can't be among the best
-            hit = hit[scores[hit] >= np.partition(scores[hit], -best.k)[-best.k]]
-        best.add(scores[hit], [doc_ids[d] for d in hit])
-        scored += len(chunk)
-        step *= 2
-    return scored
-
-
-def _search_group(docs: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    """queries: (query_id, sorted term hashes, how often the query has each)."""
-    every = [t for _, t, _ in queries if len(t)]
-    lookup = _Lookup(np.unique(np.concatenate(every)) if every else np.zeros(1, np.uint64))
-    n, words, df = _statistics(docs, lookup)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    mean = words / n if words else 1.0
-    wanted = [(q, np.searchsorted(lookup.terms, t).tolist(), w.tolist()) for q, t, w in queries]
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+            for terms, first_block, first_posting in zip(*(batch[c].to_pylist() for c in ("terms", "first_block", "first_posting"))):
+                bounds = np.frombuffer(first_posting, "<i4")[np.frombuffer(first_block, "<i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(bounds).astype(np.int64))], names=["term", "n"])
+
+    return index.select("terms", "first_block", "first_posting").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+    """Written groups of queries: (group, query_ids, known, bounds, terms, weights), each query's terms one after another."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["query_id"]
+            for a, b, data, bounds in text_parts(batch["text"]):
+                words, first = word_hashes(data, bounds)
+                row = np.repeat(np.arange(a, b), np.diff(first))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(words.view(np.int64))], names=["query_id", "term"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(k) for _ in wanted]
+    asked = queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(words_of, "query_id long, term long")
+    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(document_frequencies(index), "term").select("query_id", "term", (F.col("n") * idf).alias("weight"))
+    lists = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, term, doc, tf = _postings(batch, lookup)
-            impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-            cuts = np.searchsorted(term, np.arange(len(lookup.terms) + 1))
-            ids, blocks, index = batch["doc_id"].to_pylist(), -(-batch.num_rows // BLOCK), {}
-            for t in np.flatnonzero(np.diff(cuts)).tolist():
-                d, x = doc[cuts[t] : cuts[t + 1]], impact[cuts[t] : cuts[t + 1]]
-                most = np.zeros(blocks)
-                np.maximum.at(most, d // BLOCK, x)
-                index[t] = (d, x, most)
-            for (_, terms, w), b in zip(wanted, best):
-                here = [(index[t], c) for t, c in zip(terms, w) if t in index]
-                search_shard(batch.num_rows, ids, [x for x, _ in here], [c for _, c in here], b)
-        out = [(q, d, s) for (q, _, _), b in zip(wanted, best) for s, d in b.found]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "query_id long, doc_id long, score double")
+            for a in range(0, batch.num_rows, QUERY_GROUP):
+                part = batch.slice(a, QUERY_GROUP)
+                ids, t = part["query_id"].to_pylist(), part["t"]
+                flat, bounds = t.flatten(), np.concatenate([[0], np.cumsum(t.value_lengths().to_numpy())])
+                terms, weights = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
+                row = (np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], np.uint8), bounds.astype("<i8"), terms, weights)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["query_ids", "query_known", "bounds", "query_terms", "weights"])
+
+    return written(lists.mapInArrow(pack, "query_ids binary, query_known binary, bounds binary, query_terms binary, weights binary"), "bm25-queries")
+
+
+class Shard:
+    """A shard's inverted index, as read from its row; `touched` counts the postings that searches have read."""
+
+    def __init__(self, row: dict):
+        self.doc_ids, self.known = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], np.uint8).astype(bool)
+        self.terms, self.first_block = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["first_block"], "<i4").astype(np.int64)
+        self.sorted = np.argsort(self.terms)
+        self.block, self.first_posting, self.most = np.frombuffer(row["block"], "<i2"), np.frombuffer(row["first_posting"], "<i4").astype(np.int64), np.frombuffer(row["most"])
+        self.doc, self.factor = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["factor"])
+        self.n_blocks, self.touched = -(-len(self.doc_ids) // BLOCK), 0
+
+    def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of those of the terms that are here, and their weights."""
+        if not len(self.terms) or not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        k = self.sorted[np.minimum(np.searchsorted(self.terms, terms, sorter=self.sorted), len(self.terms) - 1)]
+        here = self.terms[k] == terms
+        return k[here], weights[here]
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    size = stop - first
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) + (first - (np.cumsum(size) - size))[which], which
+
+
+def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of a shard's k best for a query; ties at the end are all kept."""
+    lists, weights = shard.lists(terms, weights)
+    blocks, which = _ranges(shard.first_block[lists], shard.first_block[lists + 1])
+    place = shard.block[blocks]
+    bound = np.bincount(place, weights[which] * shard.most[blocks], shard.n_blocks)
+    order = np.argsort(place, kind="stable")  # block pointers of all lists by block: where cursors land
+    blocks, which, place = blocks[order], which[order], place[order]
+    begin = np.searchsorted(place, np.arange(shard.n_blocks + 1))
+    docs, scores, bar = np.empty(0, np.int64), np.empty(0), 0.0
+
+    def score(pivots: np.ndarray) -> None:
+        nonlocal docs, scores, bar
+        at, _ = _ranges(begin[pivots], begin[pivots + 1])
+        posting, of = _ranges(shard.first_posting[blocks[at]], shard.first_posting[blocks[at] + 1])
+        shard.touched += len(posting)
+        doc, part = shard.doc[posting].astype(np.int64), weights[which[at]][of] * shard.factor[posting]
+        low = int(doc.min())
+        total = np.bincount(doc - low, part)
+        hit = np.flatnonzero(total)
+        docs, scores = np.concatenate([docs, hit + low]), np.concatenate([scores, np.round(total[hit], _ROUND)])
+        if len(scores) >= k:
+            bar = float(np.partition(scores, -k)[-k])
+            good = scores >= bar
+            docs, scores = docs[good], scores[good]
+
+    primed = np.argsort(-bound, kind="stable")[:PRIMING]
+    primed = np.sort(primed[bound[primed] > 0])
+    for x in primed:
+        score(np.array([x]))
+    at, step, left = 0, 1, bound.copy()
+    left[primed] = 0.0
+    while at < shard.n_blocks:
+        ahead = np.flatnonzero((left[at:] > 0) & (left[at:] >= bar - 1e-8))[:step] + at  # equal scores may win by doc_id
+        if not len(ahead):
+            break
+        score(ahead)
+        at, step = int(ahead[-1]) + 1, min(2 * step, 32)
+    return docs, scores
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents (doc_id, text) of each query (query_id, text)."""
+    n_docs, mean = statistics(docs)
+    index = build_index(docs, mean)
+    groups = query_groups(queries, index, n_docs)
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b, data, bounds in text_parts(batch["text"]):
-                words, first = word_hashes(data, bounds)
-                for q, x, y in zip(range(a, b), first, first[1:]):
-                    t, n = np.unique(words[x:y], return_counts=True)
-                    rows.append((batch["query_id"][q].as_py(), t.tobytes(), n.astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["query_id", "terms", "counts"])
-
-    parsed = queries.select(F.col("query_id").cast("long"), F.col("text").cast("string")).mapInArrow(terms, "query_id long, terms binary, counts binary")
-    parts, group = [], []
-    for r in parsed.orderBy("query_id").toLocalIterator():
-        group.append((r["query_id"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)))
-        if len(group) == QUERY_GROUP:
-            parts.append(_search_group(docs, group, k))
-            group = []
-    if group or not parts:
-        parts.append(_search_group(docs, group, k))
-    found = reduce(DataFrame.unionByName, parts)
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                shard = Shard(row)
+                ids, known = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_known"], np.uint8)
+                bounds, terms, weights = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"])
+                out: list[list] = [[], [], []]
+                for q, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                    found, scores = search(shard, terms[a:b], weights[a:b], k)
+                    order = np.lexsort((shard.doc_ids[found], shard.known[found], -scores))[:k]
+                    out[0] += [int(ids[q]) if known[q] else None] * len(order)
+                    out[1] += [int(shard.doc_ids[d]) if shard.known[d] else None for d in found[order]]
+                    out[2] += scores[order].tolist()
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+
+    # Groups of the stated queries, in blocks, against all shards.
+    found = index.drop("shard").crossJoin(groups).mapInArrow(find, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
