@@ -3,9 +3,9 @@
 A word is a run of bytes other than white space, A-Z in lower case.
 
 Index: one pass over the documents writes shards of at most SHARD_DOCS documents: for each term its
-postings (document, frequency) in document order, cut at every BLOCK documents, and for each such
-block the largest BM25 factor of a posting in it (without idf; so the shards don't depend on the
-queries). It is written once; document frequencies are summed from it.
+postings (document, BM25 factor) in document order, cut at every BLOCK documents, and for each such
+block the largest factor in it (without idf; so the shards don't depend on the queries). Documents
+of a shard are ordered by length. It is written once; document frequencies are summed from it.
 
 Search: queries become term lists with their weights (idf times how often the query has the term),
 written in groups of QUERY_GROUP; each (shard, group) pair is a row for the tasks, a stated query set
@@ -37,7 +37,7 @@ from quillspark.llm.shared import written
 from quillspark.llm.words import text_parts, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK, PRIMING = 64, 2
+BLOCK, PRIMING = 4, 16
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_000_000
 QUERY_GROUP = 1000
 _ROUND = 9
@@ -62,8 +62,15 @@ def statistics(docs: DataFrame) -> tuple[int, float]:
 
 
 def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float) -> tuple:
-    """parts: (term, document, frequency, length of that document) of postings."""
+    """parts: (term, document, frequency, length of that document) of postings. Documents are put in order of
+    length, as those of one length have alike factors, so that a block's largest is near the others."""
     term, doc, tf, length = (np.concatenate(x) for x in zip(*parts))
+    lengths = np.zeros(len(ids), np.int64)
+    lengths[doc] = length
+    order = np.argsort(lengths, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    doc, ids = place[doc], [ids[k] for k in order.tolist()]
     order = np.lexsort((doc, term))
     term, doc, tf, length = term[order], doc[order], tf[order], length[order]
     factor = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -205,8 +212,8 @@ def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int) -> tupl
 
     primed = np.argsort(-bound, kind="stable")[:PRIMING]
     primed = np.sort(primed[bound[primed] > 0])
-    for x in primed:
-        score(np.array([x]))
+    for x in range(0, len(primed), 4):
+        score(primed[x : x + 4])
     at, step, left = 0, 1, bound.copy()
     left[primed] = 0.0
     while at < shard.n_blocks:
@@ -214,7 +221,7 @@ def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int) -> tupl
         if not len(ahead):
             break
         score(ahead)
-        at, step = int(ahead[-1]) + 1, min(2 * step, 32)
+        at, step = int(ahead[-1]) + 1, min(2 * step, 64)
     return docs, scores
 
 
