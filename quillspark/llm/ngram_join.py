@@ -3,7 +3,9 @@
 1. Each document becomes the set of its word shingles' hashes. Hashes go by their top bits to buckets,
    where each bucket counts in how many different sets a hash occurs. A hash of one set alone can't
    link anything, and a set needs at least threshold * size shared hashes to have a partner; only the
-   sets that do go on, with just their shared hashes. Copies (equal sets) are one set throughout.
+   sets that do go on, with just their shared hashes. Copies (equal sets) are one set throughout. A hash
+   that a great many documents share (found in a sample) isn't gathered in one bucket: it is shared for
+   certain, so it stays with its sets, whose rows are spread, as the last in the order.
 2. Two sets at the threshold share a hash among the first size - ceil(threshold * size) + 1 of each, in
    any common order; rare hashes come first. Sets that share such a hash form a group; of groups with
    the same members one is kept.
@@ -19,14 +21,18 @@
 Hashes keep 40 bits below the bucket's; equality of two different shingles by chance adds 1 to one
 overlap in about 10 ** 9 pairs of ordinary documents.
 
-Defined cases: text null, empty or without words: empty set, linked with nothing, its own component
+Two different sets of one 64-bit id count as one; among n sets that happens n * n / 2 ** 65 times.
+
+Very long texts are read whole: one set. Defined cases: text null, empty or without words: empty set, linked with nothing, its own component
 (component_id = doc_id). Repeated rows give one row each. Null doc_id: kept; a component of only such
 rows has a null id. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from math import ceil, log2
 
 import numpy as np
@@ -45,7 +51,10 @@ BLOCK = 500_000
 LEAST_BUCKETS, BUCKET_CHARS = 64, 24_000_000
 _LOW = np.uint64((1 << 40) - 1)
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()), ("low", pa.binary())])
+#: A hash in so many of so many sampled documents is hot; its rank is above all counted ones.
+HOT_SAMPLE, HOT_COUNT, HOT_RANK = 50_000, 50, 99
+
+_PACKED = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("meta", "sets", "counts", "low", "hot_sets", "hot_counts", "hot")])
 
 
 def _set_id(h: np.ndarray) -> int:
@@ -53,28 +62,48 @@ def _set_id(h: np.ndarray) -> int:
     return (int(np.bitwise_xor.reduce(mix(h ^ np.uint64(len(h))))) if len(h) else 0) - (1 << 63)
 
 
-def _packer(bits: int, size: int):
-    """Batches of documents -> for each bucket the set ids, how many hashes of each, and the hashes; with one bucket go (doc_id, known, set id, size, row key) of all rows."""
+def _packer(bits: int, size: int, hot: np.ndarray):
+    """Batches of documents -> for each bucket the set ids, how many hashes of each, and the hashes. Hot hashes
+    go with their sets, spread by set id, instead of to their bucket; with one bucket go (doc_id, known, set
+    id, size, row key) of all rows."""
+
+    def blobs(values: np.ndarray, place: np.ndarray, buckets: np.ndarray) -> pa.Array:
+        """One binary for each bucket, of the values (rows of bytes, sorted by place) of that bucket."""
+        width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+        bounds = np.append(np.searchsorted(place, buckets), np.searchsorted(place, buckets[-1:], side="right"))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(buckets), [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+    def runs(bucket: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, set id, number) of the runs of one set in one bucket."""
+        new = np.ones(len(owner), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(new)
+        return bucket[at], ids[owner[at]], np.diff(np.append(at, len(owner))).astype(np.uint32)
 
     def flush(docs: list[tuple], sets: dict[int, np.ndarray], turn: int) -> pa.RecordBatch:
-        meta = np.array(docs, np.int64).tobytes()
         ids = np.array(list(sets), np.int64)
         hashes = np.concatenate(list(sets.values())) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(ids)), [len(h) for h in sets.values()]) if sets else np.empty(0, np.int64)
-        bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        warm = np.zeros(len(hashes), bool)
+        if len(hot) and len(hashes):
+            warm = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+        hot_hashes, hot_owner = hashes[warm], owner[warm]
+        hashes, owner = hashes[~warm], owner[~warm]
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        low = (hashes[order] >> np.uint64(24 - bits)) & _LOW
-        owner = owner[order]
-        cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        rows = []
-        for k in range(1 << bits):
-            a, b = cuts[k], cuts[k + 1]
-            mine = meta if k == turn % (1 << bits) else None
-            if a < b or mine:
-                who, count = np.unique(owner[a:b], return_counts=True)
-                part = low[a:b]
-                rows.append((k, mine, ids[who].tobytes(), count.astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes() + (part >> np.uint64(32)).astype(np.uint8).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PACKED)], schema=_PACKED)
+        bucket, owner, low = bucket[order], owner[order], (hashes[order] >> np.uint64(24 - bits)) & _LOW
+        records = low.view(np.uint8).reshape(-1, 8)[:, :5]
+        spread = ids[hot_owner] & ((1 << bits) - 1)
+        order = np.argsort(spread, kind="stable")
+        spread, hot_hashes, hot_owner = spread[order], hot_hashes[order], hot_owner[order]
+        mine = turn % (1 << bits)
+        buckets = np.unique(np.concatenate([bucket, spread, [mine]]))
+        meta = np.array([np.array(docs, np.int64).tobytes() if k == mine else None for k in buckets.tolist()], object)
+        columns = [pa.array(buckets.astype(np.int32)), pa.array(meta, pa.binary())]
+        for place, who, data in ((bucket, owner, records), (spread, hot_owner, hot_hashes)):
+            of, names, count = runs(place, who, ids)
+            columns += [blobs(names, of, buckets), blobs(count, of, buckets), blobs(data, place, buckets)]
+        return pa.RecordBatch.from_arrays(columns, schema=_PACKED)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, sets, held, turn = [], {}, 0, 0
@@ -98,10 +127,36 @@ def _packer(bits: int, size: int):
     return pack
 
 
+def hot_hashes(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes, ascending, that so many documents share that their bucket would be much larger than others: those
+    in HOT_COUNT or more of about HOT_SAMPLE documents, taken by a hash of the text, so at most a few
+    thousand for each hundred of words. What is missed only makes a bucket larger."""
+    n = docs.count()
+    some = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in text_parts(batch["text"]):
+                words, first = word_hashes(data, bounds)
+                h, count = np.unique(np.concatenate(list(shingle_sets(words, first, size))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
+
+    often = some.dropDuplicates().mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
 _REDUCED = "is_doc boolean, doc_id long, row long, set long, n long, hits binary, ranks binary"
 
 
-def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
+def _once(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the copies of a set that other batches sent."""
+    _, first = np.unique(ids, return_index=True)
+    keep = np.zeros(len(ids), bool)
+    keep[first] = True
+    return ids[keep], counts[keep], hashes[np.repeat(keep, counts)]
+
+
+def _shared_hashes(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """One bucket: the rows of its documents, and for each set the hashes that another set has too, with log2 of how many have them."""
     bucket = int(pdf["bucket"].iloc[0])
     out = []
@@ -112,12 +167,9 @@ def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
         out[-1].loc[m[:, 1] == 0, "doc_id"] = pd.NA
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sets"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
-    low = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 5).astype(np.uint64) | np.frombuffer(x, np.uint8, len(x) // 5, 4 * (len(x) // 5)).astype(np.uint64) << np.uint64(32) for x in pdf["low"]])
-    _, once = np.unique(ids, return_index=True)  # copies of a set in other batches
-    keep = np.zeros(len(ids), bool)
-    keep[once] = True
-    low = low[np.repeat(keep, counts)]
-    ids, counts = ids[keep], counts[keep]
+    low = np.zeros((int(counts.sum()), 8), np.uint8)
+    low[:, :5] = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 5)
+    ids, counts, low = _once(ids, counts, low.reshape(-1).view(np.uint64))
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     order = np.argsort(low, kind="stable")
     low, owner = low[order], owner[order]
@@ -131,6 +183,12 @@ def _shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
     stop = np.append(start[1:], len(owner))
     if len(who):
         out.append(pd.DataFrame({"is_doc": False, "doc_id": pd.array([pd.NA] * len(who), "Int64"), "row": 0, "set": ids[who], "n": 0, "hits": [low[a:b].tobytes() for a, b in zip(start, stop)], "ranks": [many[a:b].tobytes() for a, b in zip(start, stop)]}))
+    ids, counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["hot_sets"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hot_counts"]]).astype(np.int64)
+    ids, counts, hot = _once(ids, counts, np.frombuffer(b"".join(pdf["hot"]), np.uint64))
+    if len(ids):
+        stop = np.cumsum(counts)
+        full = ((hot >> np.uint64(24 - bits)) & _LOW) | (hot >> np.uint64(64 - bits)) << np.uint64(40)  # as in the buckets
+        out.append(pd.DataFrame({"is_doc": False, "doc_id": pd.array([pd.NA] * len(ids), "Int64"), "row": 0, "set": ids, "n": 0, "hits": [full[a:b].tobytes() for a, b in zip(stop - counts, stop)], "ranks": [bytes([HOT_RANK]) * n for n in counts.tolist()]}))
     return pd.concat(out) if out else pd.DataFrame({"is_doc": [], "doc_id": [], "row": [], "set": [], "n": [], "hits": [], "ranks": []})
 
 
@@ -160,41 +218,71 @@ class Index:
     def __init__(self, sets: list[np.ndarray]):
         keys = np.concatenate(sets)
         order = np.argsort(keys, kind="stable")
-        self.n = len(sets)
-        self.who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+        self.who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order].tolist()
         self.keys, self.start = np.unique(keys[order], return_index=True)
         self.stop = np.append(self.start[1:], len(self.who))
 
-
-def divide_skip(index: Index, query: np.ndarray, least: int, mu: float = 0.01, lists_from: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, overlaps) of the indexed sets that have at least least of query's hashes.
-
-    Lists are taken by length: the short ones are merged, counting how often each set comes up, and only
-    sets with enough of them are looked up in the long ones by binary search. As many lists are long
-    as the least overlap allows (DivideSkip's rule), of those with more than lists_from sets.
+    def lists(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """Bounds in who of the lists of query's hashes, shortest first."""
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        start, stop = self.start[at], self.stop[at]
+        order = np.argsort(stop - start, kind="stable")
+        return list(zip(start[order].tolist(), stop[order].tolist()))
+
+
+def merge_skip(who: list[int], lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """(number, how many lists have it) of the numbers in at least `least` of the lists, by a heap of the lists'
+    heads. Where the smallest head is in too few lists, `least` - 1 heads are taken off together and their
+    lists jump by binary search to the next head, as nothing before it can be in enough lists."""
+    heap = [(who[a], a, b) for a, b in lists]
+    heapify(heap)
+    while len(heap) >= least:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heappop(heap))
+        if len(taken) >= least:
+            yield top, len(taken)
+            for _, a, b in taken:
+                if a + 1 < b:
+                    heappush(heap, (who[a + 1], a + 1, b))
+            continue
+        while heap and len(taken) < least - 1:
+            taken.append(heappop(heap))
+        if not heap:
+            return
+        aim = heap[0][0]
+        for _, a, b in taken:
+            a = bisect_left(who, aim, a, b)
+            if a < b:
+                heappush(heap, (who[a], a, b))
+
+
+def divide_skip(index: Index, query: np.ndarray, least: int, mu: float = 0.01) -> list[tuple[int, int]]:
+    """(number, overlap) of the indexed sets that have at least least of query's hashes.
+
+    The longest lists, as many as DivideSkip's rule gives, are set apart. The others are heap-merged, and
+    only sets in enough of them are looked up in the long ones by binary search, as long as they can
+    still reach the overlap.
     """
-    at = np.minimum(np.searchsorted(index.keys, query), len(index.keys) - 1)
-    at = at[index.keys[at] == query]
-    if len(at) < least:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    size = index.stop[at] - index.start[at]
-    order = np.argsort(-size, kind="stable")
-    at, size = at[order], size[order]
-    skip = min(least - 1, int(least / (mu * log2(max(2, int(size[0]))) + 1)), int(np.count_nonzero(size > lists_from)))
-    long, short, sizes = at[:skip], at[skip:], size[skip:]
-    first = np.cumsum(sizes) - sizes
-    merged = index.who[np.arange(int(sizes.sum())) + np.repeat(index.start[short] - first, sizes)]
-    count = np.bincount(merged, minlength=index.n)
-    found = np.flatnonzero(count >= least - skip)
-    overlap = count[found]
-    for left, k in zip(range(skip, 0, -1), long.tolist()):
-        may = overlap + left >= least
-        found, overlap = found[may], overlap[may]
-        x = index.who[index.start[k] : index.stop[k]]
-        where = np.minimum(np.searchsorted(x, found), len(x) - 1)
-        overlap = overlap + (x[where] == found)
-    enough = overlap >= least
-    return found[enough], overlap[enough]
+    lists = index.lists(query)
+    if len(lists) < least:
+        return []
+    longest = lists[-1][1] - lists[-1][0]
+    apart = min(least - 1, int(least / (mu * log2(max(2, longest)) + 1)))
+    short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
+    out, who = [], index.who
+    for number, overlap in merge_skip(who, short, least - apart):
+        left = len(long)
+        for a, b in long:
+            if overlap + left < least:
+                break
+            k = bisect_left(who, number, a, b)
+            overlap += k < b and who[k] == number
+            left -= 1
+        if overlap >= least:
+            out.append((number, overlap))
+    return out
 
 
 def links_within(names: np.ndarray, labels: np.ndarray, components_: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -211,10 +299,8 @@ def links_within(names: np.ndarray, labels: np.ndarray, components_: np.ndarray,
         if not other.any():
             continue
         index = index or Index(sets)
-        found, overlap = divide_skip(index, sets[x], -(-percent * int(n[x]) // 100))
-        good = other[found] & (100 * overlap >= percent * (n[x] + n[found] - overlap))
-        for y in found[good].tolist():
-            if c[y] != c[x]:
+        for y, overlap in divide_skip(index, sets[x], -(-percent * int(n[x]) // 100)):
+            if other[y] and c[y] != c[x] and 100 * overlap >= percent * (n[x] + n[y] - overlap):
                 yield int(names[x]), int(names[y])
                 c[c == c[y]] = c[x]
 
@@ -255,8 +341,8 @@ def _linked(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFr
     """docs: (doc_id, text, row) -> (doc_id, row, set, n) of every row, and (node, root) of the sets that are linked."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, ceil(log2(max(1, chars / BUCKET_CHARS))))
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row").mapInArrow(_packer(bits, size), "bucket int, meta binary, sets binary, counts binary, low binary")
-    reduced = written(packed.groupBy("bucket").applyInPandas(_shared_hashes, _REDUCED), "hashes")
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row").mapInArrow(_packer(bits, size, hot_hashes(docs, size)), "bucket int, meta binary, sets binary, counts binary, low binary, hot_sets binary, hot_counts binary, hot binary")
+    reduced = written(packed.groupBy("bucket").applyInPandas(lambda pdf: _shared_hashes(pdf, bits), _REDUCED), "hashes")
 
     rows = reduced.where("is_doc").select("doc_id", "row", "set", "n")
     known = rows.where("n > 0").groupBy("set").agg(F.max("n").alias("n"))
