@@ -3,8 +3,8 @@
 A word is a run of bytes other than white space, A-Z in lower case.
 
 Index: one pass over the documents writes shards of at most SHARD_DOCS documents: for each term its
-postings (document, BM25 factor) in document order, cut at every BLOCK documents, and for each such
-block the largest factor in it (without idf; so the shards don't depend on the queries). Documents
+postings (document, frequency) in document order, cut at every BLOCK documents, and for each such
+block the largest BM25 factor in it (without idf; so the shards don't depend on the queries). Documents
 of a shard are ordered by length. It is written once; document frequencies are summed from it.
 
 Search: queries become term lists with their weights (idf times how often the query has the term),
@@ -38,12 +38,12 @@ from quillspark.llm.words import text_parts, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK, PRIMING = 4, 16
-SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_000_000
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 300_000
 QUERY_GROUP = 1000
 _ROUND = 9
 
-_SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in ("doc_ids", "known", "terms", "first_block", "block", "first_posting", "most", "doc", "factor")])
-_SHARD_DDL = "shard long, doc_ids binary, known binary, terms binary, first_block binary, block binary, first_posting binary, most binary, doc binary, factor binary"
+_SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in ("doc_ids", "known", "lengths", "terms", "first_block", "block", "first_posting", "most", "doc", "tf")])
+_SHARD_DDL = "shard long, doc_ids binary, known binary, lengths binary, terms binary, first_block binary, block binary, first_posting binary, most binary, doc binary, tf binary"
 
 
 def statistics(docs: DataFrame) -> tuple[int, float]:
@@ -61,6 +61,11 @@ def statistics(docs: DataFrame) -> tuple[int, float]:
     return n or 0, (words / n if words else 1.0)
 
 
+def factors(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """What BM25 multiplies the idf by."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float) -> tuple:
     """parts: (term, document, frequency, length of that document) of postings. Documents are put in order of
     length, as those of one length have alike factors, so that a block's largest is near the others."""
@@ -70,19 +75,20 @@ def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float)
     order = np.argsort(lengths, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
+    lengths = lengths[order]
     doc, ids = place[doc], [ids[k] for k in order.tolist()]
     order = np.lexsort((doc, term))
     term, doc, tf, length = term[order], doc[order], tf[order], length[order]
-    factor = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
     new_term = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
     new_block = new_term.copy()
     new_block[1:] |= doc[1:] // BLOCK != doc[:-1] // BLOCK
     at = np.flatnonzero(new_block)
     first_block = np.append(np.cumsum(new_block)[new_term] - 1, len(at))
-    most = np.maximum.reduceat(factor, at) if len(at) else factor
+    most = np.maximum.reduceat(factors(tf, length, mean), at) if len(at) else np.empty(0)
+    most = np.nextafter(most.astype("<f4"), np.float32(np.inf))  # never below
     return (
-        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), term[new_term].tobytes(), first_block.astype("<i4").tobytes(),
-        (doc[at] // BLOCK).astype("<i2").tobytes(), np.append(at, len(term)).astype("<i4").tobytes(), most.tobytes(), doc.astype("<u2").tobytes(), factor.tobytes(),
+        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.astype("<i4").tobytes(), term[new_term].tobytes(), first_block.astype("<i4").tobytes(),
+        (doc[at] // BLOCK).astype("<i2").tobytes(), np.append(at, len(term)).astype("<i4").tobytes(), most.tobytes(), doc.astype("<u2").tobytes(), tf.astype("<i4").tobytes(),
     )
 
 
@@ -160,12 +166,13 @@ def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame
 class Shard:
     """A shard's inverted index, as read from its row; `touched` counts the postings that searches have read."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, mean: float):
+        self.mean, self.lengths = mean, np.frombuffer(row["lengths"], "<i4")
         self.doc_ids, self.known = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], np.uint8).astype(bool)
         self.terms, self.first_block = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["first_block"], "<i4").astype(np.int64)
         self.sorted = np.argsort(self.terms)
-        self.block, self.first_posting, self.most = np.frombuffer(row["block"], "<i2"), np.frombuffer(row["first_posting"], "<i4").astype(np.int64), np.frombuffer(row["most"])
-        self.doc, self.factor = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["factor"])
+        self.block, self.first_posting, self.most = np.frombuffer(row["block"], "<i2"), np.frombuffer(row["first_posting"], "<i4").astype(np.int64), np.frombuffer(row["most"], "<f4")
+        self.doc, self.tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
         self.n_blocks, self.touched = -(-len(self.doc_ids) // BLOCK), 0
 
     def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +207,8 @@ def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int) -> tupl
         at, _ = _ranges(begin[pivots], begin[pivots + 1])
         posting, of = _ranges(shard.first_posting[blocks[at]], shard.first_posting[blocks[at] + 1])
         shard.touched += len(posting)
-        doc, part = shard.doc[posting].astype(np.int64), weights[which[at]][of] * shard.factor[posting]
+        doc, part = shard.doc[posting].astype(np.int64), weights[which[at]][of]
+        part = part * factors(shard.tf[posting], shard.lengths[doc], shard.mean)
         low = int(doc.min())
         total = np.bincount(doc - low, part)
         hit = np.flatnonzero(total)
@@ -236,7 +244,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                shard = Shard(row)
+                shard = Shard(row, mean)
                 ids, known = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_known"], np.uint8)
                 bounds, terms, weights = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"])
                 out: list[list] = [[], [], []]

@@ -153,37 +153,40 @@ def _encoder(tokenizer: bytes) -> WordEncoder:
 def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): Re-Pair of ids; fixed is in no pair. Rule k is symbol first_rule + k.
 
-    In a round all pairs that occur at least half as often as the most frequent one are replaced, the
+    In a round all pairs that occur at least a quarter as often as the most frequent one are replaced, the
     more frequent first where they overlap; the most frequent is replaced wherever it stands. It ends
     when no pair occurs least times without overlap. Counts are exact: the slots of a hash table bound
-    them from above, and pairs in full enough slots are counted one by one.
+    them from above, and pairs in full enough slots are counted one by one. Once all pairs of least
+    places have had their round, what is new are pairs of the last round's symbols, so only these are
+    counted, until there are none; then all are counted once more.
     """
     symbols, rules = ids.astype(np.uint64), np.empty(0, np.uint64)
-    bound = None
+    bound, since = None, None  # least count of the last round; first symbol of it, where only new ones are looked at
     while len(symbols) > 1:
-        keys = symbols[:-1] << np.uint64(32) | symbols[1:]
-        slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
-        end = symbols == fixed
-        slot[end[:-1] | end[1:]] = 1 << 20
-        slots = np.bincount(slot, minlength=(1 << 20) + 1)
-        slots[1 << 20] = 0
-        most = int(slots.max())
-        if most < least:
-            break
-        bound = max(least, min(most, bound or most) // 2)
-        while True:
-            at = np.flatnonzero((slots >= bound)[slot])
-            pairs, which = np.unique(keys[at], return_inverse=True)
-            # Of a run of one pair over itself (aaaa) every second place counts.
-            new = np.ones(len(at), bool)
-            new[1:] = (np.diff(at) != 1) | (which[1:] != which[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-            apart = (np.arange(len(at)) - start) % 2 == 0
-            at, which = at[apart], which[apart]
-            count = np.bincount(which, minlength=len(pairs))
-            if bound == least or count.max(initial=0) >= bound:
+        if since is not None:
+            new = symbols >= since
+            end = symbols == fixed
+            at = np.flatnonzero((new[:-1] | new[1:]) & ~(end[:-1] | end[1:]))
+            pairs, which, at, count = _places(symbols, at)
+            if count.max(initial=0) < least:
+                since = None
+                continue
+        else:
+            keys = symbols[:-1] << np.uint64(32) | symbols[1:]
+            slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
+            end = symbols == fixed
+            slot[end[:-1] | end[1:]] = 1 << 20
+            slots = np.bincount(slot, minlength=(1 << 20) + 1)
+            slots[1 << 20] = 0
+            most = int(slots.max())
+            if most < least:
                 break
-            bound = max(least, bound // 2)
+            bound = max(least, min(most, bound or most) // 4)
+            while True:
+                pairs, which, at, count = _places(symbols, np.flatnonzero((slots >= bound)[slot]))
+                if bound == least or count.max(initial=0) >= bound:
+                    break
+                bound = max(least, bound // 4)
         often = count >= bound
         if not often.any():
             break
@@ -204,6 +207,8 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
             sorter = np.argsort(rules, kind="stable")
             k = sorter[np.minimum(np.searchsorted(rules, pairs, sorter=sorter), len(rules) - 1)]
             symbol = np.where(rules[k] == pairs, first_rule + k, -1)
+        if bound == least:
+            since = np.uint64(first_rule + len(rules))
         fresh = np.flatnonzero((taken >= least) & (symbol < 0))
         symbol[fresh] = first_rule + len(rules) + np.arange(len(fresh))
         rules = np.append(rules, pairs[fresh])
@@ -216,6 +221,17 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
     return symbols.astype(np.int64), np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
 
 
+def _places(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs at the given places; of the places those that count, which pair each is, and how many of each.
+    Of a run of one pair over itself (aaaa) every second place counts."""
+    pairs, which = np.unique(symbols[at] << np.uint64(32) | symbols[at + 1], return_inverse=True)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (which[1:] != which[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    apart = (np.arange(len(at)) - start) % 2 == 0
+    return pairs, which[apart], at[apart], np.bincount(which[apart], minlength=len(pairs))
+
+
 def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """How many ids each rule expands to."""
     out: list[int] = []
