@@ -198,8 +198,8 @@ def stratified_folds(spark, sf_dir):
 
 @query(f"""WITH {CLEANED}, q AS (SELECT app_id, quantile_cont(hours, 0.5) AS med, quantile_cont(hours, 0.75) AS p75 FROM cleaned GROUP BY app_id),
 r AS (SELECT c.*, coalesce(CASE WHEN med > 0 THEN med END, CASE WHEN p75 > 0 THEN p75 END, 1.0) AS reference FROM cleaned c JOIN q USING (app_id))
-SELECT user_id, app_id, reference, CASE WHEN hours <= 0 THEN 'zero' WHEN hours < 1 THEN 'under_1' WHEN hours < 5 THEN '1_5' WHEN hours < 20 THEN '5_20' WHEN hours < 100 THEN '20_100' ELSE 'over_100' END AS bucket,
-  is_recommended AS label_strict, is_recommended AND hours >= 2 AS label_hybrid, hours / reference >= 1 AS label_hours_relative, is_recommended AND hours < 2 AS is_low_hours_positive, NOT is_recommended AND hours >= 20 AS is_high_hours_negative FROM r""")
+SELECT user_id, app_id, reference, CASE WHEN hours <= 0 THEN 'zero' WHEN hours < 1 THEN 'very_low_0_1' WHEN hours < 5 THEN 'low_1_5' WHEN hours < 20 THEN 'medium_5_20' WHEN hours < 100 THEN 'high_20_100' ELSE 'very_high_100_plus' END AS bucket,
+  is_recommended AS label_strict, is_recommended AND hours >= 2 AS label_hybrid, hours / reference >= 1 AS label_hours_relative, is_recommended AND hours < 2 AS is_low_hours_positive, NOT is_recommended AND hours / reference >= 1 AS is_high_hours_negative FROM r""")
 def hours_reference_labels(spark, sf_dir):
     c = cleaned(spark, sf_dir)
     q = c.groupBy("app_id").agg(F.percentile("hours", F.lit(0.5)).alias("med"), F.percentile("hours", F.lit(0.75)).alias("p75"))

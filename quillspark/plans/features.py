@@ -35,13 +35,27 @@ def parse_yes_no(spark, sf_dir):
     return c.unionByName(more).select("conv_id", "turn", text.parse_yes_no(F.col("text")).alias("answer"))
 
 
-@query("""WITH t AS (SELECT p_partkey, string_split_regex(p_name || ';' || p_type, '[ ;]') AS w FROM part), u AS (SELECT p_partkey, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM t),
+def _words_sql(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_CLASSES = "semantic AS (SELECT {} AS k), generic AS (SELECT {} AS k), junk AS (SELECT {} AS k)".format(*map(_words_sql, (tokens.SEMANTIC_KEYWORDS, tokens.GENERIC_KEYWORDS, tokens.JUNK_TOKENS)))
+
+
+@query(f"""WITH {_CLASSES}, t AS (SELECT p_partkey, string_split(replace(p_name, ' ', ';') || ';Extra ' || upper(semantic.k[p_partkey % 45 + 1]) || ';' || semantic.k[p_size % 45 + 1] || ';' || generic.k[p_partkey % 15 + 1] || ';' || junk.k[p_partkey % 16 + 1], ';') AS w FROM part, semantic, generic, junk),
+u AS (SELECT p_partkey, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM t),
 f AS (SELECT p_partkey, lower(t) AS l, min(i) AS i, arg_min(t, i) AS t FROM u WHERE t <> '' GROUP BY p_partkey, lower(t)),
-s AS (SELECT *, CASE WHEN l LIKE '%action%' OR l LIKE '%adventure%' OR l LIKE '%indie%' OR l LIKE '%casual%' THEN 1 ELSE 2 END AS c, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN l LIKE '%action%' OR l LIKE '%adventure%' OR l LIKE '%indie%' OR l LIKE '%casual%' THEN 1 ELSE 2 END, i) AS r FROM f)
-SELECT p_partkey, string_agg(t, ', ' ORDER BY r) FILTER (WHERE r <= 4) AS tags FROM s GROUP BY p_partkey""")
+p AS (SELECT f.*, list_position(list_transform(semantic.k, lambda k: contains(l, k)), true) AS s, list_position(list_transform(generic.k, lambda k: contains(l, k)), true) AS g,
+  len(list_filter(junk.k, lambda k: contains(l, k))) > 0 AS dropped FROM f, semantic, generic, junk),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN s > 0 THEN 0 WHEN g > 0 THEN 1 ELSE 2 END, CASE WHEN s > 0 THEN s WHEN g > 0 THEN g ELSE 0 END, i) AS r FROM p WHERE NOT dropped)
+SELECT p_partkey, string_agg(t, ', ' ORDER BY r) FILTER (WHERE r <= 6) AS tags FROM r GROUP BY p_partkey""")
 def token_rank_select(spark, sf_dir):
+    """Tags of an item: its name's words, with keywords of every class added by its key, so that all classes occur."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.array_join(tokens.select_tags([F.replace("p_name", F.lit(" "), F.lit(";")), F.replace("p_type", F.lit(" "), F.lit(";"))], 4), ", ").alias("tags"))
+    words = lambda given: F.array(*map(F.lit, given))
+    pick = lambda given, key: F.get(words(given), (F.col(key) % len(given)).cast("int"))
+    fields = [F.replace("p_name", F.lit(" "), F.lit(";")), F.concat(F.lit("Extra "), F.upper(pick(tokens.SEMANTIC_KEYWORDS, "p_partkey")), F.lit(";"), pick(tokens.SEMANTIC_KEYWORDS, "p_size")), pick(tokens.GENERIC_KEYWORDS, "p_partkey"), pick(tokens.JUNK_TOKENS, "p_partkey")]
+    return p.select("p_partkey", F.array_join(tokens.select_tags(fields, 6), ", ").alias("tags"))
 
 
 @query(f"""WITH {HIST}, a AS (SELECT user_id, count(*) AS history_len, count(*) FILTER (WHERE label) AS n_liked, sum(hours) AS hours_sum, avg(hours) AS hours_mean, quantile_cont(hours, 0.5) AS hours_median, max(hours) AS hours_max, min(hours) AS hours_min,
