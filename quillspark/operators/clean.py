@@ -16,7 +16,8 @@ def valid(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the order of the given columns. One shuffle; a row is kept by an aggregate, without sorting the groups."""
+    """The last row of each key in the order of the given columns. One shuffle; Spark sorts by the keys for it, as it
+    keeps structs in no hash aggregate, but by nothing else, and partial maxima shrink the groups first."""
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("row")
     return df.groupBy(*keys).agg(best).select(*keys, "row.*").select(*df.columns)

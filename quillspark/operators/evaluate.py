@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ranks import row_numbers, running
+
 
 def curve(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """For each group and distinct score, from the highest: positives and rows so far, and the group's totals.
@@ -13,6 +15,9 @@ def curve(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> D
     distinct scores.
     """
     steps = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
+    if not by:  # no key to deal by: distinct scores may be as many as rows
+        sums = running(steps, [F.desc("score")], {"cum_p": F.col("p"), "cum_n": F.col("n")})
+        return sums.crossJoin(F.broadcast(steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))  # one row
     group = Window.partitionBy(*by)
     down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return steps.select("*", F.sum("p").over(down).alias("cum_p"), F.sum("n").over(down).alias("cum_n"), F.sum("p").over(group).alias("all_p"), F.sum("n").over(group).alias("all_n"))
@@ -89,5 +94,12 @@ def group_metrics(df: DataFrame, groups: list[str], threshold: float, score: str
 
 def quartiles(df: DataFrame, value: str, key: str, names: tuple[str, ...] = ("Q1_tail", "Q2", "Q3", "Q4_head")) -> DataFrame:
     """Equal-frequency quartile of the rank of value, ties broken by key."""
-    r = F.percent_rank().over(Window.orderBy(value, key))
-    return df.withColumn("quartile", F.when(r <= 0.25, names[0]).when(r <= 0.5, names[1]).when(r <= 0.75, names[2]).otherwise(names[3]))
+    numbered = row_numbers(df, [F.col(value), F.col(key)], "_r").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
+    r = (F.col("_r") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    return numbered.withColumn("quartile", F.when(r <= 0.25, names[0]).when(r <= 0.5, names[1]).when(r <= 0.75, names[2]).otherwise(names[3])).drop("_r", "_n")
+
+
+def threshold_on_test(val: DataFrame, test: DataFrame, grid: DataFrame, ties: str = "first", score: str = "score", y: str = "y") -> DataFrame:
+    """The threshold of the best F1 on val, and the metrics of test at it: test has no say in the choice."""
+    chosen = best_threshold(val, grid, ties, score, y).select("threshold")  # one row
+    return confusion(test.crossJoin(F.broadcast(chosen)), ["threshold"], F.col(score) >= F.col("threshold"), y)

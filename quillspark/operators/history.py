@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.clean import TIME
+from quillspark.operators.ranks import numbers_within, row_numbers
 
 
 def histories(reviews: DataFrame, most: int = 10, least: int = 4) -> DataFrame:
@@ -60,8 +61,7 @@ def temporal_split(candidates: DataFrame) -> DataFrame:
 
 def rank_fraction_split(candidates: DataFrame, shares: tuple[str, str] = ("0.8", "0.9")) -> DataFrame:
     """split by each label's own order of dates; compared in decimals."""
-    w = Window.partitionBy("label")
-    df = candidates.withColumn("_rank", F.row_number().over(w.orderBy("target_date", "user_id"))).withColumn("_n", F.count("*").over(w))
+    df = numbers_within(candidates, "label", [F.col("target_date"), F.col("user_id")], "_rank", "_n")
     upto = lambda q: F.col("_rank") <= F.lit(q).cast("decimal(3,2)") * F.col("_n")
     return df.withColumn("split", F.when(upto(shares[0]), "train").when(upto(shares[1]), "val").otherwise("test")).drop("_rank", "_n")
 
@@ -81,6 +81,7 @@ def with_items(samples: DataFrame, items: DataFrame, key: str = "user_id", field
 
 
 def with_sample_id(samples: DataFrame, order: list[str], prefix: str = "sample") -> DataFrame:
-    """A number in the given order as sample_id, for samples of bounded size."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return samples.withColumn("sample_id", F.concat(F.lit(f"{prefix}_"), F.lpad(n.cast("string"), 6, "0")))
+    """A number in the given order as sample_id, of six digits or more."""
+    text = (F.col("_n") - 1).cast("string")
+    padded = F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
+    return row_numbers(samples, [F.col(c) for c in order], "_n").withColumn("sample_id", F.concat(F.lit(f"{prefix}_"), padded)).drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ranks import numbers_within
+
 
 def drawn(key: str, salt: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(salt)))
@@ -37,6 +39,25 @@ def balanced(df: DataFrame, label: str, n: int, key: str, seed: str) -> DataFram
     return ranked(df, [label], key, seed).where(F.col("sample_rank") <= n)
 
 
+def strict(df: DataFrame, label: str, n: int, key: str, seed: str) -> DataFrame:
+    """n rows of each class; raises if a class has fewer."""
+    few = [tuple(r) for r in df.groupBy(label).count().where(F.col("count") < n).collect()]  # a row for each class
+    if few:
+        raise ValueError(f"too few rows: {few}")
+    return balanced(df, label, n, key, seed)
+
+
+def nested(df: DataFrame, label: str, n: int, inner: int, key: str, seed: int) -> DataFrame:
+    """A balanced sample of a balanced sample, the inner one drawn with the next seed."""
+    outer = balanced(df, label, n, key, f"seed{seed}").drop("sample_rank")
+    return balanced(outer, label, inner, key, f"seed{seed + 1}")
+
+
+def remaining(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't taken yet."""
+    return df.join(taken.select(key).distinct(), key, "left_anti")
+
+
 def chunk(df: DataFrame, label: str, n: int, k: int, key: str, seed: str) -> DataFrame:
     """The k-th chunk (from 1) of n rows of each class; chunks are disjoint."""
     return ranked(df, [label], key, seed).where((F.col("sample_rank") > (k - 1) * n) & (F.col("sample_rank") <= k * n))
@@ -48,7 +69,8 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> int:
 
 def folds(df: DataFrame, label: str, k: int, key: str, seed: str) -> DataFrame:
     """fold from 0 to k - 1, stratified by label."""
-    return ranked(df, [label], key, seed).withColumn("fold", F.pmod(F.col("sample_rank") - 1, F.lit(k))).drop("sample_rank")
+    numbered = numbers_within(df.withColumn("_d", drawn(key, seed)), label, [F.col("_d"), F.col(key)], "_rank", "_n")
+    return numbered.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_d", "_rank", "_n")
 
 
 def matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -33,17 +33,17 @@ def positive_events(train: DataFrame) -> DataFrame:
 def item_knn(samples: DataFrame, train: DataFrame, k: int = 30) -> DataFrame:
     """Mean of the k largest positive cosine similarities of the target to liked history items, less that to disliked ones.
 
-    Cosines are counted only for the (target, history item) pairs that occur: users of the history item
-    are looked up among the users of the target, so a popular item costs its own degree and no
-    item-by-item matrix is made.
+    Common users are counted by user: a user has few items (a bounded history and a target), so the pairs
+    of a user's items are few, whatever an item's popularity; of them the occurring (target, history
+    item) pairs are kept.
     """
     events = positive_events(train)
     degree = events.groupBy("app_id").agg(F.count("*").alias("degree"))
     e = samples.select("user_id", "target_app_id", F.explode("history").alias("h")).select("user_id", "target_app_id", F.col("h.app_id").alias("app_id"), F.col("h.label").alias("label")).where("app_id != target_app_id")
     pairs = e.select("target_app_id", "app_id").distinct()
-    of_target = events.select(F.col("app_id").alias("target_app_id"), F.col("user_id").alias("u"))
-    of_item = events.select("app_id", F.col("user_id").alias("u"))
-    common = pairs.join(of_target, "target_app_id").join(of_item, ["app_id", "u"]).groupBy("target_app_id", "app_id").agg(F.count("*").alias("common"))
+    mine = events.select("user_id", F.col("app_id").alias("target_app_id"))
+    both = mine.join(events.select("user_id", "app_id"), "user_id").where("app_id != target_app_id")
+    common = both.join(pairs, ["target_app_id", "app_id"], "left_semi").groupBy("target_app_id", "app_id").agg(F.count("*").alias("common"))
     sim = common.join(degree, "app_id").join(degree.select(F.col("app_id").alias("target_app_id"), F.col("degree").alias("target_degree")), "target_app_id")
     sim = sim.select("target_app_id", "app_id", (F.col("common") / F.sqrt(F.col("degree") * F.col("target_degree"))).alias("sim"))
     near = e.join(sim, ["target_app_id", "app_id"])

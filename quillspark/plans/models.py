@@ -9,6 +9,7 @@ from quillspark.operators import encoding, features, scorers
 from quillspark.plans.base import SPLIT, query
 from quillspark.plans.data import splits
 from quillspark.sources.canonical import table
+from quillspark.sources.stage import staged
 
 
 @query(f"""WITH {SPLIT}, t AS (SELECT * FROM split WHERE split = 'train'), r AS (SELECT target_app_id, avg(CAST(label AS DOUBLE)) AS rate FROM t GROUP BY target_app_id)
@@ -28,7 +29,7 @@ n AS (SELECT user_id, label, sim, row_number() OVER (PARTITION BY user_id, label
 g AS (SELECT user_id, coalesce(avg(sim) FILTER (WHERE label), 0) - coalesce(avg(sim) FILTER (WHERE NOT label), 0) AS score FROM n WHERE r <= 30 GROUP BY user_id)
 SELECT s.user_id, s.split, round(coalesce(g.score, 0), 9) AS score FROM split s LEFT JOIN g USING (user_id) WHERE split <> 'train'""")
 def itemknn_scores(spark, sf_dir):
-    s = splits(spark, sf_dir)
+    s = staged(splits(spark, sf_dir), "splits")
     return scorers.item_knn(s.where("split != 'train'"), s.where("split = 'train'")).select("user_id", "split", F.round("score", 9).alias("score"))
 
 
@@ -39,7 +40,7 @@ def logit_normalization(spark, sf_dir):
 
 def _frame(spark, sf_dir):
     """Samples with number features and item encodings from the training rows, out of fold there."""
-    s = splits(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("user_id"), F.lit(5)).cast("int"))
+    s = staged(splits(spark, sf_dir), "splits").withColumn("fold", F.pmod(F.xxhash64("user_id"), F.lit(5)).cast("int"))
     train = encoding.encode_out_of_fold(s.where("split = 'train'"), item="target_app_id")
     rest = encoding.encode(s.where("split != 'train'"), s.where("split = 'train'"), item="target_app_id")
     numbers = features.history_numbers(s).drop("history_len")
