@@ -30,9 +30,7 @@ rows has a null id. An empty table gives an empty result. Extra columns are igno
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 from math import ceil, log2
 
 import numpy as np
@@ -218,71 +216,39 @@ class Index:
     def __init__(self, sets: list[np.ndarray]):
         keys = np.concatenate(sets)
         order = np.argsort(keys, kind="stable")
-        self.who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order].tolist()
-        self.keys, self.start = np.unique(keys[order], return_index=True)
-        self.stop = np.append(self.start[1:], len(self.who))
-
-    def lists(self, query: np.ndarray) -> list[tuple[int, int]]:
-        """Bounds in who of the lists of query's hashes, shortest first."""
-        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
-        at = at[self.keys[at] == query]
-        start, stop = self.start[at], self.stop[at]
-        order = np.argsort(stop - start, kind="stable")
-        return list(zip(start[order].tolist(), stop[order].tolist()))
-
-
-def merge_skip(who: list[int], lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
-    """(number, how many lists have it) of the numbers in at least `least` of the lists, by a heap of the lists'
-    heads. Where the smallest head is in too few lists, `least` - 1 heads are taken off together and their
-    lists jump by binary search to the next head, as nothing before it can be in enough lists."""
-    heap = [(who[a], a, b) for a, b in lists]
-    heapify(heap)
-    while len(heap) >= least:
-        top, taken = heap[0][0], []
-        while heap and heap[0][0] == top:
-            taken.append(heappop(heap))
-        if len(taken) >= least:
-            yield top, len(taken)
-            for _, a, b in taken:
-                if a + 1 < b:
-                    heappush(heap, (who[a + 1], a + 1, b))
-            continue
-        while heap and len(taken) < least - 1:
-            taken.append(heappop(heap))
-        if not heap:
-            return
-        aim = heap[0][0]
-        for _, a, b in taken:
-            a = bisect_left(who, aim, a, b)
-            if a < b:
-                heappush(heap, (who[a], a, b))
-
-
-def divide_skip(index: Index, query: np.ndarray, least: int, mu: float = 0.01) -> list[tuple[int, int]]:
-    """(number, overlap) of the indexed sets that have at least least of query's hashes.
-
-    The longest lists, as many as DivideSkip's rule gives, are set apart. The others are heap-merged, and
-    only sets in enough of them are looked up in the long ones by binary search, as long as they can
-    still reach the overlap.
+        self.n = len(sets)
+        self.who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+        self.keys, self.start, size = np.unique(keys[order], return_index=True, return_counts=True)
+        self.size = size
+        self.placed = np.repeat(np.arange(len(self.keys)) * self.n, size) + self.who  # list and number as one ascending key
+
+
+def divide_skip(index: Index, query: np.ndarray, least: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, overlaps) of the indexed sets that have at least least of query's hashes.
+
+    The longest lists, as many as DivideSkip's rule gives, are set apart. The others, which are sorted, are
+    merged, and only sets in enough of them are looked up in the long lists, by binary search.
     """
-    lists = index.lists(query)
-    if len(lists) < least:
-        return []
-    longest = lists[-1][1] - lists[-1][0]
-    apart = min(least - 1, int(least / (mu * log2(max(2, longest)) + 1)))
-    short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
-    out, who = [], index.who
-    for number, overlap in merge_skip(who, short, least - apart):
-        left = len(long)
-        for a, b in long:
-            if overlap + left < least:
-                break
-            k = bisect_left(who, number, a, b)
-            overlap += k < b and who[k] == number
-            left -= 1
-        if overlap >= least:
-            out.append((number, overlap))
-    return out
+    at = np.minimum(np.searchsorted(index.keys, query), len(index.keys) - 1)
+    at = at[index.keys[at] == query]
+    if len(at) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = at[np.argsort(index.size[at], kind="stable")]
+    size = index.size[at]
+    apart = min(least - 1, int(least / (mu * log2(max(2, int(size[-1]))) + 1)))
+    short, long, size = at[: len(at) - apart], at[len(at) - apart :], size[: len(at) - apart]
+    first = np.cumsum(size) - size
+    merged = np.sort(index.who[np.arange(int(size.sum())) + np.repeat(index.start[short] - first, size)], kind="stable")  # a merge of sorted runs
+    new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+    count = np.diff(np.append(new, len(merged)))
+    enough = count >= least - apart
+    found, overlap = merged[new[enough]], count[enough]
+    if len(found) and apart:
+        probe = (long[:, None] * index.n + found).ravel()
+        hit = index.placed[np.minimum(np.searchsorted(index.placed, probe), len(index.placed) - 1)] == probe
+        overlap = overlap + hit.reshape(apart, -1).sum(0)
+    good = overlap >= least
+    return found[good], overlap[good]
 
 
 def links_within(names: np.ndarray, labels: np.ndarray, components_: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -299,8 +265,9 @@ def links_within(names: np.ndarray, labels: np.ndarray, components_: np.ndarray,
         if not other.any():
             continue
         index = index or Index(sets)
-        for y, overlap in divide_skip(index, sets[x], -(-percent * int(n[x]) // 100)):
-            if other[y] and c[y] != c[x] and 100 * overlap >= percent * (n[x] + n[y] - overlap):
+        found, overlap = divide_skip(index, sets[x], -(-percent * int(n[x]) // 100))
+        for y in found[other[found] & (100 * overlap >= percent * (n[x] + n[found] - overlap))].tolist():
+            if c[y] != c[x]:
                 yield int(names[x]), int(names[y])
                 c[c == c[y]] = c[x]
 

@@ -48,7 +48,7 @@ END = 1
 BLOCK_IDS = 2_000_000
 #: A rule takes 12 bytes (two symbols and a length) and each place where it is used saves a symbol of 2: from 7 places on it pays.
 LEAST_COUNT = 7
-SHARD_CHARS = 64_000_000
+SHARD_BYTES, MOST_SHARDS = 64_000_000, 2_000_000
 MOST_WORDS = 1_200_000
 MOST_TAILS = 100_000
 
@@ -195,10 +195,10 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
         order = np.flatnonzero(often)[np.lexsort((pairs[often], count[often]))]
         rank[order] = np.arange(len(order))
         at, which = at[often[which]], which[often[which]]
-        place = np.full(len(symbols) + 1, -1, np.int32)
+        place = np.full(len(symbols) + 2, -1, np.int32)
         place[at + 1] = rank[which]
         mine = place[at + 1]
-        take = (mine > place[at]) & (mine > np.append(place, -1)[at + 2])
+        take = (mine > place[at]) & (mine > place[at + 2])
         at, which = at[take], which[take]
         # Pairs that have a rule from an earlier round keep it; new rules need enough places.
         taken = np.bincount(which, minlength=len(pairs))
@@ -306,8 +306,8 @@ def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None, leas
     on until no pair occurs twice, also where rules take more than they save."""
     spark = docs.sparkSession
     if shards is None:
-        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the optimizer's estimate
+        shards = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES)), MOST_SHARDS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, block, before, held, n = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, [], 0
