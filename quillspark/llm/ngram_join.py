@@ -50,7 +50,7 @@ LEAST_BUCKETS, BUCKET_CHARS = 64, 24_000_000
 _LOW = np.uint64((1 << 40) - 1)
 
 #: A hash in so many of so many sampled documents is hot; its rank is above all counted ones.
-HOT_SAMPLE, HOT_COUNT, HOT_RANK = 50_000, 50, 99
+HOT_SAMPLE, HOT_COUNT, HOT_RANK = 10_000, 10, 99
 
 _PACKED = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("meta", "sets", "counts", "low", "hot_sets", "hot_counts", "hot")])
 
