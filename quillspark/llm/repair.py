@@ -160,7 +160,7 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
     places have had their round, what is new are pairs of the last round's symbols, so only these are
     counted, until there are none; then all are counted once more.
     """
-    symbols, rules = ids.astype(np.uint64), np.empty(0, np.uint64)
+    symbols, rules = ids.astype(np.uint32), np.empty(0, np.uint64)
     bound, since = None, None  # least count of the last round; first symbol of it, where only new ones are looked at
     while len(symbols) > 1:
         if since is not None:
@@ -172,8 +172,7 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
                 since = None
                 continue
         else:
-            keys = symbols[:-1] << np.uint64(32) | symbols[1:]
-            slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
+            slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA6B) >> np.uint32(12)).astype(np.int32)
             end = symbols == fixed
             slot[end[:-1] | end[1:]] = 1 << 20
             slots = np.bincount(slot, minlength=(1 << 20) + 1)
@@ -208,7 +207,7 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
             k = sorter[np.minimum(np.searchsorted(rules, pairs, sorter=sorter), len(rules) - 1)]
             symbol = np.where(rules[k] == pairs, first_rule + k, -1)
         if bound == least:
-            since = np.uint64(first_rule + len(rules))
+            since = np.uint32(first_rule + len(rules))
         fresh = np.flatnonzero((taken >= least) & (symbol < 0))
         symbol[fresh] = first_rule + len(rules) + np.arange(len(fresh))
         rules = np.append(rules, pairs[fresh])
@@ -224,7 +223,7 @@ def compress(ids: np.ndarray, first_rule: int, fixed: int = END, least: int = LE
 def _places(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs at the given places; of the places those that count, which pair each is, and how many of each.
     Of a run of one pair over itself (aaaa) every second place counts."""
-    pairs, which = np.unique(symbols[at] << np.uint64(32) | symbols[at + 1], return_inverse=True)
+    pairs, which = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (which[1:] != which[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
