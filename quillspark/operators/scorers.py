@@ -86,8 +86,8 @@ def logistic(train: DataFrame, test: DataFrame, features: list[str], label: str
     return out.select(*keep, "score"), coefficients.orderBy(F.desc(F.abs("coefficient")), "feature")
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", rounds: int = 20, step: float = 0.1, depth: int = 4, validation: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(test with score, importances): gradient-boosted trees, stopping early on the rows of the column validation."""
+def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", rounds: int = 20, step: float = 0.1, depth: int = 4, validation: str | None = None, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """(test with score, importances): gradient-boosted trees, stopping early on the rows of the column validation, when a tree lowers their loss by less than the share tolerance."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
@@ -95,7 +95,7 @@ def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label:
 
     cast = lambda df: df.select("*", *[F.col(f).cast("double").alias(f"_f_{f}") for f in features], F.col(label).cast("double").alias("_y"))
     train, test = cast(train).select("_y", *[f"_f_{f}" for f in features], *([validation] if validation else [])).persist(), cast(test)
-    gbt = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=rounds, stepSize=step, maxDepth=depth, seed=42)
+    gbt = GBTClassifier(featuresCol="_v", labelCol="_y", maxIter=rounds, stepSize=step, maxDepth=depth, seed=42, validationTol=tolerance)
     gbt = gbt.setValidationIndicatorCol(validation) if validation else gbt
     model = Pipeline(stages=[Imputer(strategy="median", inputCols=[f"_f_{f}" for f in features], outputCols=[f"_i_{f}" for f in features]), VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_v"), gbt]).fit(train)
     train.unpersist()

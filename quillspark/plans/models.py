@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import numeric
-from quillspark.operators import encoding, features, scorers
+from quillspark.operators import features, sampling, scorers, tabular
+from quillspark.plans import tabular as tabular_plans
 from quillspark.plans.base import SPLIT, query
 from quillspark.plans.data import splits
 from quillspark.sources.canonical import table
@@ -38,27 +40,50 @@ def logit_normalization(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", numeric.two_way_softmax(F.col("value") / 100, (F.col("event_id") % 3).cast("double")).alias("yes"))
 
 
-def _frame(spark, sf_dir):
-    """Samples with number features and item encodings from the training rows, out of fold there."""
-    s = staged(splits(spark, sf_dir), "splits").withColumn("fold", F.pmod(F.xxhash64("user_id"), F.lit(5)).cast("int"))
-    train = encoding.encode_out_of_fold(s.where("split = 'train'"), item="target_app_id")
-    rest = encoding.encode(s.where("split != 'train'"), s.where("split = 'train'"), item="target_app_id")
-    numbers = features.history_numbers(s).drop("history_len")
-    both = train.select(*rest.columns).unionByName(rest).join(numbers, "user_id")
-    names = ["history_len", "n_liked", "liked_share", "hours_mean", "hours_median", "hours_max", "liked_hours_mean", "disliked_hours_mean", "item_score", "item_log_count"]
-    return both, features.safe_features(both, names)
+def _number_rows(spark, sf_dir):
+    return staged(tabular_plans.model_frame(spark, sf_dir), "model-frame")
 
 
 @query()
 def logreg_scores(spark, sf_dir):
-    df, names = _frame(spark, sf_dir)
-    out, _ = scorers.logistic(df.where("split = 'train'"), df.where("split != 'train'"), names)
+    """17 features, the same as the reviews' linear model finds available."""
+    df = _number_rows(spark, sf_dir)
+    out, _ = scorers.logistic(df.where("split = 'train'"), df.where("split != 'train'"), features.safe_features(df, tabular.LINEAR))
     return out.select("user_id", "split", "label", "score")
 
 
-@query()
-def gbt_scores(spark, sf_dir):
-    df, names = _frame(spark, sf_dir)
+def _grown(df: DataFrame, names: list[str], **how) -> DataFrame:
+    """Scores of the test rows by trees grown on train, stopping early on val."""
     fit = df.where("split != 'test'").withColumn("is_val", F.col("split") == "val")
-    out, _ = scorers.boosted_trees(fit, df.where("split = 'test'"), names, rounds=10, validation="is_val")
+    out, _ = scorers.boosted_trees(fit, df.where("split = 'test'"), features.safe_features(df, names), validation="is_val", **how)
     return out.select("user_id", "split", "label", "score")
+
+
+@query()
+def gbt_scores(spark, sf_dir):
+    """25 features, up to 1,000 trees."""
+    return _grown(_number_rows(spark, sf_dir), tabular.BASE, rounds=1000, step=0.04, depth=6)
+
+
+@query()
+def gbt_variants(spark, sf_dir):
+    """Scores by each of the feature sets: with encodings, with similarities, and the safe lists with up to 1,200 trees."""
+    df = _number_rows(spark, sf_dir)
+    out = None
+    for name, names in tabular.SETS.items():
+        one = _grown(df, names, rounds=1200 if name.startswith("safe") else 1000, step=0.04, depth=6).select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def gbt_same_budget(spark, sf_dir):
+    """Three feature sets on a balanced training sample of one size, up to 700 trees."""
+    df = _number_rows(spark, sf_dir)
+    train = sampling.balanced(df.where("split = 'train'").select("user_id", "label"), "label", 15_000, "user_id", "budget").select("user_id")
+    df = df.where("split != 'train'").unionByName(df.where("split = 'train'").join(train, "user_id", "left_semi"))
+    out = None
+    for name in ("base", "popularity", "semantic"):
+        one = _grown(df, tabular.SETS[name], rounds=700, step=0.05, depth=6).select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

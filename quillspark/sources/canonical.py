@@ -47,6 +47,12 @@ def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.withColumn("vec_id", F.col("app_id") % F.col("n")).join(vectors, "vec_id").select("app_id", "embedding")
 
 
+def item_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app_id, description, dlc_count, release_date): whole texts of documents; parts have neither add-ons nor dates, so their sizes and keys stand in."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("app_id"), (F.col("p_size") % 4).alias("dlc_count"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("p_partkey") % 6000).cast("int")).alias("release_date"))
+    return part.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), F.col("text").alias("description")), "app_id", "left")
+
+
 #: The same views for the DuckDB oracle, as common table expressions.
 SQL_INTERACTIONS = """interactions AS (
   SELECT o_custkey AS user_id, l_partkey AS app_id, CAST(o_orderdate AS DATE) AS date, l_returnflag <> 'R' AS is_recommended, l_quantity AS hours,
@@ -57,3 +63,5 @@ SQL_ITEMS = """items AS (
          p_retailprice AS price, p_size AS required_age FROM part)"""
 SQL_EMBEDDINGS = """item_embeddings AS (
   SELECT p_partkey AS app_id, embedding FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
+SQL_DETAILS = """details AS (
+  SELECT p_partkey AS app_id, text AS description, p_size % 4 AS dlc_count, DATE '2000-01-01' + CAST(p_partkey % 6000 AS INTEGER) AS release_date FROM part LEFT JOIN documents ON doc_id = p_partkey)"""
