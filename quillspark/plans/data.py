@@ -86,10 +86,10 @@ def item_dimension_of(spark, sf_dir, chars: int | None = 60) -> DataFrame:
 
 @query(f"""WITH {SQL_INTERACTIONS}, {SQL_ITEMS}, c AS (SELECT app_id, count(*) AS interaction_count, count(DISTINCT user_id) AS user_count FROM interactions GROUP BY app_id)
 SELECT app_id, game_title, price, required_age, coalesce(interaction_count, 0) AS interaction_count, user_count,
-  nullif(trim(regexp_replace(substr(d.text, 1, 60), '[\\r\\n]', ' ', 'g')), '') AS description, coalesce(nullif(trim(d.source), ''), genres) AS origin
+  nullif(trim(regexp_replace(d.text, '[\\r\\n]', ' ', 'g')), '') AS description, coalesce(nullif(trim(d.source), ''), genres) AS origin
 FROM items LEFT JOIN c USING (app_id) LEFT JOIN documents d ON d.doc_id = app_id""")
 def item_dimension(spark, sf_dir):
-    return _with_origin(spark, sf_dir, 60)
+    return _with_origin(spark, sf_dir, None)
 
 
 def _with_origin(spark, sf_dir, chars: int | None) -> DataFrame:
@@ -98,9 +98,9 @@ def _with_origin(spark, sf_dir, chars: int | None) -> DataFrame:
     return df.select("app_id", "game_title", "price", "required_age", "interaction_count", "user_count", "description", F.coalesce(F.nullif(F.trim("source"), F.lit("")), "genres").alias("origin"))
 
 
-@query(ORACLES["item_dimension"].replace("substr(d.text, 1, 60)", "d.text"))
+@query(ORACLES["item_dimension"])
 def item_dimension_whole(spark, sf_dir):
-    """item_dimension with whole descriptions, as the reference keeps them."""
+    """item_dimension under the name that it had when its texts were cut."""
     return _with_origin(spark, sf_dir, None)
 
 
