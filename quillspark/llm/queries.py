@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bm25, chat, langid, licenses, mixing, ngram_join, quality, repair, secrets, spm
+from quillspark.llm import bm25, chat, langid, licenses, mixing, ngram_join, periodic, quality, repair, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -73,7 +73,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources, op13_periodic_runs)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
