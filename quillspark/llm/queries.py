@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bm25, chat, langid, licenses, mixing, ngram_join, periodic, quality, repair, secrets, spm
+from quillspark.llm import bm25, chat, langid, licenses, merkle, mixing, ngram_join, periodic, quality, repair, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -73,17 +73,66 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=17)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides crc32(doc_id), the row claims one character more than it has."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.dataset_proofs(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources, op11_merkle_manifest, op13_periodic_runs)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _tree_sql(name: str, rows: str) -> str:
+    """Levels of the trees over rows (g, o, h), n and depth of each g, and the siblings of each level."""
+    return f"""
+{name}_rows AS ({rows}),
+{name}_size AS (SELECT g, count(*) AS n, CASE WHEN count(*) > 1 THEN length(bin(count(*) - 1)) ELSE 0 END AS depth FROM {name}_rows GROUP BY g),
+{name}_leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o NULLS FIRST, h) - 1 AS idx FROM {name}_rows),
+{name}_level AS (
+  SELECT g, 0 AS level, idx, h FROM {name}_leaf
+  UNION ALL
+  SELECT l.g, l.level + 1, l.idx // 2, sha256(string_agg(l.h, '' ORDER BY l.idx)) FROM {name}_level l JOIN {name}_size s ON s.g IS NOT DISTINCT FROM l.g
+  WHERE l.level < s.depth GROUP BY l.g, l.level, l.idx // 2),
+{name}_root AS (SELECT l.g, l.h, s.depth FROM {name}_level l JOIN {name}_size s ON s.g IS NOT DISTINCT FROM l.g AND l.level = s.depth),
+{name}_way AS (
+  SELECT l.g, l.idx, k.level, l.idx >> k.level & 1 AS odd, x.h FROM {name}_leaf l JOIN {name}_size s ON s.g IS NOT DISTINCT FROM l.g, unnest(range(0, s.depth)) k(level)
+  LEFT JOIN {name}_level x ON x.g IS NOT DISTINCT FROM l.g AND x.level = k.level AND x.idx = xor(l.idx >> k.level, 1))"""
+
+
 ORACLES = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE table8 AS (SELECT list(list_reduce([k] || range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(0, 256) r(k)),
+crc AS (SELECT doc_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) AS crc
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), table8),
+hashed AS (SELECT d.doc_id, d.lang, sha256({" || ".join(_FIELD.format(c) for c in merkle.FIELDS)}) AS leaf,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256({" || ".join(_FIELD.format("(n_chars + 1)" if c == "n_chars" else c) for c in merkle.FIELDS)}) END AS claimed
+  FROM (SELECT documents.*, crc FROM documents LEFT JOIN crc USING (doc_id)) d),
+{_tree_sql("doc", "SELECT lang AS g, doc_id AS o, leaf AS h, claimed FROM hashed").lstrip()},
+{_tree_sql("top", "SELECT 1 AS g, g AS o, h FROM doc_root").lstrip()},
+way AS (
+  SELECT g, idx, level, odd, h FROM doc_way
+  UNION ALL
+  SELECT l.g, l.idx, s.depth + w.level, w.odd, w.h FROM doc_leaf l JOIN doc_size s ON s.g IS NOT DISTINCT FROM l.g JOIN top_leaf t ON t.o IS NOT DISTINCT FROM l.g JOIN top_way w ON w.idx = t.idx),
+fold AS (
+  SELECT g, idx, 0 AS level, coalesce(claimed, h) AS h FROM doc_leaf
+  UNION ALL
+  SELECT f.g, f.idx, f.level + 1, sha256(CASE WHEN w.h IS NULL THEN f.h WHEN odd = 1 THEN w.h || f.h ELSE f.h || w.h END)
+  FROM fold f JOIN way w ON w.g IS NOT DISTINCT FROM f.g AND w.idx = f.idx AND w.level = f.level),
+folded AS (SELECT g, idx, max_by(h, level) AS h FROM fold GROUP BY g, idx),
+proof AS (SELECT g, idx, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS h FROM way GROUP BY g, idx)
+SELECT l.o AS doc_id, l.h AS leaf, r.h AS subroot, t.h AS root, coalesce(p.h, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM doc_leaf l JOIN doc_root r ON r.g IS NOT DISTINCT FROM l.g JOIN folded f ON f.g IS NOT DISTINCT FROM l.g AND f.idx = l.idx
+LEFT JOIN proof p ON p.g IS NOT DISTINCT FROM l.g AND p.idx = l.idx, top_root t""",
     "op1_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
