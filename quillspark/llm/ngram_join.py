@@ -51,6 +51,8 @@ _LOW = np.uint64((1 << 40) - 1)
 
 #: A hash in so many of so many sampled documents is hot; its rank is above all counted ones.
 HOT_SAMPLE, HOT_COUNT, HOT_RANK = 10_000, 10, 99
+#: The hottest so many are looked for: what else is hot stays in the buckets, which changes no result.
+HOT_MOST = 200_000
 
 _PACKED = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("meta", "sets", "counts", "low", "hot_sets", "hot_counts", "hot")])
 
@@ -127,8 +129,8 @@ def _packer(bits: int, size: int, hot: np.ndarray):
 
 def hot_hashes(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes, ascending, that so many documents share that their bucket would be much larger than others: those
-    in HOT_COUNT or more of about HOT_SAMPLE documents, taken by a hash of the text, so at most a few
-    thousand for each hundred of words. What is missed only makes a bucket larger."""
+    in HOT_COUNT or more of about HOT_SAMPLE documents, taken by a hash of the text; of them the HOT_MOST in
+    most documents. What is missed only makes a bucket larger."""
     n = docs.count()
     some = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
 
@@ -140,7 +142,7 @@ def hot_hashes(docs: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
 
     often = some.dropDuplicates().mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").collect()], np.int64).view(np.uint64))
 
 
 _REDUCED = "is_doc boolean, doc_id long, row long, set long, n long, hits binary, ranks binary"
@@ -385,15 +387,16 @@ def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     A row goes only if its text is linked to or has the same set as that of the row that stays, or if it
     equals that row in all columns. Ties of one doc_id are broken by the ids of the sets, then by a hash of
     the row. Null doc_ids don't make rows alike, nor does one doc_id on different texts; rows without
-    words are linked with nothing, so they stay. Rows of one hash (64 bits of all columns) count as equal.
+    words are linked with nothing, so they stay. Rows are equal by a sha-256 of all their columns, maps included.
     """
-    key = "row"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    key, full = "row", "whole_row"
+    while {key, full} & {c.lower() for c in docs.columns}:
+        key, full = key + "_", full + "_"
+    keyed = docs.withColumn(full, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary"), 256)).withColumn(key, F.xxhash64(full))
     rows, roots = _linked(keyed.select("doc_id", "text", F.col(key).alias("row")), percent, size)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "set", "row")
     of_set = rows.where("n > 0").groupBy("set").agg(F.min(order).alias("best"))
     of_root = of_set.join(roots.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
     stay = of_root.select(F.col("best.row").alias(key)).unionByName(rows.where("n = 0").select(F.col("row").alias(key)))
-    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    # Two rows of one 64-bit key by chance both stay; only rows equal in all columns are one.
+    return keyed.join(stay, key, "left_semi").dropDuplicates([full]).select(*[f"`{c}`" for c in docs.columns])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bm25, chat, langid, licenses, merkle, mixing, ngram_join, periodic, quality, repair, secrets, spm
+from quillspark.llm import bm25, chat, langid, licenses, merkle, mixing, multi_index, ngram_join, periodic, quality, repair, secrets, spm
 from quillspark.llm.shared import table
 
 
@@ -79,11 +79,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.dataset_proofs(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources, op11_merkle_manifest, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_quality_rules, op4_ngram_jaccard_join, op5_license_scan, op6_language_id, op7_token_ids, op8_secret_scan, op9_bm25_top_k, op9_bm25_top_k_documents, op10_mix_sources, op11_merkle_manifest, op12_embedding_near_dedup, op13_periodic_runs)}
 
 _ESC = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
@@ -176,12 +180,13 @@ pmf AS (SELECT source, steps, k, exp(-rate / steps + k * ln(rate / steps) - lgam
         FROM steps, range(0, {mixing.MOST + 1}) r(k)),
 cdf AS (SELECT source, steps, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
 lists AS (SELECT source, steps, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source, steps),
+keyed AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY k) AS place
+  FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS k FROM documents)),
 drawn AS (
-  SELECT d.doc_id, d.source, l.cdf,
-    (CAST('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || j), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.steps + 1)) t(j)),
-counts AS (SELECT doc_id, CAST(sum(len(list_filter(cdf, lambda c: c < u))) AS BIGINT) AS n FROM drawn GROUP BY doc_id)
+  SELECT rid, cdf, (CAST('0x' || substr(md5('17|' || k || '|' || place || '|' || j), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM keyed d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.steps + 1)) t(j)),
+counts AS (SELECT rid, CAST(sum(len(list_filter(cdf, lambda c: c < u))) AS BIGINT) AS n FROM drawn GROUP BY rid)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.i AS copy_no
-FROM documents d JOIN (SELECT doc_id, unnest(range(0, n)) AS i FROM counts) c ON d.doc_id = c.doc_id""",
+FROM keyed d JOIN (SELECT rid, unnest(range(0, n)) AS i FROM counts) c USING (rid)""",
 }
 ORACLES["op9_bm25_top_k_documents"] = ORACLES["op9_bm25_top_k"].replace("SELECT item_id AS query_id", "SELECT doc_id AS query_id").replace("FROM benchmark WHERE item_id % 20 = 0", "FROM documents WHERE doc_id % 20 = 0")
