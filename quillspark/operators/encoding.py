@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.stage import staged
+
 
 def popularity(train: DataFrame, item: str = "app_id", label: str = "label") -> DataFrame:
     y = F.col(label).cast("int")
@@ -29,15 +31,17 @@ def encode(df: DataFrame, train: DataFrame, item: str = "app_id", label: str = "
 def encode_out_of_fold(train: DataFrame, item: str = "app_id", label: str = "label", fold: str = "fold", alpha: float = 10.0, global_prior: bool = False) -> DataFrame:
     """Each row encoded from the other folds: an item's totals less its fold's, and the prior of the other folds (or of all).
 
-    One pass of windows over (item) and (item, fold), no loop over folds.
+    Sums by (item, fold) are made from the tasks' own sums, and those of an item from these: a row for each item and fold,
+    joined to the rows, so that no item's rows are gathered. There is no loop over folds.
     """
     y = F.col(label).cast("int")
-    of_item, of_both = Window.partitionBy(item), Window.partitionBy(item, fold)
-    df = train.withColumn("_p", F.sum(y).over(of_item) - F.sum(y).over(of_both)).withColumn("_n", F.count("*").over(of_item) - F.count("*").over(of_both))
-    per_fold = train.groupBy(fold).agg(F.sum(y).alias("fp"), F.count("*").alias("fn"))
+    sums = staged(train.groupBy(F.col(item).alias("_item"), F.col(fold).alias("_fold")).agg(F.sum(y).alias("p"), F.count("*").alias("n")), "fold-sums")
+    whole = sums.groupBy(F.col("_item").alias("_whole")).agg(F.sum("p").alias("wp"), F.sum("n").alias("wn"))
+    other = sums.join(whole, F.col("_item").eqNullSafe(F.col("_whole"))).select("_item", "_fold", (F.col("wp") - F.coalesce("p", F.lit(0))).alias("_p"), (F.col("wn") - F.col("n")).alias("_n"))
+    per_fold = sums.groupBy(F.col("_fold").alias("_f")).agg(F.sum("p").alias("fp"), F.sum("n").alias("fn"))
     w = Window.partitionBy()  # one row for each fold
     total_p, total_n = F.sum("fp").over(w), F.sum("fn").over(w)
     rate = total_p / total_n if global_prior else (total_p - F.col("fp")) / (total_n - F.col("fn"))
-    df = df.join(F.broadcast(per_fold.select(fold, rate.alias("_prior"))), fold)
+    df = train.join(other, F.col(item).eqNullSafe(F.col("_item")) & (F.col(fold) == F.col("_fold"))).join(F.broadcast(per_fold.select("_f", rate.alias("_prior"))), F.col(fold) == F.col("_f"))
     score = F.when(F.col("_n") == 0, F.col("_prior")).otherwise((F.col("_p") + alpha * F.col("_prior")) / (F.col("_n") + alpha))
-    return df.withColumn("item_score", score).withColumn("item_log_count", F.log1p("_n")).drop("_p", "_n", "_prior")
+    return df.withColumn("item_score", score).withColumn("item_log_count", F.log1p("_n")).select(*train.columns, "item_score", "item_log_count")

@@ -24,12 +24,13 @@ TOKENS = [
 ]
 ITEM = ["target_description_len", "target_title_len", "price", "required_age", "dlc_count", "release_year"]
 POPULARITY = ["item_score", "item_log_count"]
+IN_SAMPLE = ["item_positive_count", "item_total_count", "item_rate"]
 SEMANTIC = ["liked_mean_cos", "disliked_mean_cos", "liked_top", "disliked_top", "liked_top_mean", "disliked_top_mean", "cos_gap"]
 
 BASE = HISTORY + TOKENS + ITEM
 SAFE = [f for f in BASE if f not in ("history_max_hours", "history_min_hours") and not f.endswith("_token_count")]
 LINEAR = [f for f in SAFE if f not in ("target_title_len", "required_age", "dlc_count")]
-SETS = {"base": BASE, "popularity": BASE + POPULARITY, "semantic": BASE + POPULARITY + SEMANTIC, "safe": SAFE, "safe_popularity": SAFE + POPULARITY, "safe_semantic": SAFE + POPULARITY + SEMANTIC}
+SETS = {"base": BASE, "popularity": BASE + POPULARITY, "semantic": BASE + POPULARITY + SEMANTIC, "safe": SAFE, "safe_popularity": SAFE + IN_SAMPLE, "safe_semantic": SAFE + IN_SAMPLE + SEMANTIC}
 
 
 def _tokens(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import numeric
-from quillspark.operators import features, sampling, scorers, tabular
+from quillspark.operators import boosting, features, sampling, scorers, tabular
 from quillspark.plans import tabular as tabular_plans
 from quillspark.plans.base import SPLIT, query
 from quillspark.plans.data import splits
@@ -44,46 +44,86 @@ def _number_rows(spark, sf_dir):
     return staged(tabular_plans.model_frame(spark, sf_dir), "model-frame")
 
 
+def _parts(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.when(F.col("split") == "train", boosting.TRAIN).when(F.col("split") == "val", boosting.VAL).otherwise(boosting.REST))
+
+
+KEPT = ["user_id", "split", "label"]
+
+
+def _fitted_line(spark, sf_dir):
+    df = _number_rows(spark, sf_dir)
+    return df, scorers.fit_logistic(df.where("split = 'train'"), features.safe_features(df, tabular.LINEAR))
+
+
 @query()
 def logreg_scores(spark, sf_dir):
     """17 features, the same as the reviews' linear model finds available."""
-    df = _number_rows(spark, sf_dir)
-    out, _ = scorers.logistic(df.where("split = 'train'"), df.where("split != 'train'"), features.safe_features(df, tabular.LINEAR))
-    return out.select("user_id", "split", "label", "score")
+    df, model = _fitted_line(spark, sf_dir)
+    return scorers.logistic_scores(df.where("split != 'train'"), model).select(*KEPT, "score")
+
+
+@query()
+def logreg_coefficients(spark, sf_dir):
+    """Weights of the standardized features, the largest first."""
+    return scorers.coefficients(spark, _fitted_line(spark, sf_dir)[1])
+
 
+def _grown(df: DataFrame, sets: dict[str, list[str]], **how) -> dict[str, boosting.Forest]:
+    """Forests of the train rows that stop by the ROC-AUC of the val rows."""
+    specs = [boosting.Spec(name, tuple(features.safe_features(df, names)), **how) for name, names in sets.items()]
+    return boosting.boost(_parts(df), specs)
 
-def _grown(df: DataFrame, names: list[str], **how) -> DataFrame:
-    """Scores of the test rows by trees grown on train, stopping early on val."""
-    fit = df.where("split != 'test'").withColumn("is_val", F.col("split") == "val")
-    out, _ = scorers.boosted_trees(fit, df.where("split = 'test'"), features.safe_features(df, names), validation="is_val", **how)
-    return out.select("user_id", "split", "label", "score")
+
+def _base_forest(spark, sf_dir):
+    df = _number_rows(spark, sf_dir)
+    return df, _grown(df, {"base": tabular.BASE}, rounds=1000, step=0.04, depth=6, patience=80)
 
 
 @query()
 def gbt_scores(spark, sf_dir):
-    """25 features, up to 1,000 trees."""
-    return _grown(_number_rows(spark, sf_dir), tabular.BASE, rounds=1000, step=0.04, depth=6)
+    """25 features, up to 1,000 trees; trees is how many were kept."""
+    df, forests = _base_forest(spark, sf_dir)
+    return boosting.predict(df.where("split = 'test'"), forests, KEPT).drop("variant")
+
+
+@query()
+def gbt_importances(spark, sf_dir):
+    """Each feature's share of the gain of all splits, the largest first."""
+    return boosting.importances(spark, _base_forest(spark, sf_dir)[1]).drop("variant").orderBy(F.desc("importance"), "feature")
 
 
 @query()
 def gbt_variants(spark, sf_dir):
-    """Scores by each of the feature sets: with encodings, with similarities, and the safe lists with up to 1,200 trees."""
+    """Scores by each other feature set: with encodings, with similarities, and the safe lists with up to 1,200 trees."""
     df = _number_rows(spark, sf_dir)
-    out = None
+    specs = []
     for name, names in tabular.SETS.items():
-        one = _grown(df, names, rounds=1200 if name.startswith("safe") else 1000, step=0.04, depth=6).select(F.lit(name).alias("variant"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        safe = name.startswith("safe")
+        specs.append(boosting.Spec(name, tuple(features.safe_features(df, names)), rounds=1200 if safe else 1000, step=0.04, depth=6, patience=100 if safe else 80))
+    return boosting.predict(df.where("split = 'test'"), boosting.boost(_parts(df), specs), KEPT)
 
 
 @query()
 def gbt_same_budget(spark, sf_dir):
-    """Three feature sets on a balanced training sample of one size, up to 700 trees."""
+    """Three feature sets on balanced training samples of two sizes, up to 700 trees."""
     df = _number_rows(spark, sf_dir)
-    train = sampling.balanced(df.where("split = 'train'").select("user_id", "label"), "label", 15_000, "user_id", "budget").select("user_id")
-    df = df.where("split != 'train'").unionByName(df.where("split = 'train'").join(train, "user_id", "left_semi"))
     out = None
-    for name in ("base", "popularity", "semantic"):
-        one = _grown(df, tabular.SETS[name], rounds=700, step=0.05, depth=6).select(F.lit(name).alias("variant"), "*")
+    for budget in (20_000, 30_000):
+        train = sampling.balanced(df.where("split = 'train'").select("user_id", "label"), "label", budget // 2, "user_id", "budget").select("user_id")
+        own = staged(df.where("split != 'train'").unionByName(df.where("split = 'train'").join(train, "user_id", "left_semi")), "budget")
+        forests = _grown(own, {k: tabular.SETS[k] for k in ("base", "popularity", "semantic")}, rounds=700, step=0.05, depth=6, patience=80)
+        one = boosting.predict(own.where("split = 'test'"), forests, KEPT).select(F.lit(budget).alias("budget"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query()
+def hist_gbt_variants(spark, sf_dir):
+    """150 trees of up to 31 leaves, without stopping, of the similarities alone, the other numbers, and both; medians for nulls."""
+    df = _number_rows(spark, sf_dir)
+    numbers = tabular.BASE + tabular.POPULARITY
+    sets = {"semantic_only": tabular.SEMANTIC, "numeric_without_semantic": numbers, "numeric_with_semantic": numbers + tabular.SEMANTIC}
+    df = scorers.filled(df, scorers.medians(df.where("split = 'train'"), numbers + tabular.SEMANTIC))
+    forests = _grown(df, sets, rounds=150, step=0.06, depth=8, l2=0.05, patience=None, symmetric=False, leaves=31, least_rows=20)
+    return boosting.predict(df.where("split != 'train'"), forests, KEPT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import tokens
 from quillspark.operators import encoding, features, history, prompts, sampling, tabular
+from quillspark.plans import features as feature_plans  # noqa: F401  its SQL is part of a query here
 from quillspark.plans.base import HIST, ORACLES, SPLIT, query
 from quillspark.plans.data import candidates, splits
 from quillspark.sources import canonical
@@ -64,18 +65,30 @@ def encodings(s: DataFrame) -> DataFrame:
     return folded.select("user_id", *tabular.POPULARITY).unionByName(encoding.encode(rest, train, item="target_app_id").select("user_id", *tabular.POPULARITY))
 
 
+def in_sample(s: DataFrame) -> DataFrame:
+    """The target item's counts and rate in train, its own row included: null for items that train lacks."""
+    stats = encoding.popularity(s.where("split = 'train'"), "target_app_id").select("target_app_id", F.col("positives").alias("item_positive_count"), F.col("n").alias("item_total_count"), F.col("rate").alias("item_rate"))
+    return s.select("user_id", "target_app_id").join(stats, "target_app_id", "left").select("user_id", *tabular.IN_SAMPLE)
+
+
+@query(f"""WITH {SPLIT}, t AS (SELECT target_app_id, sum(CAST(label AS INTEGER)) AS p, count(*) AS n FROM split WHERE split = 'train' GROUP BY target_app_id)
+SELECT user_id, CAST(p AS BIGINT) AS item_positive_count, n AS item_total_count, round(p / n::DOUBLE, 6) AS item_rate FROM split LEFT JOIN t USING (target_app_id)""")
+def in_sample_popularity(spark, sf_dir):
+    return in_sample(staged(splits(spark, sf_dir), "splits")).select("user_id", "item_positive_count", "item_total_count", F.round("item_rate", 6).alias("item_rate"))
+
+
 def model_frame(spark, sf_dir) -> DataFrame:
-    """user_id, split, label and all 34 features."""
+    """user_id, split, label and all 37 features."""
     s = staged(splits(spark, sf_dir), "splits")
     numbers = tabular.tabular(enriched(spark, sf_dir, s))
     vectors = features.semantic(s, canonical.item_embeddings(spark, sf_dir))
-    return s.select("user_id", "split", "label").join(numbers, "user_id").join(encodings(s), "user_id").join(vectors, "user_id")
+    return s.select("user_id", "split", "label").join(numbers, "user_id").join(encodings(s), "user_id").join(in_sample(s), "user_id").join(vectors, "user_id")
 
 
-@query(f"SELECT * FROM (WITH {SPLIT} SELECT user_id, split, label FROM split) JOIN ({ORACLES['tabular_features']}) USING (user_id) JOIN ({ORACLES['encoded_targets']}) USING (user_id) JOIN ({ORACLES['semantic_features']}) USING (user_id)")
+@query(f"SELECT * FROM (WITH {SPLIT} SELECT user_id, split, label FROM split) JOIN ({ORACLES['tabular_features']}) USING (user_id) JOIN ({ORACLES['encoded_targets']}) USING (user_id) JOIN ({ORACLES['in_sample_popularity']}) USING (user_id) JOIN ({ORACLES['semantic_features']}) USING (user_id)")
 def model_features(spark, sf_dir):
     df = model_frame(spark, sf_dir)
-    exact = ["user_id", "split", "label", *[c for c in tabular.BASE if c not in _ROUNDED and "jaccard" not in c]]
+    exact = ["user_id", "split", "label", "item_positive_count", "item_total_count", *[c for c in tabular.BASE if c not in _ROUNDED and "jaccard" not in c]]
     return df.select(*[c if c in exact else F.round(c, 6).alias(c) for c in df.columns])
 
 
