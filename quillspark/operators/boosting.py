@@ -8,7 +8,7 @@ Sums are of whole numbers (gradients in units of 2 ** -20), so a forest is the s
 A task's scores of its rows are a cache in the Python worker, with the number of trees in it: trees that are missing
 there, or all of them after an executor was lost, are applied again. Each round's ROC-AUC on the validation rows comes
 with the counts of the next tree's first level, from scores in 2 ** 12 steps; growth stops when it has not risen for
-patience rounds, and the trees after the best round are dropped. Several models of the same rows grow in the same jobs.
+patience rounds, and the trees after the best round are dropped (one tree stays at least). Several models of the same rows grow in the same jobs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from quillspark.sources.stage import staged
 
 UNIT, STEPS = float(1 << 20), 1 << 12
 BLOCK_ROWS = 1 << 14
+TASK_ROWS = 1 << 17  # a task has about so many rows
+FEW_TASKS = 16  # so many tasks' sums are added on the driver, more on the executors first
 TRAIN, VAL, REST = 0, 1, 2
 
 
@@ -84,9 +87,9 @@ class Forest:
     trees: list[Tree]
     auc: list[float]  # on the validation rows after 0, 1, ... trees
 
-    @property
-    def best(self) -> int:
-        return len(self.trees)
+    def best_round(self) -> int:
+        """The number of trees, from 1, of the first highest validation AUC."""
+        return 1 + int(np.argmax(self.auc[1:])) if len(self.auc) > 1 else len(self.trees)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Scores before the logistic function of rows of features."""
@@ -234,7 +237,9 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
     borders = borders or quantile_borders(rows.where(F.col(part) == TRAIN), names, bins)
     blocks = staged(coded_blocks(rows, borders, label, part), "coded-rows")
     context = rows.sparkSession.sparkContext
-    held = blocks.rdd.zipWithUniqueId().map(lambda r: (r[1], (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
+    size = blocks.agg(F.sum("n")).first()[0] or 0
+    held = blocks.coalesce(max(1, size // TASK_ROWS)).rdd.zipWithUniqueId().map(lambda r: (r[1], (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
+    tasks = held.getNumPartitions()
     run = uuid.uuid4().hex
     ones = rows.where(F.col(part) == TRAIN).agg(F.avg(F.col(label).cast("int"))).first()[0]
     share = min(max(ones if ones is not None else 0.5, 1e-6), 1 - 1e-6)
@@ -251,12 +256,13 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
                 sent[name] = (context.broadcast(list(f.trees)), len(f.trees))
             old, n = sent[name]
             models.append((name, [names.index(x) for x in f.spec.features], base, old, f.trees[n:], tree, open_, level == 0))
-        sums = held.mapPartitions(_counts(run, names, models, bins)).treeReduce(add)
+        of_tasks = held.mapPartitions(_counts(run, names, models, bins))
+        sums = reduce(add, of_tasks.collect()) if tasks <= FEW_TASKS else of_tasks.treeReduce(add)
         for name, (total, auc) in zip(list(growing), sums):
             f, (tree, open_, level) = forests[name], growing[name]
             if level == 0:
                 f.auc.append(auc_of(auc))
-                late = f.spec.patience is not None and len(f.auc) - 1 - int(np.argmax(f.auc)) >= f.spec.patience
+                late = f.spec.patience is not None and len(f.trees) - f.best_round() >= f.spec.patience
                 if late or len(f.trees) >= f.spec.rounds:
                     del growing[name]
                     continue
@@ -270,7 +276,7 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
     held.unpersist()
     for f in forests.values():
         if f.spec.patience is not None:
-            f.trees = f.trees[: int(np.argmax(f.auc))]
+            f.trees = f.trees[: f.best_round()]
     return forests
 
 
@@ -285,7 +291,7 @@ def predict(rows: DataFrame, forests: dict[str, Forest], keep: list[str], each:
         for b in batches:
             for name, f in sent.value.items():
                 x = b[[f"_f_{c}" for c in f.spec.features]].to_numpy(float)
-                yield b[keep].assign(**{each: name, "trees": f.best, "score": 1 / (1 + np.exp(-f.raw(x)))})
+                yield b[keep].assign(**{each: name, "trees": len(f.trees), "score": 1 / (1 + np.exp(-f.raw(x)))})
 
     return inputs.mapInPandas(score, ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"{each} string", "trees long", "score double"]))
 
