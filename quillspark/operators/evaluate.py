@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,15 @@ from quillspark.operators.ranks import row_numbers, running
 def curve(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """For each group and distinct score, from the highest: positives and rows so far, and the group's totals.
 
-    Rows are first reduced to one for each score, so the windows are as large as the number of
-    distinct scores.
+    Rows are first reduced to one for each group and score. These are summed over ranges of (group, score) as one
+    sequence, from which what stands before a group is taken off again: no group is one task, however large.
     """
     steps = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
-    if not by:  # no key to deal by: distinct scores may be as many as rows
-        sums = running(steps, [F.desc("score")], {"cum_p": F.col("p"), "cum_n": F.col("n")})
-        return sums.crossJoin(F.broadcast(steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))  # one row
-    group = Window.partitionBy(*by)
-    down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("*", F.sum("p").over(down).alias("cum_p"), F.sum("n").over(down).alias("cum_n"), F.sum("p").over(group).alias("all_p"), F.sum("n").over(group).alias("all_n"))
+    sums = running(steps, [*[F.col(c) for c in by], F.desc("score")], {"cum_p": F.col("p"), "cum_n": F.col("n")})
+    totals = sums.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.min(F.col("cum_p") - F.col("p")).alias("_p0"), F.min(F.col("cum_n") - F.col("n")).alias("_n0"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)]
+    joined = sums.join(totals, reduce(lambda a, b: a & b, same)) if by else sums.crossJoin(F.broadcast(totals))  # one row
+    return joined.select(*by, "score", "p", "n", (F.col("cum_p") - F.col("_p0")).alias("cum_p"), (F.col("cum_n") - F.col("_n0")).alias("cum_n"), "all_p", "all_n")
 
 
 def auc_and_ap(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
@@ -57,11 +58,46 @@ def linspace(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
     return df.sparkSession.range(n).select((F.lit(low) + F.col("id") * F.lit(step)).alias("t"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q (the share) and value: interpolated quantiles of each group's values that are no nulls, without a group in one task.
+
+    Values are counted, the counts summed over ranges of (group, value), and of these rows only those are kept that
+    hold the one or two ranks between which an asked quantile lies.
+    """
+    by = by or []
+    steps = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    sums = running(steps, [*[F.col(c) for c in by], F.col("_v")], {"_cum": F.col("_c")})
+    totals = sums.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]).agg(F.sum("_c").alias("_n"), F.min(F.col("_cum") - F.col("_c")).alias("_0"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)]
+    rows = sums.join(totals, reduce(lambda a, b: a & b, same)) if by else sums.crossJoin(F.broadcast(totals))  # one row
+    rows = rows.select(*by, "_v", (F.col("_cum") - F.col("_c") - F.col("_0")).alias("_a"), (F.col("_cum") - F.col("_0")).alias("_b"), (F.col("_n") - 1).alias("_m"))
+    asked = F.array(*[F.lit(float(q)) for q in shares])
+    first, last = _places(shares, F.col("_a") - 1, F.col("_m"), True), _places(shares, F.col("_b"), F.col("_m"), False)
+    near = rows.where(first <= last).select("*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("_k")).withColumn("q", F.element_at(asked, F.col("_k") + 1))
+    at = F.col("q") * F.col("_m")
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda r: F.when((r >= F.col("_a")) & (r < F.col("_b")), F.col("_v"))
+    pair = near.select(*by, "q", holds(low).alias("_low"), holds(high).alias("_high"), (at - low).alias("_part")).where("_low IS NOT NULL OR _high IS NOT NULL")
+    both = pair.groupBy(*by, "q").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_part").alias("_part"))
+    return both.select(*by, "q", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("value"))
+
+
+def _places(shares: list[float], rank: Column, most: Column, first: bool) -> Column:
+    """The place in the ascending shares of the first whose rank is rank or more, or of the last whose rank is rank or less."""
+    even = len(shares) > 2 and all(abs(q - k / (len(shares) - 1)) < 1e-12 for k, q in enumerate(shares))
+    if even:  # k / (n - 1): by division, one place wider on either side; the ranks are compared again
+        x = rank * (len(shares) - 1) / F.greatest(most, F.lit(1))
+        return F.greatest(F.ceil(x) - 1, F.lit(0)) if first else F.least(F.floor(x) + 1, F.lit(len(shares) - 1))
+    hit = [F.lit(q) * most >= rank if first else F.lit(q) * most <= rank for q in shares]
+    count = reduce(lambda a, b: a + b, [h.cast("int") for h in hit])
+    return F.lit(len(shares)) - count if first else count - 1
+
+
 def quantile_grid(df: DataFrame, score: str = "score", n: int = 1001) -> DataFrame:
     """Quantiles of the scores, and 0 and just outside the extremes."""
-    shares = F.array(*[F.lit(k / (n - 1)) for k in range(n)])
-    ends = F.array(F.min(score) - 1e-12, F.max(score) + 1e-12, F.lit(0.0))
-    return df.agg(F.array_distinct(F.concat(F.percentile(score, shares), ends)).alias("ts")).select(F.explode("ts").alias("t"))
+    inner = exact_quantiles(df, score, [k / (n - 1) for k in range(n)]).select(F.col("value").alias("t"))
+    ends = df.agg(F.array(F.min(score) - 1e-12, F.max(score) + 1e-12, F.lit(0.0)).alias("ts")).select(F.explode("ts").alias("t"))
+    return inner.unionByName(ends).distinct()
 
 
 def best_threshold(df: DataFrame, grid: DataFrame, ties: str = "first", score: str = "score", y: str = "y") -> DataFrame:
@@ -83,13 +119,16 @@ def best_threshold(df: DataFrame, grid: DataFrame, ties: str = "first", score: s
     return at.agg(F.max_by("t", rank).alias("threshold"), F.max("f1").alias("f1"))
 
 
-def group_metrics(df: DataFrame, groups: list[str], threshold: float, score: str = "score", y: str = "y") -> DataFrame:
-    """All metrics for each value of each group column, in one pass over the unpivoted rows."""
-    long = df.select(score, y, F.explode(F.array(*[F.struct(F.lit(g).alias("group_type"), F.col(g).cast("string").alias("group")) for g in groups])).alias("g")).select(score, y, "g.*")
-    by = ["group_type", "group"]
+def group_metrics(df: DataFrame, groups: list[str], threshold: float | Column, score: str = "score", y: str = "y", method: str | None = None) -> DataFrame:
+    """All metrics for each method (if there is one) and value of each group column, in one pass over the unpivoted rows."""
+    more = [method] if method else []
+    hit = F.col(score) >= threshold
+    long = df.select(*more, score, y, hit.alias("_hit"), F.explode(F.array(*[F.struct(F.lit(g).alias("group_type"), F.col(g).cast("string").alias("group")) for g in groups])).alias("g")).select(*more, score, y, "_hit", "g.*")
+    by = [*more, "group_type", "group"]
     a = auc_and_ap(long, by, score, y)
-    b = confusion(long, by, F.col(score) >= threshold, y)
-    return a.alias("a").join(b.alias("b"), (F.col("a.group_type") == F.col("b.group_type")) & F.col("a.group").eqNullSafe(F.col("b.group"))).select("a.*", *[F.col(f"b.{c}") for c in ("accuracy", "precision", "recall", "f1")])
+    b = confusion(long, by, F.col("_hit"), y)
+    same = reduce(lambda x, z: x & z, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in by])
+    return a.alias("a").join(b.alias("b"), same).select("a.*", *[F.col(f"b.{c}") for c in ("accuracy", "precision", "recall", "f1")])
 
 
 def quartiles(df: DataFrame, value: str, key: str, names: tuple[str, ...] = ("Q1_tail", "Q2", "Q3", "Q4_head")) -> DataFrame:

@@ -60,13 +60,14 @@ def semantic(samples: DataFrame, embeddings: DataFrame, k: int = 3) -> DataFrame
     the mean of the k largest similarities of either side; 0 where there is none.
 
     The dot product is linear, so the mean vector's cosine is the sum of the similarities over the length of
-    the summed vector.
+    the summed vector, which is added up element by element from the vectors of one history.
     """
     e = similarities(samples, embeddings)
-    dims = F.posexplode("v").alias("dim", "x")
-    summed = e.where("v IS NOT NULL").select("user_id", "label", dims).groupBy("user_id", "label", "dim").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    norms = summed.groupBy("user_id", "label").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    sides = e.where("sim IS NOT NULL").groupBy("user_id", "label").agg(F.sum("sim").alias("total"), F.max("sim").alias("top"), F.collect_list("sim").alias("sims")).join(norms, ["user_id", "label"])
+    known = F.when(F.col("v").isNotNull(), F.col("v"))  # nulls are left out of the list; a history is short
+    sides = e.groupBy("user_id", "label").agg(F.sum("sim").alias("total"), F.max("sim").alias("top"), F.collect_list("sim").alias("sims"), F.collect_list(known).alias("vectors"))
+    double = lambda v: F.transform(v, lambda x: x.cast("double"))
+    summed = F.reduce(F.slice("vectors", 2, 1 << 30), double(F.get("vectors", F.lit(0))), lambda a, v: F.zip_with(a, v, lambda x, z: x + z.cast("double")))
+    sides = sides.where("total IS NOT NULL").withColumn("norm", F.sqrt(F.aggregate(F.transform(summed, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))).drop("vectors")
     value = sides.select("user_id", "label", F.when(F.col("norm") > 1e-12, F.col("total") / F.col("norm")).otherwise(0.0).alias("mean_cos"), "top", numeric.top_mean(F.col("sims"), k).alias("top_mean"))
     pick = lambda c, want: F.coalesce(F.max(F.when(F.col("label") == want, F.col(c))), F.lit(0.0))
     g = value.groupBy("user_id").agg(*[pick(c, want).alias(f"{side}_{c}") for want, side in ((True, "liked"), (False, "disliked")) for c in ("mean_cos", "top", "top_mean")])

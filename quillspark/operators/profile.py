@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import evaluate
+
 
 def null_report(df: DataFrame) -> DataFrame:
     """(column, nulls, share) of every column, from one aggregate."""
@@ -30,8 +34,13 @@ def percent_of_total(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"))
+    """Count, mean, deviation, extremes and exact quartiles of each group; the quartiles by distributed selection."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    found = evaluate.exact_quantiles(df, value, list(names), list(by))
+    wide = found.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in names.items()])
+    same = reduce(lambda x, z: x & z, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else F.lit(True)
+    return plain.join(wide, same, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def label_balance(df: DataFrame, label: str, *by: str) -> DataFrame:

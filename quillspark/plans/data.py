@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import numeric, text
-from quillspark.operators import clean, encoding, history, profile, sampling
+from quillspark.operators import clean, encoding, evaluate, history, profile, sampling
 from quillspark.plans.base import CLEANED, HIST, ORACLES, SEQUENCE, SPLIT, query
-from quillspark.sources import canonical, files
+from quillspark.sources import canonical, versioned
 from quillspark.sources.canonical import SQL_INTERACTIONS, SQL_ITEMS, table
+from quillspark.sources.stage import staged_once, stage_path
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.histories(sequence(spark, sf_dir))
+    """Targets with their histories, which most plans build on: computed once in a session."""
+    return staged_once(spark, f"candidates {sf_dir}", lambda: history.histories(sequence(spark, sf_dir)))
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,16 +38,20 @@ def interaction_profile(spark, sf_dir):
 
 @query("SELECT quantile_cont(l_quantity, 0.5) AS q50, quantile_cont(l_quantity, 0.75) AS q75, quantile_cont(l_quantity, 0.9) AS q90, quantile_cont(l_quantity, 0.95) AS q95, quantile_cont(l_quantity, 0.99) AS q99 FROM lineitem")
 def hours_quantiles_exact(spark, sf_dir):
-    q = lambda p: F.percentile("l_quantity", F.lit(p)).alias(f"q{round(100 * p)}")
-    return table(spark, sf_dir, "lineitem").agg(*[q(p) for p in (0.5, 0.75, 0.9, 0.95, 0.99)])
+    return _quantile_row(table(spark, sf_dir, "lineitem"), "l_quantity", {p: f"q{round(100 * p)}" for p in (0.5, 0.75, 0.9, 0.95, 0.99)})
+
+
+def _quantile_row(df: DataFrame, value: str, names: dict[float, str]) -> DataFrame:
+    found = evaluate.exact_quantiles(df, value, list(names))
+    return found.agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in names.items()])
 
 
 @query(f"""WITH {SQL_INTERACTIONS}, c AS (SELECT user_id, count(*) AS n FROM interactions GROUP BY user_id)
 SELECT quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.9) AS q90, quantile_cont(n, 0.99) AS q99, max(n) AS most, avg(n) AS mean FROM c""")
 def user_activity_quantiles(spark, sf_dir):
     n = canonical.interactions(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
-    q = lambda p, name: F.percentile("n", F.lit(p)).alias(name)
-    return n.agg(q(0.5, "q50"), q(0.9, "q90"), q(0.99, "q99"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+    quantiles = _quantile_row(n, "n", {0.5: "q50", 0.9: "q90", 0.99: "q99"})
+    return quantiles.crossJoin(F.broadcast(n.agg(F.max("n").alias("most"), F.avg("n").alias("mean"))))  # one row each
 
 
 @query(f"WITH {SQL_INTERACTIONS} SELECT user_id, app_id, count(*) AS n FROM interactions GROUP BY user_id, app_id HAVING count(*) > 1")
@@ -245,12 +251,36 @@ def any_column_search(spark, sf_dir):
     return p.where(text.any_contains([F.col(c) for c in ("p_name", "p_type", "p_brand", "p_partkey")], "AN")).select("p_partkey", "p_name")
 
 
-@query("""WITH o AS (SELECT * FROM (VALUES ('a', 0.5), ('b', 0.6), ('c', 0.7), ('old', 0.1)) t(method, auc)), n AS (SELECT * FROM (VALUES ('b', 0.9, 0.4), ('d', 0.2, 0.3)) t(method, auc, f1))
-SELECT method, CAST(auc AS DOUBLE) AS auc, CAST(NULL AS DOUBLE) AS f1 FROM o WHERE method NOT IN (SELECT method FROM n) AND method <> 'old' UNION ALL SELECT method, CAST(auc AS DOUBLE), CAST(f1 AS DOUBLE) FROM n""")
+_RATES = "SELECT '{0}' || l_returnflag AS method, avg(l_discount) AS rate, count(*) AS n FROM lineitem WHERE l_linestatus = '{1}' GROUP BY l_returnflag"
+
+
+@query(f"""WITH o AS ({_RATES.format("flag_", "F")} UNION ALL {_RATES.format("old_", "F")}), n AS (SELECT * FROM ({_RATES.format("flag_", "O")}) WHERE n > 0)
+SELECT method, round(rate, 9) AS rate, CAST(NULL AS BIGINT) AS n FROM o WHERE method NOT IN (SELECT method FROM n) AND method NOT LIKE 'old%' UNION ALL SELECT method, round(rate, 9), n FROM n""")
 def metrics_upsert(spark, sf_dir):
-    old = spark.createDataFrame([("a", 0.5), ("b", 0.6), ("c", 0.7), ("old", 0.1)], "method string, auc double")
-    new = spark.createDataFrame([("b", 0.9, 0.4), ("d", 0.2, 0.3)], "method string, auc double, f1 double")
-    return files.upsert(old, new, "method", retired=("old",))
+    """Rates of the closed lines, with the methods of an old run, kept in a versioned table; then those of the open lines, some of the same methods, and the old ones retired."""
+    lines = table(spark, sf_dir, "lineitem")
+
+    def rates(prefix: str, status: str) -> DataFrame:
+        g = lines.where(F.col("l_linestatus") == status).groupBy("l_returnflag").agg(F.avg("l_discount").alias("rate"), F.count("*").alias("n"))
+        return g.select(F.concat(F.lit(prefix), "l_returnflag").alias("method"), "rate", "n")
+
+    kept = versioned.VersionedTable(spark, stage_path(spark, "metrics"))
+    kept.upsert(rates("flag_", "F").unionByName(rates("old_", "F")).drop("n"), "method")
+    flags = [r["l_returnflag"] for r in lines.select("l_returnflag").distinct().collect()]  # a few letters
+    kept.upsert(rates("flag_", "O"), "method", retired=tuple(f"old_{f}" for f in flags))
+    return kept.read().select("method", F.round("rate", 9).alias("rate"), "n")
+
+
+@query("""WITH q AS (SELECT l_returnflag AS k, quantile_cont(l_quantity, 0.5) AS v FROM lineitem GROUP BY l_returnflag), w AS (SELECT l_linestatus AS k, quantile_cont(l_quantity, 0.75) AS v FROM lineitem GROUP BY l_linestatus)
+SELECT 'flag_' || k AS key, v AS value FROM q UNION ALL SELECT 'status_' || k, v FROM w""")
+def threshold_store(spark, sf_dir):
+    """Thresholds computed by two runs, kept as keys and values: the second run adds to the first's."""
+    lines = table(spark, sf_dir, "lineitem")
+    kept = versioned.VersionedTable(spark, stage_path(spark, "thresholds"))
+    for prefix, by, q in (("flag_", "l_returnflag", 0.5), ("status_", "l_linestatus", 0.75)):
+        found = evaluate.exact_quantiles(lines, "l_quantity", [q], [by])
+        kept.upsert(found.select(F.concat(F.lit(prefix), by).alias("key"), "value"), "key")
+    return kept.read()
 
 
 @query(f"""WITH {CLEANED}, s AS (SELECT app_id, sum(CAST(is_recommended AS INTEGER)) AS p, count(*) AS n FROM cleaned GROUP BY app_id) SELECT app_id, CAST(p AS BIGINT) AS positives, n, p / n::DOUBLE AS rate FROM s""")

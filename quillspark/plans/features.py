@@ -20,11 +20,16 @@ def text_clean_truncate(spark, sf_dir):
     return d.select("doc_id", text.clean(F.col("text"), 80).alias("clean"), text.truncate_hard(text.collapse(F.col("text")), 35).alias("hard"))
 
 
-@query("""SELECT * FROM (VALUES ('20,000 - 50,000', 20000.0::DOUBLE, 50000.0::DOUBLE, 35000.0::DOUBLE), ('0', 0.0, 0.0, 0.0), ('', NULL, NULL, NULL), ('none', NULL, NULL, NULL), ('7', 7.0, 7.0, 7.0)) t(owners, owners_min, owners_max, owners_mid)""")
+@query("""WITH o AS (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE format('{:,}', p_size * 1000) || ' - ' || format('{:,}', p_size * 2500) END AS owners FROM part)
+SELECT p_partkey, owners, CASE WHEN p_partkey % 5 = 2 THEN p_size::DOUBLE WHEN p_partkey % 5 > 2 THEN p_size * 1000.0::DOUBLE END AS owners_min, CASE WHEN p_partkey % 5 = 2 THEN p_size::DOUBLE WHEN p_partkey % 5 > 2 THEN p_size * 2500.0::DOUBLE END AS owners_max,
+  CASE WHEN p_partkey % 5 = 2 THEN p_size::DOUBLE WHEN p_partkey % 5 > 2 THEN p_size * 1750.0::DOUBLE END AS owners_mid FROM o""")
 def owner_range_parse(spark, sf_dir):
-    df = spark.createDataFrame([("20,000 - 50,000",), ("0",), ("",), ("none",), ("7",)], "owners string")
+    """Ranges of owners written from the parts' sizes, some empty, without a number or with one number only."""
+    kind, size = F.col("p_partkey") % 5, F.col("p_size")
+    written = F.when(kind == 0, "").when(kind == 1, "none").when(kind == 2, size.cast("string")).otherwise(F.concat(F.format_number(size * 1000, 0), F.lit(" - "), F.format_number(size * 2500, 0)))
+    df = table(spark, sf_dir, "part").select("p_partkey", written.alias("owners"))
     low, high, mid = text.owner_range(F.col("owners"))
-    return df.select("owners", low.alias("owners_min"), high.alias("owners_max"), mid.alias("owners_mid"))
+    return df.select("p_partkey", "owners", low.alias("owners_min"), high.alias("owners_max"), mid.alias("owners_mid"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'Yes.'), (-1, 1, 'no'), (-1, 2, 'yes no'), (-1, 3, 'maybe'), (-1, 4, 'YES yes'), (-1, 5, 'nothing')) t),

@@ -11,7 +11,7 @@ from quillspark.plans.base import ORACLES, query
 from quillspark.sources import files
 from quillspark.sources.canonical import table
 
-_SCORED = "scored AS (SELECT doc_id, quality AS y, least(length(text), 6000) / 6000.0::DOUBLE AS score, lang, source FROM labels JOIN documents USING (doc_id))"
+_SCORED = "scored AS (SELECT doc_id, quality AS y, length(text) / (length(text) + 6000.0::DOUBLE) AS score, lang, source FROM labels JOIN documents USING (doc_id))"
 _CURVE = _SCORED + """, st AS (SELECT {g} AS g, score, sum(y) AS p, count(*) AS n FROM scored GROUP BY 1, score),
 cv AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY g) AS ap, sum(n) OVER (PARTITION BY g) AS an FROM st WINDOW w AS (PARTITION BY g ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 mt AS (SELECT g, CAST(max(an) AS BIGINT) AS n, max(ap) / max(an)::DOUBLE AS positive_rate,
@@ -21,8 +21,9 @@ _F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)"
 
 
 def scored(spark, sf_dir) -> DataFrame:
+    """Labelled documents with a score that grows with the text's length, without an end."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.least(F.length("text"), F.lit(6000)) / 6000.0).alias("score"), "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") / (F.length("text") + 6000.0)).alias("score"), "lang", "source")
     return labels.join(docs, "doc_id")
 
 
@@ -71,13 +72,41 @@ def best_f1_threshold(spark, sf_dir):
     return out
 
 
-@query(f"""WITH {_CURVE.format(g="lang")}, c AS (SELECT lang AS g, count(*) FILTER (WHERE y = 1 AND score >= 0.3) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.3) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.3) AS fn FROM scored GROUP BY lang)
-SELECT 'lang' AS group_type, mt.g AS "group", n, round(positive_rate, 9) AS positive_rate, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, round({_F1}, 9) AS f1 FROM mt JOIN c ON c.g = mt.g
-UNION ALL SELECT * FROM (WITH {_CURVE.format(g="source")}, c AS (SELECT source AS g, count(*) FILTER (WHERE y = 1 AND score >= 0.3) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.3) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.3) AS fn FROM scored GROUP BY source)
-SELECT 'source' AS group_type, mt.g AS "group", n, round(positive_rate, 9), round(roc_auc, 9), round(pr_auc, 9), round({_F1}, 9) FROM mt JOIN c ON c.g = mt.g)""")
+_METHODS = {"length": "score", "lines": "n_lines / (n_lines + 20.0::DOUBLE)", "constant": "0.5::DOUBLE"}
+_OF_METHODS = f"""labelled AS (SELECT doc_id, quality AS y, length(text) / (length(text) + 6000.0::DOUBLE) AS score, length(text) - length(replace(text, chr(10), '')) AS n_lines, lang, source FROM labels JOIN documents USING (doc_id)),
+m AS ({" UNION ALL ".join(f"SELECT '{k}' AS method, y, {v} AS score, lang, source FROM labelled" for k, v in _METHODS.items())}),
+u AS (SELECT method, 'lang' AS group_type, lang AS g, y, score FROM m UNION ALL SELECT method, 'source', source, y, score FROM m),
+st AS (SELECT method, group_type, g, score, sum(y) AS p, count(*) AS n FROM u GROUP BY ALL),
+cv AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY method, group_type, g) AS ap, sum(n) OVER (PARTITION BY method, group_type, g) AS an FROM st WINDOW w AS (PARTITION BY method, group_type, g ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+mt AS (SELECT method, group_type, g, CAST(max(an) AS BIGINT) AS n, max(ap) / max(an)::DOUBLE AS positive_rate,
+  CASE WHEN max(ap) > 0 AND max(an - ap) > 0 THEN sum(p * ((an - cn) - (ap - cp) + (n - p) / 2.0::DOUBLE)) / (max(ap) * max(an - ap)) END AS roc_auc,
+  CASE WHEN max(ap) > 0 AND max(an - ap) > 0 THEN sum(p / ap::DOUBLE * cp / cn) END AS pr_auc FROM cv GROUP BY method, group_type, g),
+c AS (SELECT method, group_type, g, count(*) FILTER (WHERE y = 1 AND score >= 0.3) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.3) AS fp, count(*) FILTER (WHERE y = 1 AND score < 0.3) AS fn FROM u GROUP BY ALL)"""
+
+
+def methods(spark, sf_dir) -> DataFrame:
+    """Labelled documents with the scores of three methods, a row for each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.length("text").alias("_n"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("_l"))
+    scores = {"length": F.col("_n") / (F.col("_n") + 6000.0), "lines": F.col("_l") / (F.col("_l") + 20.0), "constant": F.lit(0.5)}
+    both = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
+    return both.select("doc_id", "y", "lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("method"), v.alias("score")) for k, v in scores.items()])).alias("m")).select("doc_id", "y", "lang", "source", "m.*")
+
+
+@query(f"""WITH {_OF_METHODS} SELECT mt.method, mt.group_type, mt.g AS "group", n, round(positive_rate, 9) AS positive_rate, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, round({_F1}, 9) AS f1
+FROM mt JOIN c ON c.method = mt.method AND c.group_type = mt.group_type AND c.g IS NOT DISTINCT FROM mt.g""")
 def group_metrics(spark, sf_dir):
-    g = evaluate.group_metrics(scored(spark, sf_dir), ["lang", "source"], 0.3)
-    return g.select("group_type", "group", "n", *[F.round(c, 9).alias(c) for c in ("positive_rate", "roc_auc", "pr_auc", "f1")])
+    g = evaluate.group_metrics(methods(spark, sf_dir), ["lang", "source"], 0.3, method="method")
+    return g.select("method", "group_type", "group", "n", *[F.round(c, 9).alias(c) for c in ("positive_rate", "roc_auc", "pr_auc", "f1")])
+
+
+_GRID_1001 = _SCORED + ", g AS (SELECT DISTINCT round(t, 9) AS t FROM (SELECT unnest(quantile_cont(score, [i / 1000.0::DOUBLE for i in range(0, 1001)])) AS t FROM scored UNION ALL SELECT min(score) - 1e-12 FROM scored UNION ALL SELECT max(score) + 1e-12 FROM scored UNION ALL SELECT 0.0))"
+
+
+@query(f"WITH {_GRID_1001} SELECT count(*) AS n, round(min(t), 9) AS low, round(max(t), 9) AS high, round(sum(t), 6) AS total, round(sum(t * t), 6) AS squares FROM g")
+def quantile_grid_sums(spark, sf_dir):
+    """The 1,001 quantiles of the scores that a threshold is searched among, as sums."""
+    t = F.col("t")
+    return evaluate.quantile_grid(scored(spark, sf_dir)).select(F.round("t", 9).alias("t")).distinct().agg(F.count("*").alias("n"), F.round(F.min(t), 9).alias("low"), F.round(F.max(t), 9).alias("high"), F.round(F.sum(t), 6).alias("total"), F.round(F.sum(t * t), 6).alias("squares"))
 
 
 @query(f"""WITH {_SCORED}, ids AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY y ORDER BY md5(doc_id || 'fair'), doc_id) AS r FROM scored) WHERE r <= 30), s AS (SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM ids))
@@ -90,15 +119,16 @@ def fair_subset(spark, sf_dir):
     return c.select("method", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), "accuracy")
 
 
-@query(f"""WITH {_CURVE.format(g='0')}, b AS (SELECT 'length' AS method, roc_auc AS test_roc_auc, 'computed' AS "group" FROM mt UNION ALL SELECT 'constant', 0.5, NULL UNION ALL SELECT 'other', 0.9, NULL)
-SELECT CAST(row_number() OVER (ORDER BY test_roc_auc DESC, method) AS INTEGER) AS place, method, round(test_roc_auc, 9) AS test_roc_auc, coalesce("group", '') AS "group" FROM b""")
+@query(f"""WITH {_OF_METHODS.replace("'lang' AS group_type, lang AS g", "'all' AS group_type, 'all' AS g").replace(" UNION ALL SELECT method, 'source', source, y, score FROM m", "")}, b AS (SELECT method, roc_auc AS test_roc_auc FROM mt)
+SELECT CAST(row_number() OVER (ORDER BY test_roc_auc DESC, method) AS INTEGER) AS place, method, round(test_roc_auc, 9) AS test_roc_auc, CASE WHEN method = 'constant' THEN '' ELSE 'computed' END AS "group" FROM b""")
 def leaderboard(spark, sf_dir):
+    """Methods by their ROC-AUC: the computed ones put into a table that holds the constant's row without a group."""
     from pyspark.sql import Window
 
-    a = evaluate.auc_and_ap(scored(spark, sf_dir), []).select(F.lit("length").alias("method"), F.col("roc_auc").alias("test_roc_auc"), F.lit("computed").alias("group"))
-    b = spark.createDataFrame([("constant", 0.5), ("other", 0.9)], "method string, test_roc_auc double")
+    a = evaluate.auc_and_ap(methods(spark, sf_dir), ["method"]).select("method", F.col("roc_auc").alias("test_roc_auc"))
+    old, new = a.where("method = 'constant'"), a.where("method != 'constant'").withColumn("group", F.lit("computed"))
     place = F.row_number().over(Window.orderBy(F.desc("test_roc_auc"), "method"))  # one row for each method
-    return files.upsert(a, b, "method").select(place.alias("place"), "method", F.round("test_roc_auc", 9).alias("test_roc_auc"), F.coalesce("group", F.lit("")).alias("group"))
+    return files.upsert(old, new, "method").select(place.alias("place"), "method", F.round("test_roc_auc", 9).alias("test_roc_auc"), F.coalesce("group", F.lit("")).alias("group"))
 
 
 @query("""WITH n AS (SELECT p_partkey, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)

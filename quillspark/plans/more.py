@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.operators import evaluate, sampling, tables
+from quillspark.operators import evaluate, sampling, scorers, tables
 from quillspark.plans.base import ORACLES, query
 from quillspark.plans.metrics import _F1, _SCORED, confusion_metrics, scored
-from quillspark.sources import files
+from quillspark.sources import arrays, files
 from quillspark.sources.canonical import table
-from quillspark.sources.stage import stage_path
+from quillspark.sources.stage import stage_path, staged
 
 
 @query("SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -108,6 +111,64 @@ def approximate_quantiles(spark, sf_dir):
     return a.select("l_returnflag", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("q"), F.col("v").alias("hours"))).alias("x")).select("l_returnflag", "x.q", "x.hours")
 
 
+_WITHIN = 0.0133  # three times the normal rank error of sketches with k = 600
+
+
+@query("SELECT event_type, q, count(value) AS n, true AS within FROM events, (SELECT unnest([0.01, 0.25, 0.5, 0.9, 0.99]::DOUBLE[]) AS q) GROUP BY event_type, q")
+def sketched_quantiles(spark, sf_dir):
+    """Rank sketches of each day's values, stored, merged over the days: within says whether an estimate's rank among the values is as near as the sketch promises."""
+    events = table(spark, sf_dir, "events")
+    by_day = staged(events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.kll_sketch_agg_double("value", F.lit(600)).alias("sketch")), "sketches")
+    shares = F.array(*[F.lit(q) for q in (0.01, 0.25, 0.5, 0.9, 0.99)])
+    whole = by_day.groupBy("event_type").agg(F.kll_merge_agg_double("sketch", F.lit(600)).alias("sketch"))
+    asked = whole.select(F.col("event_type").alias("kind"), F.explode(F.arrays_zip(shares.alias("q"), F.kll_sketch_get_quantile_double("sketch", shares).alias("v"))).alias("x")).select("kind", "x.q", "x.v")
+    ranked = events.join(asked, F.col("event_type") == F.col("kind")).groupBy("event_type", "q").agg(F.count("value").alias("n"), F.count_if(F.col("value") <= F.col("v")).alias("below"))
+    return ranked.select("event_type", "q", "n", (F.abs(F.col("below") / F.col("n") - F.col("q")) <= _WITHIN).alias("within"))
+
+
+_LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER) AS y, {", ".join(_LINE)} FROM lineitem),
+m AS (SELECT {", ".join(f"avg({c}) FILTER (WHERE y = {k}) AS {c}_m{k}" for c in _LINE for k in (0, 1))}, {", ".join(f"var_pop({c}) AS {c}_v" for c in _LINE)}, avg(y) AS rate FROM x),
+w AS (SELECT *, {", ".join(f"({c}_m1 - {c}_m0) / {c}_v AS {c}_w" for c in _LINE)} FROM m)
+SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(ln(rate / (1 - rate)) + {" + ".join(f"{c}_w * ({c} - ({c}_m0 + {c}_m1) / 2)" for c in _LINE)}))), 6) AS score FROM x, w""")
+def batch_linear_scores(spark, sf_dir):
+    """A linear discriminant with variances only, fitted by sums over the lines and applied in Arrow batches; its few numbers are sent once to each executor."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("line"), (F.col("l_returnflag") == "R").alias("y"), *_LINE)
+    of = lines.agg(*[F.avg(F.when(F.col("y") == bool(k), F.col(c))).alias(f"{c}_m{k}") for c in _LINE for k in (0, 1)], *[F.var_pop(c).alias(f"{c}_v") for c in _LINE], F.avg(F.col("y").cast("int")).alias("rate")).first()
+    weights = {c: (of[f"{c}_m1"] - of[f"{c}_m0"]) / of[f"{c}_v"] for c in _LINE}
+    start = math.log(of["rate"] / (1 - of["rate"])) - sum(w * (of[f"{c}_m0"] + of[f"{c}_m1"]) / 2 for c, w in weights.items())
+    model = spark.sparkContext.broadcast((start, weights))
+
+    def make():
+        start, weights = model.value
+        return lambda b: 1 / (1 + np.exp(-(start + sum(w * b[c] for c, w in weights.items()))))
+
+    scores = scorers.batch_scorer(lines.select("line", *_LINE), make, key="line")
+    place = F.split("line", r"\|")
+    return scores.select(place[0].cast("long").alias("l_orderkey"), place[1].cast("int").alias("l_linenumber"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")
+def array_source(spark, sf_dir):
+    """The embeddings written as dense array files with an index of their rows, and read again by ranges of rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = stage_path(spark, "arrays")
+    arrays.write_arrays(vectors, path, "vec_id", "embedding")
+    return arrays.read_arrays(spark, path, "vec_id").select("vec_id", F.transform("values", lambda x: x.cast("double")).alias("embedding"))
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 997 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS customer, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders")
+def csv_sniffed(spark, sf_dir):
+    """Orders through CSV without a schema: types guessed from the first lines and widened where a later value differs, in one scan of all."""
+    orders = table(spark, sf_dir, "orders")
+    customer = F.when(F.col("o_orderkey") % 997 == 0, "n/a").otherwise(F.col("o_custkey").cast("string"))
+    path = stage_path(spark, "sniffed")
+    orders.select("o_orderkey", "o_totalprice", customer.alias("customer"), F.to_date("o_orderdate").alias("day"), "o_orderstatus").write.option("header", True).csv(path)
+    return files.read_csv_sniffed(spark, path)
+
+
 _CHOSEN = _SCORED + f""", g AS (SELECT 0.01::DOUBLE + i * 0.01::DOUBLE AS t FROM range(0, 99) r(i)), val AS (SELECT * FROM scored WHERE doc_id % 2 = 1),
 a AS (SELECT t, count(*) FILTER (WHERE y = 1 AND score >= t) AS tp, count(*) FILTER (WHERE y = 0 AND score >= t) AS fp, count(*) FILTER (WHERE y = 1 AND score < t) AS fn FROM g, val GROUP BY t),
 f AS (SELECT t, round({_F1}, 12) AS f1 FROM a), best AS (SELECT min(t) AS threshold FROM f WHERE f1 = (SELECT max(f1) FROM f))"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.stage import staged
+
 RECOMMENDATIONS = T.StructType([T.StructField(n, t) for n, t in (("app_id", T.LongType()), ("helpful", T.LongType()), ("funny", T.LongType()), ("date", T.DateType()), ("is_recommended", T.BooleanType()), ("hours", T.DoubleType()), ("user_id", T.LongType()), ("review_id", T.LongType()))])
 GAMES_METADATA = T.StructType([T.StructField("app_id", T.LongType()), T.StructField("description", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))])
 
@@ -23,6 +25,38 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df.select(*columns) if columns else df
 
 
+#: From the narrowest on; a column gets the first that all its values can be read as.
+TYPES = ("bigint", "double", "date", "boolean", "string")
+
+
+def read_csv_sniffed(spark: SparkSession, path: str, lines: int = 1000) -> DataFrame:
+    """CSV with a header and without a schema, scanned whole once.
+
+    Types are guessed from the first lines; the one scan then stores the text of each column and counts, for its
+    guess and the wider types, the values that can't be read as such. A guess that any value contradicts is widened.
+    Empty fields are nulls; a column of nulls alone is text.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    raw = spark.read.option("header", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    sample = raw.limit(lines)
+    guess = _fitting(sample.agg(*_unread_counts(names, {n: list(TYPES) for n in names})).first().asDict(), names, {n: list(TYPES) for n in names})
+    wider = {n: list(TYPES[TYPES.index(t) :]) for n, t in guess.items()}
+    seen = Observation()
+    stored = staged(raw.observe(seen, *_unread_counts(names, wider)), "csv")
+    types = _fitting(seen.get, names, wider)
+    return stored.select(*[F.expr(f"try_cast(`{n}` AS {types[n]})").alias(n) for n in names])
+
+
+def _unread_counts(names: list[str], types: dict[str, list[str]]) -> list:
+    """For each column and type how many values can't be read as it, and how many there are."""
+    counts = [F.count_if(F.col(f"`{n}`").isNotNull() & F.expr(f"try_cast(`{n}` AS {t})").isNull()).alias(f"{k}_{t}") for k, n in enumerate(names) for t in types[n]]
+    return counts + [F.count(f"`{n}`").alias(f"{k}_n") for k, n in enumerate(names)]
+
+
+def _fitting(counts: dict, names: list[str], types: dict[str, list[str]]) -> dict[str, str]:
+    return {n: next(t for t in types[n] if counts[f"{k}_{t}"] == 0) if counts[f"{k}_n"] else "string" for k, n in enumerate(names)}
+
+
 def read_head(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_ONCE: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make's result, staged at the first call of a name in this application and read again by later ones.
+
+    For tables that many plans start from; input folders are taken not to change while an application runs.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _ONCE:
+        _ONCE[key] = staged(make(), "once")
+    return _ONCE[key]
