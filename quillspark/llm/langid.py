@@ -4,9 +4,10 @@ Each language gets a binary codeword; one linear classifier of hashed byte n-gra
 bit (ridge regression on +-1 targets), and a text takes the language whose codeword has the least
 loss, each bit weighted by its training accuracy. Text whose two best codewords are close is flagged.
 
-The fit uses a sample of about per_language labelled documents of each language, whatever their number of
-languages (the documented bound): a document is in it if a hash of its doc_id and text is under the
-share that its language's count asks for, so no language is gathered in one task. Whole texts are read.
+The fit uses a sample of about per_language different labelled texts of each language, whatever their number of
+languages (the documented bound): a text is in it, once however often it is repeated, if a hash of it is under the
+share that the number of its language's different texts asks for, or if it is the least of its language; so no
+language is gathered in one task, and none is left out. Whole texts are read.
 The tasks sum the normal equations of the weighted ridge regression, (DIMS + 1) squared numbers
 however many languages and rows there are; the driver solves them.
 
@@ -101,9 +102,10 @@ class Model:
 
 
 def sample(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """(lang, x) of the sampled documents, and how many there are of each language."""
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    share = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    """(lang, x) of the sampled texts, and how many there are of each language."""
+    chance = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    texts = labelled.select("lang", "text", chance.alias("chance"))
+    share = texts.select("lang", "chance").distinct().groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"), F.min("chance").alias("least"))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +114,7 @@ def sample(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[tupl
                 x = features([t.encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["lang"], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    few = labelled.select("lang", "text", chance.alias("chance")).join(share, "lang").where("chance < share").select("lang", "text")
+    few = texts.join(share, "lang").where("chance < share OR chance = least").select("lang", "text").distinct()
     drawn = written(few.mapInArrow(shares, "lang string, x binary"), "sample")
     counts = sorted((r["lang"], r["count"]) for r in drawn.groupBy("lang").count().collect())  # a row for each language
     return drawn.repartition(max(1, -(-sum(n for _, n in counts) // TASK_ROWS))), counts

@@ -1,6 +1,6 @@
 """Token-id output in a binary format with Re-Pair grammar compression.
 
-Documents are range-partitioned and sorted by doc_id; each partition is a shard, written as blocks of
+Documents are range-partitioned and sorted by doc_id (rows of one id by their texts); each partition is a shard, written as blocks of
 some millions of ids. In a block, Re-Pair replaces the most frequent pairs of neighbours by new symbols
 until no pair is left that pays (none across an end id). A block stores its rules, the length each rule
 expands to, the shortened sequence, and where each document begins in it, so one document, or any range
@@ -327,7 +327,10 @@ def write_ids(docs: DataFrame, tokenizer: bytes, shards: int | None = None, leas
         if held:
             yield out()
 
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Rows of one id or of none are ranged by the beginnings of their texts too, and equal ones by where they were read.
+    named = placed.withColumn("begins", F.substring("text", 1, 256)).withColumn("read", F.monotonically_increasing_id())
+    placed = named.repartitionByRange(shards, "doc_id", "begins", "read").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return written(placed.mapInArrow(rows, _FILE_DDL), "ids")
 
 

@@ -5,8 +5,9 @@ must contain them). Each Arrow batch of documents gets an inverted index of just
 some rule asks for; postings are intersected and united as the query says, and only the documents
 that remain are searched with the regex. A rule without mandatory trigrams scans all documents.
 
-Defined cases: null or empty text: no span. Repeated rows are scanned each. Null doc_id stays null. An
-empty table gives an empty result. Extra columns are ignored.
+Defined cases: null or empty text: no span. Repeated rows are scanned each. Null doc_id stays null. Very
+long texts are indexed and searched whole, in memory proportional to the text. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations

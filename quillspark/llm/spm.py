@@ -14,8 +14,8 @@ The vocabulary file is read where the plan is built, by a path that is a paramet
 the tasks with the function (its size is that of the file, at most MOST_MODEL_BYTES).
 
 Defined cases: null or empty text: no ids, decoded to ''. Repeated rows are encoded each. A literal
-mark (U+2581) decodes as a space, as in the SentencePiece library. An empty table gives an empty
-result. An existing column named ids (decode: decoded) is replaced.
+mark (U+2581) decodes as a space, as in the SentencePiece library. Very long texts, also of one word, are
+encoded whole, in memory proportional to the text. An empty table gives an empty result. An existing column named ids (decode: decoded) is replaced.
 """
 
 from __future__ import annotations
