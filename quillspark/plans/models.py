@@ -11,7 +11,7 @@ from quillspark.plans import tabular as tabular_plans
 from quillspark.plans.base import SPLIT, query
 from quillspark.plans.data import splits
 from quillspark.sources.canonical import table
-from quillspark.sources.stage import staged
+from quillspark.sources.stage import staged, staged_once
 
 
 @query(f"""WITH {SPLIT}, t AS (SELECT * FROM split WHERE split = 'train'), r AS (SELECT target_app_id, avg(CAST(label AS DOUBLE)) AS rate FROM t GROUP BY target_app_id)
@@ -41,7 +41,7 @@ def logit_normalization(spark, sf_dir):
 
 
 def _number_rows(spark, sf_dir):
-    return staged(tabular_plans.model_frame(spark, sf_dir), "model-frame")
+    return staged_once(spark, f"model frame {sf_dir}", lambda: tabular_plans.model_frame(spark, sf_dir))
 
 
 def _parts(df: DataFrame) -> DataFrame:
