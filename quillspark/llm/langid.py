@@ -34,6 +34,7 @@ DIMS = 2048
 _SHIFT = np.uint32(32 - DIMS.bit_length() + 1)
 #: Sampled rows in a task that sums, and rows of the sums in a message.
 TASK_ROWS, SLAB = 4096, 64
+BROADCAST_LANGUAGES = 100_000  # rows of a name and two numbers: some MB
 _LETTER = r"\p{L}"
 
 
@@ -106,6 +107,8 @@ def sample(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[tupl
     chance = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     texts = labelled.select("lang", "text", chance.alias("chance"))
     share = texts.select("lang", "chance").distinct().groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"), F.min("chance").alias("least"))
+    share = written(share, "shares")
+    share = F.broadcast(share) if share.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else share
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
