@@ -45,6 +45,23 @@ def list_text(c: Column, sep: str = ", ", most: int | None = None) -> Column:
     return F.array_join(F.slice(kept, 1, most) if most else kept, sep)
 
 
+def clean_list(c: Column, n: int | None = None) -> Column:
+    """clean of an array's elements joined by commas; a null element counts as None, a null array as ''."""
+    return clean(F.array_join(c, ", ", "None"), n)
+
+
+def shown(c: Column, n: int | None = None, most: int | None = None) -> Column:
+    """A value as collapsed text of at most n characters, nothing appended; of an array (if most is given) its first elements, null as ''."""
+    joined = F.array_join(F.slice(c, 1, most), ", ", "None") if most else c.cast("string")
+    s = collapse(joined)
+    return F.substring(s, 1, n) if n else s
+
+
+def strip(c: Column) -> Column:
+    """Without white space, line ends too, at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def numbered(c: Column) -> Column:
     """'1. a\\n2. b' of an array, or 'None'."""
     lines = F.transform(c, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
@@ -70,10 +87,10 @@ def to_label(c: Column) -> Column:
 
 
 def split_prompt(c: Column, default: str) -> tuple[Column, Column]:
-    """(instruction, input) of 'Instruction:\\n...\\n\\nInput:\\n...'; otherwise (default, all)."""
+    """(instruction, input) of 'Instruction:\\n...\\n\\nInput:\\n...', both stripped; otherwise (default, all)."""
     marked = c.startswith("Instruction:\n") & c.contains("\n\nInput:\n")
     body = F.split(F.substring(c, len("Instruction:\n") + 1, 1 << 30), "\n\nInput:\n", 2)
-    return F.when(marked, F.get(body, F.lit(0))).otherwise(F.lit(default)), F.when(marked, F.get(body, F.lit(1))).otherwise(c)
+    return F.when(marked, strip(F.get(body, F.lit(0)))).otherwise(F.lit(default)), strip(F.when(marked, F.get(body, F.lit(1))).otherwise(c))
 
 
 def integers(c: Column) -> Column:

@@ -28,6 +28,12 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def removal_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (rows, kept, removed): what first_of takes off. Rows are counted by key first, so that no key is one task."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("kept")).select("rows", "kept", (F.col("rows") - F.col("kept")).alias("removed"))
+
+
 def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -126,6 +126,19 @@ def safe_features(df: DataFrame, features: list[str], exact: tuple[str, ...] = L
     return features
 
 
+def feature_verdicts(df: DataFrame, features: list[str], exact: tuple[str, ...] = LEAKING, patterns: tuple[str, ...] = ("label", "target_hours", "_rel_to_")) -> DataFrame:
+    """(feature, verdict, known): 'ok' or why safe_features would refuse it, and how many rows have a value; one scan of the columns that exist."""
+    verdicts = []
+    for f in features:
+        try:
+            safe_features(df, [f], exact, patterns)
+            verdicts.append("ok")
+        except ValueError as e:
+            verdicts.append(str(e).removeprefix(f"{f} "))
+    one = df.agg(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("verdict"), (F.count(f) if f in df.columns else F.lit(0).cast("long")).alias("known")) for f, v in zip(features, verdicts)]).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
+
 def numeric_features(df: DataFrame, exact: tuple[str, ...] = LEAKING, patterns: tuple[str, ...] = ("label", "target_hours", "_rel_to_")) -> list[str]:
     ok = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
     return [c for c, t in df.dtypes if t in ok and c not in exact and not any(p in c for p in patterns)]
@@ -143,6 +156,32 @@ def retrieved_prompts(samples: DataFrame, embeddings: DataFrame, items: DataFram
     return out.select("user_id", F.concat_ws("\n", F.lit("Similar liked items:"), none("l", "No similar liked items found."), F.lit("Similar disliked items:"), none("d", "No similar disliked items found.")).alias("input_text"))
 
 
+#: Fixed wording of the instruction with retrieved items.
+RETRIEVAL_INSTRUCTION = "You are a recommendation model. Predict whether the user will recommend the target Steam game. Use the semantically retrieved user history and answer only Yes or No."
+_RETRIEVAL_LINES = ("User history was filtered by semantic similarity to the target game.\n\nMost relevant liked/recommended games:\n", "\n\nMost relevant disliked/not recommended games:\n", "\n\nTarget game:\n", "\n\nQuestion: will the user recommend the target game? Answer only Yes or No.")
+_NONE_RETRIEVED = "- No semantically relevant {} games were found."
+
+
+def described(app_id, item_text):
+    """[app_id=7] and the item's text, if it has one, of at most 350 characters and '...'."""
+    return F.rtrim(F.concat(F.lit("[app_id="), app_id.cast("string"), F.lit("] "), text.truncate_hard(text.collapse(item_text), 350)))
+
+
+def retrieval_instructions(samples: DataFrame, embeddings: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """(user_id, instruction, input, output) with the k most similar liked and disliked items and the target told by their texts (app_id, item_text)."""
+    told = texts.select("app_id", described(F.col("app_id"), F.col("item_text")).alias("told"))
+    known = lambda c: F.coalesce("told", F.concat(F.lit("[app_id="), F.col(c).cast("string"), F.lit("]")))
+    r = retrieved(samples, embeddings, k).join(told, "app_id", "left")
+    r = r.withColumn("line", F.concat(F.lit("- similarity="), F.format_string("%.4f", "sim"), F.lit(": "), known("app_id")))
+    side = lambda want: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == want, F.struct("place", "line")))), lambda x: x["line"]), "\n")  # noqa: E731  k lines at most
+    g = r.groupBy("user_id").agg(side(True).alias("_l"), side(False).alias("_d"))
+    block = lambda c, name: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(_NONE_RETRIEVED.format(name)))
+    out = samples.select("user_id", "target_app_id", "label").join(g, "user_id", "left").join(told.withColumnRenamed("app_id", "target_app_id"), "target_app_id", "left")
+    parts = (block("_l", "liked"), block("_d", "disliked"), known("target_app_id"))
+    told_all = F.concat(*[x for lead, part in zip(_RETRIEVAL_LINES, parts) for x in (F.lit(lead), part)], F.lit(_RETRIEVAL_LINES[3]))
+    return out.select("user_id", F.lit(RETRIEVAL_INSTRUCTION).alias("instruction"), told_all.alias("input"), F.when(F.col("label"), "Yes").otherwise("No").alias("output"))
+
+
 def shortest(samples: DataFrame, text_column: str, label: str, key: str, n: int) -> DataFrame:
     """The n shortest texts of each label."""
     from pyspark.sql import Window
@@ -152,10 +191,11 @@ def shortest(samples: DataFrame, text_column: str, label: str, key: str, n: int)
 
 
 def user_text(instruction, input_, prompt, messages):
-    """instruction and input, else the prompt, else the user's messages (array of role and content)."""
-    said = F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n")
-    both = F.when(instruction.isNotNull() | input_.isNotNull(), F.concat_ws("\n\n", instruction, input_))
-    return F.coalesce(both, prompt, said)
+    """The user's messages (array of role and content) where there is an array, else what is not blank of instruction and input, else the prompt; stripped; null without any."""
+    said = F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n", "")
+    kept = [F.nullif(text.strip(c), F.lit("")) for c in (instruction, input_)]
+    both = F.when(kept[0].isNotNull() | kept[1].isNotNull(), F.concat_ws("\n\n", *kept))
+    return F.coalesce(text.strip(said), both, text.strip(prompt))
 
 
 def known_coverage(samples: DataFrame, events: DataFrame) -> DataFrame:

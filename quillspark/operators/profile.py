@@ -17,6 +17,17 @@ def null_report(df: DataFrame) -> DataFrame:
     return long.select("x.column", "x.nulls", F.coalesce(F.try_divide(F.col("x.nulls"), F.col("_n")), F.lit(0.0)).alias("share"))
 
 
+def nulls_present(df: DataFrame) -> DataFrame:
+    """null_report of the columns that have nulls."""
+    return null_report(df).where("nulls > 0")
+
+
+def most_null(df: DataFrame, n: int) -> DataFrame:
+    """(place, column, share) of the n columns with the largest shares of nulls, equal ones by name; one row for each column."""
+    place = F.row_number().over(Window.orderBy(F.desc("share"), "column"))
+    return null_report(df).select(place.alias("place"), "column", "share").where(F.col("place") <= n)
+
+
 def weighted_null_share(df: DataFrame, columns: list[str], weight: str) -> DataFrame:
     one = df.agg(*[(F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(weight))), F.lit(0)) / F.sum(weight)).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("share")) for c in columns])).alias("x")).select("x.*")
@@ -52,7 +63,9 @@ def crosstab(df: DataFrame, rows: str, column: str, values: list) -> DataFrame:
     return df.groupBy(rows).pivot(column, values).count().na.fill(0)
 
 
-def schema_preview(df: DataFrame, most: int = 500) -> DataFrame:
-    """(column, type, value): each column's type and its value in one row, cut to most characters."""
-    first = df.limit(1).select(*[F.substring(F.col(c).cast("string"), 1, most).alias(c) for c in df.columns])
+def schema_preview(df: DataFrame, most: int = 500, order: list | None = None) -> DataFrame:
+    """(column, type, value): each column's type and its value in the first row of the order (any row without one); of more than most characters the first ones and '...'."""
+    row = df.orderBy(*order).limit(1) if order else df.limit(1)
+    text = {c: F.col(c).cast("string") for c in df.columns}
+    first = row.select(*[F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s).alias(c) for c, s in text.items()])
     return first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).alias("value")) for c, t in df.dtypes])).alias("x")).select("x.*")

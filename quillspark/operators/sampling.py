@@ -25,11 +25,16 @@ def quota_sample(df: DataFrame, quotas: dict[str, int], column: str, strata: lis
     return ranked(df, strata, key, salt).where((F.col("sample_rank") <= max(quotas.values())) & keep)
 
 
+def availability(df: DataFrame, quotas: dict[str, int], column: str, label: str) -> DataFrame:
+    """(column, label, quota, available, enough) of every cell that the quotas name; empty cells count as 0."""
+    grid = df.sparkSession.createDataFrame([(v, b, n) for v, n in quotas.items() for b in (False, True)], f"{column} string, {label} boolean, quota long")
+    found = grid.join(df.groupBy(column, label).agg(F.count("*").alias("n")), [column, label], "left")
+    return found.select(column, label, "quota", F.coalesce("n", F.lit(0)).alias("available"), (F.coalesce("n", F.lit(0)) >= F.col("quota")).alias("enough"))
+
+
 def check_available(df: DataFrame, quotas: dict[str, int], column: str, label: str) -> None:
-    """Raises if a cell of (column, label) has fewer rows than its quota; empty cells count as 0."""
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(v, b, n) for v, n in quotas.items() for b in (False, True)], f"{column} string, {label} boolean, quota long")
-    short = grid.join(df.groupBy(column, label).count(), [column, label], "left").where(F.coalesce("count", F.lit(0)) < F.col("quota")).collect()
+    """Raises if a cell of (column, label) has fewer rows than its quota."""
+    short = availability(df, quotas, column, label).where("NOT enough").collect()  # two rows at most for each quota
     if short:
         raise ValueError(f"too few rows: {[tuple(r) for r in short]}")
 

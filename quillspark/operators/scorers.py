@@ -57,6 +57,19 @@ def item_knn(samples: DataFrame, train: DataFrame, k: int = 30) -> DataFrame:
     return samples.join(g, "user_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def content_similarity(overlap: DataFrame) -> DataFrame:
+    """score of token_overlap's rows: how much nearer the target is to liked than to disliked items; 0 if unknown."""
+    return overlap.withColumn("score", F.coalesce(F.col("jaccard_diff"), F.lit(0.0)))
+
+
+def separations(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """(place, feature, difference): each feature's difference of means between the classes in deviations, largest absolute value first."""
+    of = lambda f: F.try_divide(F.avg(F.when(F.col(y), F.col(f))) - F.avg(F.when(~F.col(y), F.col(f))), F.stddev_pop(f))
+    one = df.agg(F.array(*[F.struct(F.lit(f).alias("feature"), of(f).alias("difference")) for f in features]).alias("x"))
+    long = one.select(F.explode("x").alias("x")).select("x.*")
+    return long.select(F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs("difference")), "feature")).alias("place"), "feature", "difference")  # a row for each feature
+
+
 def batch_scorer(samples: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Series]], key: str = "sample_id") -> DataFrame:
     """score from a model of any kind: make() runs once in each task and returns the function that scores a batch."""
 

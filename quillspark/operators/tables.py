@@ -24,6 +24,15 @@ def beside(left: DataFrame, right: DataFrame, left_order: list[Column], right_or
     return a.join(b, "_k").drop("_k")
 
 
+def attach_by_index(left: DataFrame, key: str, right: DataFrame, index: str) -> DataFrame:
+    """Left join of a key with a table's index column of another name, which does not come along."""
+    names = [c for c in right.columns if c != index]
+    clash = [c for c in names if c in left.columns]
+    if clash:
+        raise ValueError(f"on both sides: {clash}")
+    return left.join(right.select(F.col(index).alias("_index"), *names), F.col(key) == F.col("_index"), "left").drop("_index")
+
+
 def merge_samples(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Features joined by key where right has it, else by position in the given orders, if the numbers of rows are equal."""
     return attach(left, right, key) if key in right.columns else beside(left, right, left_order, right_order)

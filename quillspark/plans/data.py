@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import numeric, text
 from quillspark.operators import clean, encoding, evaluate, history, profile, sampling
+from quillspark.operators.ranks import numbers_within
 from quillspark.plans.base import CLEANED, HIST, ORACLES, SEQUENCE, SPLIT, query
 from quillspark.sources import canonical, versioned
 from quillspark.sources.canonical import SQL_INTERACTIONS, SQL_ITEMS, table
@@ -305,10 +306,8 @@ pf AS (SELECT fold, sum(y) AS p, count(*) AS n FROM f GROUP BY fold), al AS (SEL
 SELECT user_id, app_id, CAST(f.fold AS INTEGER) AS fold, round(CASE WHEN tot.n = own.n THEN (al.p - pf.p) / (al.n - pf.n)::DOUBLE ELSE (tot.p - own.p + 10.0::DOUBLE * (al.p - pf.p) / (al.n - pf.n)) / (tot.n - own.n + 10) END, 9) AS item_score,
   round(ln(1 + tot.n - own.n), 9) AS item_log_count FROM f JOIN tot USING (app_id) JOIN own ON own.app_id = f.app_id AND own.fold = f.fold JOIN pf ON pf.fold = f.fold, al""")
 def oof_encoding(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = cleaned(spark, sf_dir).withColumnRenamed("is_recommended", "label")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(sampling.drawn("review_id", "oof"), "review_id", "ship_date", "price", "user_id", "app_id"))
-    c = c.withColumn("fold", F.pmod(rank - 1, F.lit(5)))
+    c = cleaned(spark, sf_dir).withColumnRenamed("is_recommended", "label").withColumn("_d", sampling.drawn("review_id", "oof"))
+    c = numbers_within(c, "label", [F.col(x) for x in ("_d", "review_id", "ship_date", "price", "user_id", "app_id")], "_rank", "_n")
+    c = c.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(5)).cast("int")).drop("_d", "_rank", "_n")
     out = encoding.encode_out_of_fold(c)
     return out.select("user_id", "app_id", "fold", F.round("item_score", 9).alias("item_score"), F.round("item_log_count", 9).alias("item_log_count"))

@@ -167,6 +167,8 @@ def sample_ids(spark, sf_dir):
     return history.with_sample_id(splits(spark, sf_dir), ["split", "label", "target_date", "user_id"]).select("user_id", "sample_id")
 
 
-@query("""SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) t("column", type)""")
+@query("""WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1), v AS (SELECT 'doc_id' AS "column", 'bigint' AS type, CAST(doc_id AS VARCHAR) AS value FROM f UNION ALL SELECT 'text', 'string', text FROM f UNION ALL SELECT 'lang', 'string', lang FROM f UNION ALL SELECT 'source', 'string', source FROM f UNION ALL SELECT 'n_chars', 'bigint', CAST(n_chars AS VARCHAR) FROM f)
+SELECT "column", type, CASE WHEN length(value) > 500 THEN substr(value, 1, 500) || '...' ELSE value END AS value FROM v""")
 def schema_preview(spark, sf_dir):
-    return profile.schema_preview(table(spark, sf_dir, "region")).select("column", "type")
+    """Columns of the documents, their types, and the first document's values."""
+    return profile.schema_preview(table(spark, sf_dir, "documents"), order=["doc_id"])

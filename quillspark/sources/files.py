@@ -80,6 +80,16 @@ def write_sorted_parquet(df: DataFrame, path: str, order: list, by: str | None =
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def write_parquet(df: DataFrame, path: str, codec: str = "snappy") -> None:
+    """Parquet in the order that the rows come in."""
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
+
+
+def write_document(one: DataFrame, path: str) -> None:
+    """A summary of one row as a JSON document in a text file; nulls are kept."""
+    one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_small_csv(df: DataFrame, path: str) -> None:
     """One CSV file, for results of a few rows."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -96,12 +106,13 @@ def largest_file(files: DataFrame) -> DataFrame:
     return files.agg(F.max_by("path", F.struct("length", "path")).alias("path"))
 
 
-def pick_path(paths: list[str], name: str, prefer: str | None = None, avoid: tuple[str, ...] = ()) -> str:
-    """The path ending in name: preferably one with prefer and none of avoid in it, then the shortest."""
+def pick_path(paths: list[str], name: str, prefer: str | tuple[str, ...] = (), avoid: tuple[str, ...] = ()) -> str:
+    """The path ending in name that lacks the fewest of prefer, then has the fewest of avoid, case aside, then the shortest."""
+    prefer = [prefer] if isinstance(prefer, str) else prefer
     found = [p for p in paths if Path(p).name == name]
     if not found:
         raise FileNotFoundError(name)
-    return min(found, key=lambda p: (prefer is not None and prefer not in p, any(a in p for a in avoid), len(p), p))
+    return min(found, key=lambda p: (sum(w.lower() not in p.lower() for w in prefer), sum(w.lower() in p.lower() for w in avoid), len(p), p))
 
 
 def resolve_column(df: DataFrame, candidates: list[str]) -> str:
@@ -112,6 +123,11 @@ def resolve_column(df: DataFrame, candidates: list[str]) -> str:
     raise ValueError(f"none of {candidates} is in {df.columns}")
 
 
+def existing_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """Those of the named columns that df has, in the order of names."""
+    return df.select(*[n for n in names if n in df.columns])
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
