@@ -3,18 +3,22 @@
 A word is a run of bytes other than white space, A-Z in lower case.
 
 Index: one pass over the documents writes shards of at most SHARD_DOCS documents: for each term its
-postings (document, frequency) in document order, cut at every BLOCK documents, and for each such
-block the largest BM25 factor in it (without idf; so the shards don't depend on the queries). Documents
-of a shard are ordered by length. It is written once; document frequencies are summed from it.
+postings (document, frequency) in document order, the largest BM25 factor of the list, and for each block
+of BLOCK postings its largest factor and its last document. Factors are without idf, so that the shards
+don't depend on the queries; documents of a shard are ordered by length, as those of one length have alike
+factors. The index is written once; document frequencies are summed from it.
 
 Search: queries become term lists with their weights (idf times how often the query has the term),
-written in groups of QUERY_GROUP; each (shard, group) pair is a row for the tasks, a stated query set
-against all rows in blocks. For one query and shard, the block maxima of its terms add up to a bound for
-every block of documents; these are all that is read at first. WAND then goes through the blocks in
-document order: the pivot is the next block whose bound reaches the bar, the query's k-th best score so
-far; the cursors of the terms' lists jump to it by the block offsets, without touching the postings
-between, and its documents are scored. The bar starts at what the PRIMING blocks of the highest bounds
-give. Every k best of a shard are exact under the global statistics, so they merge exactly.
+written in groups of QUERY_GROUP. Groups and shards meet in blocks, a stated query set against all
+rows: the groups are broadcast if their bytes, counted first, are at most BROADCAST_BYTES; else Spark
+pairs partitions of both. For one query and shard, WAND looks at the bounds of whole lists first: if
+they don't add up to the bar, the query's k-th best score so far, nothing more is read. Lists of low bounds
+that don't reach the bar together are idle: only documents of the other lists can be pivots, all of which
+are found at once. The cursors of the idle lists, the strongest first, jump to the pivots: a pivot whose
+score so far and block maxima don't reach the bar is dropped before a posting of it is read. The bar of a
+first shard comes from documents of its strongest lists. A task keeps the best scores of the queries of
+BAR_GROUPS groups at most, so that the bar of one shard serves the next. What a shard returns are its
+documents of a score not below the bar, k at most, under the global statistics; so they merge exactly.
 
 Defined cases: null or empty text: a document (or query) of no words, never found (finding nothing). A
 document is found if it has a query word. Scores are rounded to 9 decimals; ties go to the least
@@ -27,6 +31,7 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +42,16 @@ from quillspark.llm.shared import written
 from quillspark.llm.words import text_parts, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK, PRIMING = 4, 16
+BLOCK, PRIMING, AHEAD = 32, 4, 32
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 300_000
 QUERY_GROUP = 1000
+BROADCAST_BYTES, BAR_GROUPS = 64 << 20, 32
 _ROUND = 9
 
-_SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in ("doc_ids", "known", "lengths", "terms", "first_block", "block", "first_posting", "most", "doc", "tf")])
-_SHARD_DDL = "shard long, doc_ids binary, known binary, lengths binary, terms binary, first_block binary, block binary, first_posting binary, most binary, doc binary, tf binary"
+_ARRAYS = ("doc_ids", "known", "lengths", "terms", "list_most", "first_posting", "first_block", "last", "most", "doc", "tf")
+_SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in _ARRAYS])
+_QUERY = ("query_ids", "query_known", "bounds", "query_terms", "weights")
+_SHARD_DDL = ", ".join(["shard long", *(f"{c} binary" for c in _ARRAYS)])
 
 
 def statistics(docs: DataFrame) -> tuple[int, float]:
@@ -66,6 +74,13 @@ def factors(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    size = stop - first
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(int(size.sum())) + (first - (np.cumsum(size) - size))[which], which
+
+
 def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float) -> tuple:
     """parts: (term, document, frequency, length of that document) of postings. Documents are put in order of
     length, as those of one length have alike factors, so that a block's largest is near the others."""
@@ -80,15 +95,21 @@ def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float)
     order = np.lexsort((doc, term))
     term, doc, tf, length = term[order], doc[order], tf[order], length[order]
     new_term = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
-    new_block = new_term.copy()
-    new_block[1:] |= doc[1:] // BLOCK != doc[:-1] // BLOCK
-    at = np.flatnonzero(new_block)
-    first_block = np.append(np.cumsum(new_block)[new_term] - 1, len(at))
-    most = np.maximum.reduceat(factors(tf, length, mean), at) if len(at) else np.empty(0)
-    most = np.nextafter(most.astype("<f4"), np.float32(np.inf))  # never below
+    lists = np.flatnonzero(new_term)
+    first_posting = np.append(lists, len(term))
+    first_block = np.concatenate([[0], np.cumsum(-(-np.diff(first_posting) // BLOCK))])
+    blocks = _ranges(first_block[:-1], first_block[1:])[1]  # the list of each block
+    at = lists[blocks] + BLOCK * (np.arange(len(blocks)) - first_block[blocks])
+    factor = factors(tf, length, mean)
+
+    def most(at: np.ndarray) -> bytes:
+        top = np.maximum.reduceat(factor, at) if len(at) else np.empty(0)
+        return np.nextafter(top.astype("<f4"), np.float32(np.inf)).tobytes()  # never below
+
     return (
-        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.astype("<i4").tobytes(), term[new_term].tobytes(), first_block.astype("<i4").tobytes(),
-        (doc[at] // BLOCK).astype("<i2").tobytes(), np.append(at, len(term)).astype("<i4").tobytes(), most.tobytes(), doc.astype("<u2").tobytes(), tf.astype("<i4").tobytes(),
+        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.astype("<i4").tobytes(),
+        term[lists].tobytes(), most(lists), first_posting.astype("<i4").tobytes(), first_block.astype("<i4").tobytes(),
+        doc[np.append(at[1:], len(term))[: len(at)] - 1].astype("<u2").tobytes(), most(at), doc.astype("<u2").tobytes(), tf.astype("<i4").tobytes(),
     )
 
 
@@ -126,15 +147,14 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, first_block, first_posting in zip(*(batch[c].to_pylist() for c in ("terms", "first_block", "first_posting"))):
-                bounds = np.frombuffer(first_posting, "<i4")[np.frombuffer(first_block, "<i4")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(bounds).astype(np.int64))], names=["term", "n"])
+            for terms, first_posting in zip(batch["terms"].to_pylist(), batch["first_posting"].to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(first_posting, "<i4")).astype(np.int64))], names=["term", "n"])
 
-    return index.select("terms", "first_block", "first_posting").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return index.select("terms", "first_posting").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
-    """Written groups of queries: (group, query_ids, known, bounds, terms, weights), each query's terms one after another."""
+    """Written groups of queries: (group, query_ids, query_known, bounds, query_terms, weights), each query's terms one after another."""
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +171,9 @@ def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame
     lists = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a in range(0, batch.num_rows, QUERY_GROUP):
                 part = batch.slice(a, QUERY_GROUP)
@@ -158,22 +181,25 @@ def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame
                 flat, bounds = t.flatten(), np.concatenate([[0], np.cumsum(t.value_lengths().to_numpy())])
                 terms, weights = flat.field("term").to_numpy(), flat.field("weight").to_numpy()
                 row = (np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], np.uint8), bounds.astype("<i8"), terms, weights)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["query_ids", "query_known", "bounds", "query_terms", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([group])] + [pa.array([x.tobytes()], pa.binary()) for x in row], names=["group", *_QUERY])
+                group += 1
 
-    return written(lists.mapInArrow(pack, "query_ids binary, query_known binary, bounds binary, query_terms binary, weights binary"), "bm25-queries")
+    return written(lists.mapInArrow(pack, ", ".join(["group long", *(f"{c} binary" for c in _QUERY)])), "bm25-queries")
 
 
 class Shard:
-    """A shard's inverted index, as read from its row; `touched` counts the postings that searches have read."""
+    """A shard's inverted index, as read from its row; `touched` counts the postings and `maxima` the block maxima
+    that searches have read."""
 
     def __init__(self, row: dict, mean: float):
         self.mean, self.lengths = mean, np.frombuffer(row["lengths"], "<i4")
         self.doc_ids, self.known = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], np.uint8).astype(bool)
-        self.terms, self.first_block = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["first_block"], "<i4").astype(np.int64)
-        self.sorted = np.argsort(self.terms)
-        self.block, self.first_posting, self.most = np.frombuffer(row["block"], "<i2"), np.frombuffer(row["first_posting"], "<i4").astype(np.int64), np.frombuffer(row["most"], "<f4")
+        self.terms, self.list_most = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["list_most"], "<f4")
+        self.first_posting, self.first_block = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("first_posting", "first_block"))
+        self.last, self.most = np.frombuffer(row["last"], "<u2"), np.frombuffer(row["most"], "<f4")
         self.doc, self.tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
-        self.n_blocks, self.touched = -(-len(self.doc_ids) // BLOCK), 0
+        self.sorted = np.argsort(self.terms)
+        self.touched = self.maxima = 0
 
     def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of those of the terms that are here, and their weights."""
@@ -184,53 +210,92 @@ class Shard:
         return k[here], weights[here]
 
 
-def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, and which range each is of."""
-    size = stop - first
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(int(size.sum())) + (first - (np.cumsum(size) - size))[which], which
+    def sums(self, lists: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What whole lists give to the score of each document."""
+        posting, of = _ranges(self.first_posting[lists], self.first_posting[lists + 1])
+        self.touched += len(posting)
+        doc = self.doc[posting]
+        return np.bincount(doc, weights[of] * factors(self.tf[posting], self.lengths[doc], self.mean), len(self.lengths))
 
+    def block_maxima(self, number: int, docs: np.ndarray) -> np.ndarray:
+        """For ascending documents, the maxima of the blocks where a list's cursor lands; 0 past its end."""
+        a, b = self.first_block[number], self.first_block[number + 1]
+        at = np.searchsorted(self.last[a:b], docs) + a
+        there = at < b
+        self.maxima += int(there.any()) + int(np.count_nonzero(np.diff(at[there])))
+        return np.where(there, self.most[np.minimum(at, b - 1)], 0.0)
 
-def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of a shard's k best for a query; ties at the end are all kept."""
-    lists, weights = shard.lists(terms, weights)
-    blocks, which = _ranges(shard.first_block[lists], shard.first_block[lists + 1])
-    place = shard.block[blocks]
-    bound = np.bincount(place, weights[which] * shard.most[blocks], shard.n_blocks)
-    order = np.argsort(place, kind="stable")  # block pointers of all lists by block: where cursors land
-    blocks, which, place = blocks[order], which[order], place[order]
-    begin = np.searchsorted(place, np.arange(shard.n_blocks + 1))
-    docs, scores, bar = np.empty(0, np.int64), np.empty(0), 0.0
-
-    def score(pivots: np.ndarray) -> None:
-        nonlocal docs, scores, bar
-        at, _ = _ranges(begin[pivots], begin[pivots + 1])
-        posting, of = _ranges(shard.first_posting[blocks[at]], shard.first_posting[blocks[at] + 1])
-        shard.touched += len(posting)
-        doc, part = shard.doc[posting].astype(np.int64), weights[which[at]][of]
-        part = part * factors(shard.tf[posting], shard.lengths[doc], shard.mean)
-        low = int(doc.min())
-        total = np.bincount(doc - low, part)
-        hit = np.flatnonzero(total)
-        docs, scores = np.concatenate([docs, hit + low]), np.concatenate([scores, np.round(total[hit], _ROUND)])
+    def probe(self, number: int, docs: np.ndarray) -> np.ndarray:
+        """The factors of a list for ascending documents, 0 where it lacks them."""
+        a, b = self.first_posting[number], self.first_posting[number + 1]
+        mine = self.doc[a:b]
+        at = np.minimum(np.searchsorted(mine, docs), b - a - 1)
+        hit = mine[at] == docs
+        self.touched += min(len(docs), b - a)
+        return np.where(hit, factors(self.tf[a + at], self.lengths[docs], self.mean), 0.0)
+
+
+_NEAR = 1e-8  # bounds and rounded scores that are this near to the bar may still reach it
+
+
+def _finished(shard: Shard, docs: np.ndarray, scores: np.ndarray, lists: np.ndarray, weights: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pivots, and their scores, that still reach the bar after the postings of the idle lists (ascending bounds) are added.
+
+    Block maxima are read for AHEAD lists at a time; the lists after these count with their bounds. Lists that are
+    together shorter than their cursors would have to jump are read whole instead.
+    """
+    below = np.concatenate([[0.0], np.cumsum(weights * shard.list_most[lists])])
+    for stop in range(len(lists), 0, -AHEAD):
+        start = max(0, stop - AHEAD)
         if len(scores) >= k:
-            bar = float(np.partition(scores, -k)[-k])
-            good = scores >= bar
-            docs, scores = docs[good], scores[good]
-
-    primed = np.argsort(-bound, kind="stable")[:PRIMING]
-    primed = np.sort(primed[bound[primed] > 0])
-    for x in range(0, len(primed), 4):
-        score(primed[x : x + 4])
-    at, step, left = 0, 1, bound.copy()
-    left[primed] = 0.0
-    while at < shard.n_blocks:
-        ahead = np.flatnonzero((left[at:] > 0) & (left[at:] >= bar - 1e-8))[:step] + at  # equal scores may win by doc_id
-        if not len(ahead):
-            break
-        score(ahead)
-        at, step = int(ahead[-1]) + 1, min(2 * step, 64)
-    return docs, scores
+            bar = max(bar, float(np.partition(scores, -k)[-k]))
+        good = scores + below[stop] >= bar - _NEAR
+        docs, scores = docs[good], scores[good]
+        if (shard.first_posting[lists[start:stop] + 1] - shard.first_posting[lists[start:stop]]).sum() <= len(docs) * (stop - start) // 4:
+            scores += shard.sums(lists[start:stop], weights[start:stop])[docs]
+            continue
+        bounds = np.zeros((stop - start, len(docs)))
+        for t in range(start, stop):
+            bounds[t - start] = weights[t] * shard.block_maxima(lists[t], docs)
+        rest = bounds.sum(axis=0) + below[start]
+        for t in range(stop - 1, start - 1, -1):
+            if len(scores) >= k:
+                bar = max(bar, float(np.partition(scores, -k)[-k]))
+            good = scores + rest >= bar - _NEAR
+            docs, scores, rest, bounds = docs[good], scores[good], rest[good], bounds[:, good]
+            there = bounds[t - start] > 0
+            rest = rest - bounds[t - start]
+            scores[there] += weights[t] * shard.probe(lists[t], docs[there])
+    return docs, np.round(scores, _ROUND)
+
+
+def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int, bar: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of a shard's k best for a query among those whose score is not below bar; ties at the end are all kept."""
+    lists, weights = shard.lists(terms, weights)
+    whole = weights * shard.list_most[lists]
+    if not len(lists) or whole.sum() < bar - _NEAR:
+        return np.empty(0, np.int64), np.empty(0)
+    order = np.argsort(whole, kind="stable")
+    lists, weights, bounds = lists[order], weights[order], np.cumsum(whole[order])
+
+    if not bar:  # from documents of the strongest lists, that are few in postings
+        size = np.cumsum((shard.first_posting[lists + 1] - shard.first_posting[lists])[::-1])
+        most = max(int(np.searchsorted(size, max(PRIMING * k, int(size[-1]) // 16), side="right")), int(np.searchsorted(size, k)) + 1)
+        strong = max(0, len(lists) - most)
+        part = shard.sums(lists[strong:], weights[strong:])
+        docs = np.flatnonzero(part)
+        docs = np.sort(docs[np.argsort(-part[docs], kind="stable")[: PRIMING * k]])
+        _, scores = _finished(shard, docs, part[docs], lists[:strong], weights[:strong], k, 0.0)
+        bar = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+
+    idle = int(np.searchsorted(bounds, bar - _NEAR))  # these lists alone don't reach the bar: no pivots of theirs
+    part = shard.sums(lists[idle:], weights[idle:])
+    docs = np.flatnonzero((part > 0) & (part + (bounds[idle - 1] if idle else 0.0) >= bar - _NEAR))
+    docs, scores = _finished(shard, docs, part[docs], lists[:idle], weights[:idle], k, bar)
+    if len(scores) >= k:
+        bar = max(bar, float(np.partition(scores, -k)[-k]))
+    good = scores >= bar  # equal scores may win by doc_id
+    return docs[good], scores[good]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -241,23 +306,33 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shard = None
+        bars: dict[int, list[np.ndarray]] = {}  # of each group, the best scores of its queries that this task has seen
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                shard = Shard(row, mean)
+                if shard is None or row["shard"] != number:
+                    number, shard = row["shard"], Shard(row, mean)
                 ids, known = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_known"], np.uint8)
                 bounds, terms, weights = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"])
+                best = bars.pop(row["group"], None) or [np.empty(0)] * len(ids)
                 out: list[list] = [[], [], []]
                 for q, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-                    found, scores = search(shard, terms[a:b], weights[a:b], k)
+                    found, scores = search(shard, terms[a:b], weights[a:b], k, float(best[q][-1]) if len(best[q]) == k else 0.0)
                     order = np.lexsort((shard.doc_ids[found], shard.known[found], -scores))[:k]
                     out[0] += [int(ids[q]) if known[q] else None] * len(order)
                     out[1] += [int(shard.doc_ids[d]) if shard.known[d] else None for d in found[order]]
                     out[2] += scores[order].tolist()
+                    best[q] = -np.sort(-np.concatenate([best[q], scores[order]]))[:k]
+                bars[row["group"]] = best
+                if len(bars) > BAR_GROUPS:
+                    del bars[next(iter(bars))]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
 
     # Groups of the stated queries, in blocks, against all shards.
-    found = index.drop("shard").crossJoin(groups).mapInArrow(find, "query_id long, doc_id long, score double")
+    size = groups.agg(F.sum(reduce(lambda x, y: x + y, [F.length(c) for c in _QUERY]))).first()[0] or 0
+    pairs = index.crossJoin(F.broadcast(groups) if size <= BROADCAST_BYTES else groups)
+    found = pairs.mapInArrow(find, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
