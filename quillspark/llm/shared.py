@@ -1,22 +1,12 @@
-"""Tables kept in the folder that all executors share."""
+"""Tables of the operators, kept in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+from quillspark.sources.stage import shared_dir
 
 
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
