@@ -42,7 +42,7 @@ from quillspark.llm.shared import written
 from quillspark.llm.words import text_parts, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK, PRIMING, AHEAD = 32, 4, 32
+BLOCK, PRIMING, AHEAD = 32, 4, 16
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 300_000
 QUERY_GROUP = 1000
 BROADCAST_BYTES, BAR_GROUPS = 64 << 20, 32
@@ -199,6 +199,9 @@ class Shard:
         self.last, self.most = np.frombuffer(row["last"], "<u2"), np.frombuffer(row["most"], "<f4")
         self.doc, self.tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
         self.sorted = np.argsort(self.terms)
+        number = np.arange(len(self.terms)) << 16  # (list, document) as one ascending key, for cursors of many lists
+        self.keys = np.repeat(number, np.diff(self.first_posting)) + self.doc
+        self.block_keys = np.repeat(number, np.diff(self.first_block)) + self.last
         self.touched = self.maxima = 0
 
     def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,22 +220,19 @@ class Shard:
         doc = self.doc[posting]
         return np.bincount(doc, weights[of] * factors(self.tf[posting], self.lengths[doc], self.mean), len(self.lengths))
 
-    def block_maxima(self, number: int, docs: np.ndarray) -> np.ndarray:
-        """For ascending documents, the maxima of the blocks where a list's cursor lands; 0 past its end."""
-        a, b = self.first_block[number], self.first_block[number + 1]
-        at = np.searchsorted(self.last[a:b], docs) + a
-        there = at < b
-        self.maxima += int(there.any()) + int(np.count_nonzero(np.diff(at[there])))
-        return np.where(there, self.most[np.minimum(at, b - 1)], 0.0)
+    def block_maxima(self, lists: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """For each list and ascending document, the maximum of the block where the list's cursor lands; 0 past its end."""
+        at = np.searchsorted(self.block_keys, (lists[:, None] << 16) + docs)
+        there = at < self.first_block[lists + 1][:, None]
+        self.maxima += int(there[:, :1].sum()) + int(np.count_nonzero(np.diff(at, axis=1) * there[:, 1:]))
+        return np.where(there, self.most[np.minimum(at, len(self.most) - 1)], 0.0)
 
-    def probe(self, number: int, docs: np.ndarray) -> np.ndarray:
-        """The factors of a list for ascending documents, 0 where it lacks them."""
-        a, b = self.first_posting[number], self.first_posting[number + 1]
-        mine = self.doc[a:b]
-        at = np.minimum(np.searchsorted(mine, docs), b - a - 1)
-        hit = mine[at] == docs
-        self.touched += min(len(docs), b - a)
-        return np.where(hit, factors(self.tf[a + at], self.lengths[docs], self.mean), 0.0)
+    def probe(self, lists: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """For pairs of a list and a document the factor, 0 where the list lacks the document."""
+        key = (lists << 16) + docs
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        self.touched += len(docs)
+        return np.where(self.keys[at] == key, factors(self.tf[at], self.lengths[docs], self.mean), 0.0)
 
 
 _NEAR = 1e-8  # bounds and rounded scores that are this near to the bar may still reach it
@@ -241,31 +241,27 @@ _NEAR = 1e-8  # bounds and rounded scores that are this near to the bar may stil
 def _finished(shard: Shard, docs: np.ndarray, scores: np.ndarray, lists: np.ndarray, weights: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
     """The pivots, and their scores, that still reach the bar after the postings of the idle lists (ascending bounds) are added.
 
-    Block maxima are read for AHEAD lists at a time; the lists after these count with their bounds. Lists that are
+    Block maxima are read for more and more lists at a time, AHEAD at most; the lists after these count with their bounds. Lists that are
     together shorter than their cursors would have to jump are read whole instead.
     """
     below = np.concatenate([[0.0], np.cumsum(weights * shard.list_most[lists])])
-    for stop in range(len(lists), 0, -AHEAD):
-        start = max(0, stop - AHEAD)
+    stop = len(lists)
+    while stop:
+        start = max(0, stop - min(AHEAD, 1 + (len(lists) - stop) // 2))
         if len(scores) >= k:
             bar = max(bar, float(np.partition(scores, -k)[-k]))
         good = scores + below[stop] >= bar - _NEAR
         docs, scores = docs[good], scores[good]
         if (shard.first_posting[lists[start:stop] + 1] - shard.first_posting[lists[start:stop]]).sum() <= len(docs) * (stop - start) // 4:
             scores += shard.sums(lists[start:stop], weights[start:stop])[docs]
+            stop = start
             continue
-        bounds = np.zeros((stop - start, len(docs)))
-        for t in range(start, stop):
-            bounds[t - start] = weights[t] * shard.block_maxima(lists[t], docs)
-        rest = bounds.sum(axis=0) + below[start]
-        for t in range(stop - 1, start - 1, -1):
-            if len(scores) >= k:
-                bar = max(bar, float(np.partition(scores, -k)[-k]))
-            good = scores + rest >= bar - _NEAR
-            docs, scores, rest, bounds = docs[good], scores[good], rest[good], bounds[:, good]
-            there = bounds[t - start] > 0
-            rest = rest - bounds[t - start]
-            scores[there] += weights[t] * shard.probe(lists[t], docs[there])
+        bounds = weights[start:stop, None] * shard.block_maxima(lists[start:stop], docs)
+        good = scores + bounds.sum(axis=0) + below[start] >= bar - _NEAR
+        docs, scores = docs[good], scores[good]
+        of, d = np.nonzero(bounds[:, good])
+        scores += np.bincount(d, weights[start + of] * shard.probe(lists[start + of], docs[d]), len(docs))
+        stop = start
     return docs, np.round(scores, _ROUND)
 
 
