@@ -24,14 +24,25 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return dealt.join(F.broadcast(offsets), "_part").select(*df.columns, *[(F.sum(f"_s_{k}").over(upto) + F.col(f"_b_{k}")).alias(k) for k in sums])
 
 
-def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with its row number, from 1, in a total order."""
-    return running(df, order, {name: F.lit(1).cast("long")})
+def row_numbers(df: DataFrame, order: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all of df's by default) with the row number, from 1, in a total order.
+
+    Rows are dealt by ranges once: a row's place in its sorted range is in the number that Spark gives it there, whose bits
+    from 33 on are the range's, and kept before other work.
+    """
+    keep = keep or df.columns
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("_id"))
+    dealt = staged(dealt, "ranks")
+    dealt = dealt.select(*keep, F.shiftright("_id", 33).alias("_part"), (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_at"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    return dealt.join(F.broadcast(offsets), "_part").select(*keep, (F.col("_at") + F.col("_b")).alias(name))
 
 
-def numbers_within(df: DataFrame, stratum: str, order: list[Column], name: str, total: str) -> DataFrame:
-    """df with the row number inside its stratum and the stratum's size, for few strata of any size."""
-    numbered = row_numbers(df, [F.col(stratum), *order], "_g")
-    strata = numbered.groupBy(stratum).agg(F.min("_g").alias("_first"), F.count("*").alias(total))
-    out = numbered.alias("x").join(strata.withColumnRenamed(stratum, "_stratum"), F.col(stratum).eqNullSafe(F.col("_stratum")))
-    return out.select(*df.columns, (F.col("_g") - F.col("_first") + 1).alias(name), total)
+def numbers_within(df: DataFrame, stratum: str, order: list[Column], name: str, total: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (the stratum among them; all by default) with the row number inside the stratum and its size, for few strata of any size."""
+    keep = keep or df.columns
+    numbered = row_numbers(df, [F.col(stratum), *order], "_g", keep)
+    strata = F.broadcast(numbered.groupBy(F.col(stratum).alias("_stratum")).agg(F.min("_g").alias("_first"), F.count("*").alias(total)))  # a row for each
+    out = numbered.join(strata, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    return out.select(*keep, (F.col("_g") - F.col("_first") + 1).alias(name), total)

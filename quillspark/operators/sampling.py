@@ -74,8 +74,8 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> int:
 
 def folds(df: DataFrame, label: str, k: int, key: str, seed: str) -> DataFrame:
     """fold from 0 to k - 1, stratified by label."""
-    numbered = numbers_within(df.withColumn("_d", drawn(key, seed)), label, [F.col("_d"), F.col(key)], "_rank", "_n")
-    return numbered.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_d", "_rank", "_n")
+    numbered = numbers_within(df.withColumn("_d", F.unhex(drawn(key, seed))), label, [F.col("_d"), F.col(key)], "_rank", "_n", df.columns)
+    return numbered.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")
 
 
 def matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
