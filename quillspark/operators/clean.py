@@ -16,10 +16,14 @@ def valid(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the order of the given columns. One shuffle; Spark sorts by the keys for it, as it
-    keeps structs in no hash aggregate, but by nothing else, and partial maxima shrink the groups first."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("row")
+    """The last row of each key in the order of the given columns. One shuffle, none if df is dealt by some of the keys;
+    Spark sorts by the keys for it, as it keeps structs in no hash aggregate, but by nothing else, and partial maxima shrink
+    the groups first. The struct that is compared holds the row, so that no column is kept twice; ties go on to the other columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if any("map<" in t or t == "variant" for c, t in df.dtypes if c in rest):  # have no order
+        best = F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("row")
+    else:
+        best = F.max(F.struct(*order, *rest)).alias("row")
     return df.groupBy(*keys).agg(best).select(*keys, "row.*").select(*df.columns)
 
 

@@ -19,7 +19,8 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.with_sequence(cleaned(spark, sf_dir))
+    """Reviews are dealt by user once: the latest of each pair, the counts and the histories need no other shuffle."""
+    return clean.with_sequence(clean.cleaned(canonical.interactions(spark, sf_dir).repartition("user_id")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +176,7 @@ def temporal_split_counts(spark, sf_dir):
 @query(f"""WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY target_date, user_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM cand)
 SELECT user_id, label, CASE WHEN r <= 0.8 * n THEN 'train' WHEN r <= 0.9 * n THEN 'val' ELSE 'test' END AS split FROM r""")
 def rank_fraction_split(spark, sf_dir):
-    return history.rank_fraction_split(candidates(spark, sf_dir)).select("user_id", "label", "split")
+    return history.rank_fraction_split(candidates(spark, sf_dir).select("user_id", "label", "target_date")).select("user_id", "label", "split")
 
 
 @query(f"""WITH {SPLIT}, r AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY md5(user_id || 's1'), user_id) AS sample_rank FROM split)
@@ -306,8 +307,8 @@ pf AS (SELECT fold, sum(y) AS p, count(*) AS n FROM f GROUP BY fold), al AS (SEL
 SELECT user_id, app_id, CAST(f.fold AS INTEGER) AS fold, round(CASE WHEN tot.n = own.n THEN (al.p - pf.p) / (al.n - pf.n)::DOUBLE ELSE (tot.p - own.p + 10.0::DOUBLE * (al.p - pf.p) / (al.n - pf.n)) / (tot.n - own.n + 10) END, 9) AS item_score,
   round(ln(1 + tot.n - own.n), 9) AS item_log_count FROM f JOIN tot USING (app_id) JOIN own ON own.app_id = f.app_id AND own.fold = f.fold JOIN pf ON pf.fold = f.fold, al""")
 def oof_encoding(spark, sf_dir):
-    c = cleaned(spark, sf_dir).withColumnRenamed("is_recommended", "label").withColumn("_d", sampling.drawn("review_id", "oof"))
-    c = numbers_within(c, "label", [F.col(x) for x in ("_d", "review_id", "ship_date", "price", "user_id", "app_id")], "_rank", "_n")
-    c = c.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(5)).cast("int")).drop("_d", "_rank", "_n")
+    c = cleaned(spark, sf_dir).withColumnRenamed("is_recommended", "label").withColumn("_d", F.unhex(sampling.drawn("review_id", "oof")))  # bytes, in the order of their digits
+    c = numbers_within(c, "label", [F.col(x) for x in ("_d", "review_id", "ship_date", "price", "user_id", "app_id")], "_rank", "_n", ["user_id", "app_id", "label"])
+    c = c.select("user_id", "app_id", "label", F.pmod(F.col("_rank") - 1, F.lit(5)).cast("int").alias("fold"))
     out = encoding.encode_out_of_fold(c)
     return out.select("user_id", "app_id", "fold", F.round("item_score", 9).alias("item_score"), F.round("item_log_count", 9).alias("item_log_count"))
