@@ -99,21 +99,21 @@ SELECT c.user_id, round(coalesce(max(mean_cos) FILTER (WHERE v.label), 0), 6) AS
   round(coalesce(max(mean_cos) FILTER (WHERE v.label), 0) - coalesce(max(mean_cos) FILTER (WHERE NOT v.label), 0), 6) AS cos_gap
 FROM cand c LEFT JOIN v ON v.user_id = c.user_id GROUP BY c.user_id""")
 def semantic_features(spark, sf_dir):
-    df = features.semantic(candidates(spark, sf_dir), canonical.item_embeddings(spark, sf_dir))
+    df = features.semantic(candidates(spark, sf_dir), canonical.item_vectors(spark, sf_dir))
     return df.select("user_id", *[F.round(c, 6).alias(c) for c in df.columns if c != "user_id"])
 
 
 @query(f"""{_SIM}, r AS (SELECT user_id, label, app_id, pos, coalesce(sim, -1.0) AS sim, row_number() OVER (PARTITION BY user_id, label ORDER BY coalesce(sim, -1.0) DESC, pos) - 1 AS place FROM sim WHERE app_id <> target_app_id)
 SELECT user_id, label, place, app_id, pos, round(sim, 6) AS sim FROM r WHERE place < 5""")
 def retrieved_topk(spark, sf_dir):
-    return features.retrieved(candidates(spark, sf_dir), canonical.item_embeddings(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+    return features.retrieved(candidates(spark, sf_dir), canonical.item_vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""{_SIM}, r AS (SELECT user_id, label, row_number() OVER (PARTITION BY user_id, label ORDER BY coalesce(sim, -1.0) DESC, pos) AS place FROM sim WHERE app_id <> target_app_id),
 n AS (SELECT user_id, count(*) FILTER (WHERE label AND place <= 5) AS l, count(*) FILTER (WHERE NOT label AND place <= 5) AS d FROM r GROUP BY user_id)
 SELECT count(*) FILTER (WHERE l > 0) AS with_liked, count(*) FILTER (WHERE d > 0) AS with_disliked, round(avg(l), 6) AS mean_liked, round(avg(d), 6) AS mean_disliked FROM n""")
 def retrieval_stats(spark, sf_dir):
-    r = features.retrieved(candidates(spark, sf_dir), canonical.item_embeddings(spark, sf_dir))
+    r = features.retrieved(candidates(spark, sf_dir), canonical.item_vectors(spark, sf_dir))
     n = r.groupBy("user_id").agg(F.count_if("label").alias("l"), F.count_if(~F.col("label")).alias("d"))
     return n.agg(F.count_if(F.col("l") > 0).alias("with_liked"), F.count_if(F.col("d") > 0).alias("with_disliked"), F.round(F.avg("l"), 6).alias("mean_liked"), F.round(F.avg("d"), 6).alias("mean_disliked"))
 
@@ -136,7 +136,7 @@ l AS (SELECT r.user_id, label, place, '- similarity=' || printf('%.4f', r.sim) |
 g AS (SELECT user_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE label) AS l, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT label) AS d FROM l GROUP BY user_id)
 SELECT c.user_id, 'Similar liked items:' || chr(10) || coalesce(l, 'No similar liked items found.') || chr(10) || 'Similar disliked items:' || chr(10) || coalesce(d, 'No similar disliked items found.') AS input_text FROM cand c LEFT JOIN g USING (user_id)""")
 def retrieved_prompts(spark, sf_dir):
-    return features.retrieved_prompts(candidates(spark, sf_dir), canonical.item_embeddings(spark, sf_dir), canonical.items(spark, sf_dir))
+    return features.retrieved_prompts(candidates(spark, sf_dir), canonical.item_vectors(spark, sf_dir), canonical.items(spark, sf_dir))
 
 
 @query("""WITH d AS (SELECT doc_id, quality, text FROM labels JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY length(text), doc_id) AS r FROM d),
@@ -164,7 +164,8 @@ def known_item_coverage(spark, sf_dir):
 
 @query(f"""WITH {SPLIT} SELECT user_id, 'sample_' || lpad(CAST(row_number() OVER (ORDER BY split, label, target_date, user_id) - 1 AS VARCHAR), 6, '0') AS sample_id FROM split""")
 def sample_ids(spark, sf_dir):
-    return history.with_sample_id(splits(spark, sf_dir), ["split", "label", "target_date", "user_id"]).select("user_id", "sample_id")
+    order = ["split", "label", "target_date", "user_id"]
+    return history.with_sample_id(splits(spark, sf_dir).select(*order), order).select("user_id", "sample_id")
 
 
 @query("""WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1), v AS (SELECT 'doc_id' AS "column", 'bigint' AS type, CAST(doc_id AS VARCHAR) AS value FROM f UNION ALL SELECT 'text', 'string', text FROM f UNION ALL SELECT 'lang', 'string', lang FROM f UNION ALL SELECT 'source', 'string', source FROM f UNION ALL SELECT 'n_chars', 'bigint', CAST(n_chars AS VARCHAR) FROM f)

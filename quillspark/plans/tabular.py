@@ -60,6 +60,7 @@ def encoded_targets(spark, sf_dir):
 
 
 def encodings(s: DataFrame) -> DataFrame:
+    s = s.select("user_id", "target_app_id", "label", "split")
     train, rest = s.where("split = 'train'"), s.where("split != 'train'")
     folded = encoding.encode_out_of_fold(sampling.folds(train, "label", 5, "user_id", "oof"), item="target_app_id")
     return folded.select("user_id", *tabular.POPULARITY).unionByName(encoding.encode(rest, train, item="target_app_id").select("user_id", *tabular.POPULARITY))
@@ -81,7 +82,7 @@ def model_frame(spark, sf_dir) -> DataFrame:
     """user_id, split, label and all 37 features."""
     s = staged(splits(spark, sf_dir), "splits")
     numbers = tabular.tabular(enriched(spark, sf_dir, s))
-    vectors = features.semantic(s, canonical.item_embeddings(spark, sf_dir))
+    vectors = features.semantic(s, canonical.item_vectors(spark, sf_dir))
     return s.select("user_id", "split", "label").join(numbers, "user_id").join(encodings(s), "user_id").join(in_sample(s), "user_id").join(vectors, "user_id")
 
 

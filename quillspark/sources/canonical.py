@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class SharedVectors(NamedTuple):
+    """Vectors that items share: keys has (app_id, vec_id), vectors (vec_id, embedding)."""
+
+    keys: DataFrame
+    vectors: DataFrame
+
+
+def item_vectors(spark: SparkSession, sf_dir: str, most_bytes: int = 64 << 20) -> SharedVectors:
+    """item_embeddings without a copy of a vector for each item; the vectors are broadcast if they are counted to be few enough."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0)) * 4 + F.count("*") * 32).alias("bytes")).first()
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("app_id"), F.expr(f"try_mod(p_partkey, {n['n']})").alias("vec_id"))
+    return SharedVectors(keys, F.broadcast(vectors) if n["bytes"] <= most_bytes else vectors)
+
+
 def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(app_id, embedding): items share the vectors, item k has vector k modulo their number."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
