@@ -2,7 +2,8 @@
 
 Rows are coded once: each feature by the quantile bin that it falls into, in blocks of some thousand rows. A tree
 grows level by level; for each level every task sums the gradients of its rows by (node, feature, bin) and sends these
-arrays only, whose size doesn't depend on the rows; they are added on the executors, and the driver picks the splits.
+arrays only, whose size doesn't depend on the rows; a few tasks add them by feature and choose the best splits, and only
+these come to the driver. There are no more tasks than cores, so that what is sent doesn't grow with the rows.
 Sums are of whole numbers (gradients in units of 2 ** -20), so a forest is the same however the rows are dealt.
 
 A task's scores of its rows are a cache in the Python worker, with the number of trees in it: trees that are missing
@@ -13,10 +14,10 @@ patience rounds, and the trees after the best round are dropped (one tree stays
 
 from __future__ import annotations
 
+import operator
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from quillspark.sources.stage import staged
 UNIT, STEPS = float(1 << 20), 1 << 12
 BLOCK_ROWS = 1 << 14
 TASK_ROWS = 1 << 17  # a task has about so many rows
-FEW_TASKS = 16  # so many tasks' sums are added on the driver, more on the executors first
+CHOOSERS = 4  # so many tasks add the sums of a level and choose its splits
 TRAIN, VAL, REST = 0, 1, 2
 
 
@@ -141,19 +142,18 @@ def _scores(run: str, block: str, model: str, trees: list[Tree], base: float, co
     return score
 
 
-def _counts(run: str, names: list[str], models: list[tuple], bins: int):
-    """Blocks -> for each model the sums (nodes, features, bins; gradients, curvatures, rows) and the counts of the AUC."""
+def _counts(run: str, names: list[str], models: list[tuple]):
+    """Blocks -> ((model, feature), sums by node and bin of gradients, curvatures and, for unsymmetric trees, rows) and ((model, -1), counts of the AUC)."""
 
-    def work(blocks: Iterator) -> Iterator[list]:
+    def work(blocks: Iterator) -> Iterator[tuple]:
         for key in [k for k in _HELD if k[0] != run]:
             del _HELD[key]
-        total = None
+        total: dict = {}
         for block, (n, raw, y, part) in blocks:
             codes = np.frombuffer(raw, np.uint8).reshape(len(names), n)
             y, part = np.frombuffer(y, np.uint8), np.frombuffer(part, np.uint8)
             train = part == TRAIN
-            one = []
-            for name, pick, base, old, new, tree, open_, first in models:
+            for m, (name, pick, bins, spec, base, old, new, tree, open_, first) in enumerate(models):
                 mine = codes[pick]
                 score = _scores(run, block, name, [*old.value, *new] if old else new, base, mine)
                 p = 1 / (1 + np.exp(-score))
@@ -162,21 +162,16 @@ def _counts(run: str, names: list[str], models: list[tuple], bins: int):
                 slot[open_] = np.arange(len(open_))
                 rows = np.flatnonzero(train & (slot[at] >= 0))
                 g, h = np.rint((p - y)[rows] * UNIT), np.rint((p * (1 - p))[rows] * UNIT)
-                cell = slot[at[rows]] * bins
-                sums = np.zeros((len(open_), len(pick), bins, 3))
-                for f in range(len(pick)):
-                    key = cell + mine[f, rows]
-                    for k, w in enumerate((g, h, None)):
-                        sums[:, f, :, k] = np.bincount(key, w, len(open_) * bins).reshape(len(open_), bins)
-                auc = np.zeros((2, STEPS))
+                weights = (g, h) if spec.symmetric else (g, h, None)
+                for f, width in enumerate(bins):
+                    key = slot[at[rows]] * width + mine[f, rows]
+                    sums = np.stack([np.bincount(key, w, len(open_) * width).reshape(len(open_), width) for w in weights], axis=2).astype(float)
+                    total[m, f] = total[m, f] + sums if (m, f) in total else sums
                 if first:
                     place = np.minimum((p * STEPS).astype(np.int64), STEPS - 1)
-                    for k in (0, 1):
-                        auc[k] = np.bincount(place[(part == VAL) & (y == k)], minlength=STEPS)
-                one.append((sums, auc))
-            total = one if total is None else [(a + c, b + d) for (a, b), (c, d) in zip(total, one)]
-        if total is not None:
-            yield total
+                    auc = np.stack([np.bincount(place[(part == VAL) & (y == k)], minlength=STEPS) for k in (0, 1)])
+                    total[m, -1] = total[m, -1] + auc if (m, -1) in total else auc
+        yield from total.items()
 
     return work
 
@@ -189,45 +184,74 @@ def auc_of(counts: np.ndarray) -> float:
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (neg.sum() * pos.sum()))
 
 
-def _gains(sums: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """(node, feature, border): what each split gains, and the sums on its left side."""
-    left = np.cumsum(sums, axis=2)[:, :, :-1]
-    whole = sums.sum(axis=2)[:, :, None]
+def _best(sums: np.ndarray, feature: int, spec: Spec) -> tuple:
+    """Of one feature's sums (node, bin): for each node the gain of its best split, feature, border and the left side's sums; the node's sums; the gain of all (of symmetric trees: by one border)."""
+    left = np.cumsum(sums, axis=1)[:, :-1]
+    whole = sums.sum(axis=1)[:, None]
     quality = lambda s: s[..., 0] ** 2 / (s[..., 1] + spec.l2 * UNIT)
     right = whole - left
     gain = (quality(left) + quality(right) - quality(whole)) / UNIT
-    allowed = (left[..., 2] >= spec.least_rows) & (right[..., 2] >= spec.least_rows)
-    return (gain if spec.symmetric else np.where(allowed, gain, -np.inf)), left
+    node = np.arange(len(sums))
+    if spec.symmetric:
+        total = gain.sum(axis=0)
+        border = np.full(len(sums), int(total.argmax()))
+    else:
+        allowed = (left[..., 2] >= spec.least_rows) & (right[..., 2] >= spec.least_rows)
+        gain = np.where(allowed, gain, -np.inf)
+        border = gain.argmax(axis=1)
+    found = gain[node, border]
+    return found, np.full(len(sums), feature), border, left[node, border, :2], whole[:, 0, :2], float(total.max()) if spec.symmetric else 0.0
+
+
+def _better(a: tuple | None, b: tuple, spec: Spec) -> tuple:
+    """The better splits of two of _best's results; the first feature of equal ones."""
+    if a is None:
+        return b
+    if spec.symmetric:
+        return max(a, b, key=lambda x: (x[5], -x[1][0]))
+    take = (b[0] > a[0]) | ((b[0] == a[0]) & (b[1] < a[1]))
+    return (*[np.where(take.reshape(-1, *[1] * (x.ndim - 1)), y, x) for x, y in zip(a[:4], b[:4])], a[4], 0.0)
+
+
+def _chosen(specs: list[Spec]):
+    """Whole sums by (model, feature) -> (model, AUC or None, best splits or None), a row for each model."""
+
+    def work(entries: Iterator) -> Iterator[tuple]:
+        auc, best = {}, {}
+        for (m, f), sums in entries:
+            if f < 0:
+                auc[m] = auc_of(sums)
+            else:
+                best[m] = _better(best.get(m), _best(sums, f, specs[m]), specs[m])
+        for m in sorted({*auc, *best}):
+            yield m, auc.get(m), best.get(m)
+
+    return work
 
 
 def _leaf(s: np.ndarray, spec: Spec) -> float:
     return float(-spec.step * s[0] / (s[1] + spec.l2 * UNIT))
 
 
-def _grow(tree: Tree, open_: list[int], sums: np.ndarray, spec: Spec, level: int) -> list[int]:
-    """Splits the open nodes by their sums; the nodes to be opened next."""
-    gain, left = _gains(sums, spec)
-    whole = sums[:, 0].sum(axis=1)
+def _grow(tree: Tree, open_: list[int], best: tuple, spec: Spec, level: int) -> list[int]:
+    """Splits the open nodes by their best splits; the nodes to be opened next."""
+    gain, feature, border, left, whole, total = best
     opened: list[int] = []
 
-    def split(k: int, f: int, b: int) -> None:
-        low = left[k, f, b]
-        opened.extend(tree.split(open_[k], f, b, (_leaf(low, spec), _leaf(whole[k] - low, spec))))
-        tree.gain[f] = tree.gain.get(f, 0.0) + float(gain[k, f, b])
+    def split(k: int) -> None:
+        f = int(feature[k])
+        opened.extend(tree.split(open_[k], f, int(border[k]), (_leaf(left[k], spec), _leaf(whole[k] - left[k], spec))))
+        tree.gain[f] = tree.gain.get(f, 0.0) + float(gain[k])
 
     if spec.symmetric:
-        total = gain.sum(axis=0)
-        f, b = np.unravel_index(int(total.argmax()), total.shape)
-        if total[f, b] > 1e-9:
+        if total > 1e-9:
             for k in range(len(open_)):
-                split(k, int(f), int(b))
+                split(k)
     else:
-        flat = gain.reshape(len(open_), -1)
-        best = flat.argmax(axis=1)
         room = spec.leaves - sum(f < 0 for f in tree.feature)
-        for k in sorted(range(len(open_)), key=lambda k: -flat[k, best[k]])[: max(0, room)]:
-            if flat[k, best[k]] > 1e-9:
-                split(k, *map(int, np.unravel_index(best[k], gain.shape[1:])))
+        for k in sorted(range(len(open_)), key=lambda k: -gain[k])[: max(0, room)]:
+            if gain[k] > 1e-9:
+                split(k)
     return opened if level + 1 < spec.depth else []
 
 
@@ -238,7 +262,7 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
     blocks = staged(coded_blocks(rows, borders, label, part), "coded-rows")
     context = rows.sparkSession.sparkContext
     size = blocks.agg(F.sum("n")).first()[0] or 0
-    held = blocks.coalesce(max(1, size // TASK_ROWS)).rdd.zipWithUniqueId().map(lambda r: (r[1], (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
+    held = blocks.coalesce(max(1, min(size // TASK_ROWS, context.defaultParallelism))).rdd.zipWithUniqueId().map(lambda r: (r[1], (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
     tasks = held.getNumPartitions()
     run = uuid.uuid4().hex
     ones = rows.where(F.col(part) == TRAIN).agg(F.avg(F.col(label).cast("int"))).first()[0]
@@ -247,7 +271,6 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
     forests = {s.name: Forest(s, base, [borders[f] for f in s.features], [], []) for s in specs}
     sent: dict = {s.name: (None, 0) for s in specs}  # trees that a broadcast holds, and how many
     growing = {s.name: (Tree(), [0], 0) for s in specs}
-    add = lambda x, y: [(a + c, b + d) for (a, b), (c, d) in zip(x, y)]
     while growing:
         models = []
         for name, (tree, open_, level) in growing.items():
@@ -255,18 +278,23 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
             if len(f.trees) - sent[name][1] >= 50:
                 sent[name] = (context.broadcast(list(f.trees)), len(f.trees))
             old, n = sent[name]
-            models.append((name, [names.index(x) for x in f.spec.features], base, old, f.trees[n:], tree, open_, level == 0))
-        of_tasks = held.mapPartitions(_counts(run, names, models, bins))
-        sums = reduce(add, of_tasks.collect()) if tasks <= FEW_TASKS else of_tasks.treeReduce(add)
-        for name, (total, auc) in zip(list(growing), sums):
+            models.append((name, [names.index(x) for x in f.spec.features], [len(b) + 2 for b in f.borders], f.spec, base, old, f.trees[n:], tree, open_, level == 0))
+        sums = held.mapPartitions(_counts(run, names, models))
+        sums = sums.reduceByKey(operator.add, min(tasks, CHOOSERS)) if tasks > 1 else sums
+        asked = [m[3] for m in models]
+        auc, best = {}, {}
+        for m, a, b in sums.mapPartitions(_chosen(asked)).collect():  # a row for each model and chooser
+            auc |= {m: a} if a is not None else {}
+            best |= {m: _better(best.get(m), b, asked[m])} if b is not None else {}
+        for m, name in enumerate(list(growing)):
             f, (tree, open_, level) = forests[name], growing[name]
             if level == 0:
-                f.auc.append(auc_of(auc))
+                f.auc.append(auc.get(m, 0.5))
                 late = f.spec.patience is not None and len(f.trees) - f.best_round() >= f.spec.patience
                 if late or len(f.trees) >= f.spec.rounds:
                     del growing[name]
                     continue
-            if opened := _grow(tree, open_, total, f.spec, level):
+            if m in best and (opened := _grow(tree, open_, best[m], f.spec, level)):
                 growing[name] = (tree, opened, level + 1)
             elif len(tree.feature) > 1:
                 f.trees.append(tree)
