@@ -149,4 +149,5 @@ SELECT c.user_id, CASE WHEN c.label THEN 'Yes' ELSE 'No' END AS output_text, {wh
 
 @query(_prompts_sql())
 def prompt_versions(spark, sf_dir):
-    return prompts.versions(enriched(spark, sf_dir, candidates(spark, sf_dir)))
+    items = canonical.items(spark, sf_dir).join(canonical.item_details(spark, sf_dir).select("app_id", "description"), "app_id", "left")
+    return prompts.versions_of_items(candidates(spark, sf_dir), items)
