@@ -67,17 +67,20 @@ def rank_fraction_split(candidates: DataFrame, shares: tuple[str, str] = ("0.8",
 
 
 def with_items(samples: DataFrame, items: DataFrame, key: str = "user_id", fields: tuple[str, ...] = ("game_title", "tags", "genres")) -> DataFrame:
-    """Target columns (target_*) and parallel history arrays (history_*) from the item dimension.
+    """Target columns (target_*) and parallel history arrays (history_*) from the item dimension."""
+    t = items.select(F.col("app_id").alias("target_app_id"), *[F.col(f).alias(f"target_{f}") for f in fields])
+    return samples.join(t, "target_app_id", "left").join(gathered(samples, items, key, fields), key, "left")
+
+
+def gathered(samples: DataFrame, items: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key and the fields of the history's items as parallel arrays (history_*).
 
     The history is exploded with its positions, joined, and gathered again by the sample's key alone.
     """
-    t = items.select(F.col("app_id").alias("target_app_id"), *[F.col(f).alias(f"target_{f}") for f in fields])
-    out = samples.join(t, "target_app_id", "left")
     e = samples.select(key, F.posexplode_outer("history").alias("pos", "h")).withColumn("app_id", F.col("h.app_id"))
     e = e.join(items.select("app_id", *fields), "app_id", "left")
-    gathered = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_h"))
-    gathered = gathered.select(key, *[_field("_h", f).alias(f"history_{f}") for f in fields])
-    return out.join(gathered, key, "left")
+    g = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_h"))
+    return g.select(key, *[_field("_h", f).alias(f"history_{f}") for f in fields])
 
 
 def with_sample_id(samples: DataFrame, order: list[str], prefix: str = "sample") -> DataFrame:

@@ -37,11 +37,17 @@ def _tokens(c: Column) -> Column:
     return tokens.parse(text.collapse(c), "[,;|]", lowercase=True, drop=PLATFORM_TOKENS)
 
 
+def length(c: Column) -> Column:
+    """Characters of a text whose white space is collapsed."""
+    return F.length(text.collapse(c)).cast("long")
+
+
 def tabular(enriched: DataFrame) -> DataFrame:
     """user_id and the features of BASE.
 
     enriched has history (array of app_id, date, label, hours), the parallel history_tags and history_genres, and the
-    target's game_title, tags, genres, categories, description, price, required_age, dlc_count and release_date as target_*.
+    target's game_title, tags, genres, categories, description, price, required_age, dlc_count and release_date as target_*;
+    in place of game_title and description their lengths (game_title_len, description_len; null counts as 0) will do.
     Unknown hours are left out of the sums and means, and an item without tokens adds none.
     """
     of = lambda want: F.filter(F.transform(F.filter("history", lambda h: h["label"] == want), lambda h: h["hours"]), lambda x: x.isNotNull())
@@ -53,6 +59,7 @@ def tabular(enriched: DataFrame) -> DataFrame:
         "_disliked": said(False),
         "_target": F.array_distinct(F.concat(*[_tokens(F.col(f"target_{f}")) for f in ("tags", "genres", "categories")])),
     })
+    long = lambda c: F.coalesce(F.col(f"{c}_len"), F.lit(0).cast("long")) if f"{c}_len" in enriched.columns else length(F.col(c))
     n, liked = F.size("history"), F.size(F.filter("history", lambda h: h["label"]))
     hours, target = F.col("_hours"), F.col("_target")
     near, far = tokens.jaccard(target, F.col("_liked")), tokens.jaccard(target, F.col("_disliked"))
@@ -76,8 +83,8 @@ def tabular(enriched: DataFrame) -> DataFrame:
         "target_liked_jaccard": near,
         "target_disliked_jaccard": far,
         "target_jaccard_diff": near - far,
-        "target_description_len": F.length(text.collapse(F.col("target_description"))).cast("long"),
-        "target_title_len": F.length(text.collapse(F.col("target_game_title"))).cast("long"),
+        "target_description_len": long("target_description"),
+        "target_title_len": long("target_game_title"),
         "price": F.col("target_price"),
         "required_age": F.col("target_required_age"),
         "dlc_count": F.col("target_dlc_count"),

@@ -16,11 +16,16 @@ from quillspark.sources.stage import staged
 
 
 def enriched(spark, sf_dir, samples: DataFrame) -> DataFrame:
-    """Samples with titles, tags and genres of the history and all item columns of the target."""
-    items, details = canonical.items(spark, sf_dir), canonical.item_details(spark, sf_dir)
-    more = items.select("app_id", "categories", "price", "required_age").join(details, "app_id", "left")
-    more = more.select(F.col("app_id").alias("target_app_id"), *[F.col(c).alias(f"target_{c}") for c in more.columns if c != "app_id"])
-    return history.with_items(samples, items).join(more, "target_app_id", "left")
+    """What the tabular features take of samples: tags and genres of the history and the target's item columns, of its texts the lengths.
+
+    Texts are measured where they are read, and only keys go to the items: histories are dealt by user alone.
+    """
+    items = canonical.items(spark, sf_dir)
+    details = canonical.item_details(spark, sf_dir, tabular.length(F.col("text")).alias("description_len"))
+    told = items.withColumn("game_title_len", tabular.length(F.col("game_title"))).drop("game_title").join(details, "app_id", "left")
+    told = told.select(F.col("app_id").alias("target_app_id"), *[F.col(c).alias(f"target_{c}") for c in told.columns if c != "app_id"])
+    targets = samples.select("user_id", "target_app_id").join(told, "target_app_id", "left").drop("target_app_id")
+    return samples.select("user_id", "history").join(history.gathered(samples, items, "user_id", ("tags", "genres")), "user_id", "left").join(targets, "user_id")
 
 
 _OF_HISTORY = """n AS (SELECT user_id, count(*) AS history_len, count(*) FILTER (WHERE label) AS history_positive_count, count(*) FILTER (WHERE NOT label) AS history_negative_count,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class SharedVectors(NamedTuple):
-    """Vectors that items share: keys has (app_id, vec_id), vectors (vec_id, embedding)."""
+    """Vectors that items share: keys has (app_id, vec_id), vectors (vec_id, embedding), broadcast if they are few."""
 
     keys: DataFrame
     vectors: DataFrame
+    few: bool
 
 
 def item_vectors(spark: SparkSession, sf_dir: str, most_bytes: int = 64 << 20) -> SharedVectors:
@@ -53,7 +54,8 @@ def item_vectors(spark: SparkSession, sf_dir: str, most_bytes: int = 64 << 20) -
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = vectors.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0)) * 4 + F.count("*") * 32).alias("bytes")).first()
     keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("app_id"), F.expr(f"try_mod(p_partkey, {n['n']})").alias("vec_id"))
-    return SharedVectors(keys, F.broadcast(vectors) if n["bytes"] <= most_bytes else vectors)
+    few = n["bytes"] <= most_bytes
+    return SharedVectors(keys, F.broadcast(vectors) if few else vectors, few)
 
 
 def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +66,11 @@ def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.withColumn("vec_id", F.col("app_id") % F.col("n")).join(vectors, "vec_id").select("app_id", "embedding")
 
 
-def item_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app_id, description, dlc_count, release_date): whole texts of documents; parts have neither add-ons nor dates, so their sizes and keys stand in."""
+def item_details(spark: SparkSession, sf_dir: str, told: Column | None = None) -> DataFrame:
+    """(app_id, description, dlc_count, release_date): whole texts of documents, or what told makes of text before any join; parts have neither add-ons nor dates, so their sizes and keys stand in."""
+    told = F.col("text").alias("description") if told is None else told
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("app_id"), (F.col("p_size") % 4).alias("dlc_count"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("p_partkey") % 6000).cast("int")).alias("release_date"))
-    return part.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), F.col("text").alias("description")), "app_id", "left")
+    return part.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("app_id"), told), "app_id", "left")
 
 
 #: The same views for the DuckDB oracle, as common table expressions.
