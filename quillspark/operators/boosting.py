@@ -3,7 +3,9 @@
 Rows are coded once: each feature by the quantile bin that it falls into, in blocks of some thousand rows. A tree
 grows level by level; for each level every task sums the gradients of its rows by (node, feature, bin) and sends these
 arrays only, whose size doesn't depend on the rows; a few tasks add them by feature and choose the best splits, and only
-these come to the driver. There are no more tasks than cores, so that what is sent doesn't grow with the rows.
+these come to the driver. There are no more tasks than cores, so that what is sent doesn't grow with the rows. Validation
+rows have tasks of their own, which send counts of the AUC only, and other rows none; a task that has all training rows
+chooses the splits itself and sends no sums.
 Sums are of whole numbers (gradients in units of 2 ** -20), so a forest is the same however the rows are dealt.
 
 A task's scores of its rows are a cache in the Python worker, with the number of trees in it: trees that are missing
@@ -132,7 +134,7 @@ def coded_blocks(rows: DataFrame, borders: dict[str, list[float]], label: str, p
 _HELD: dict = {}  # scores of blocks, in this worker: (number of trees, scores), by (run, block, model)
 
 
-def _scores(run: str, block: str, model: str, trees: list[Tree], base: float, codes: np.ndarray) -> np.ndarray:
+def _scores(run: str, block: tuple, model: str, trees: list[Tree], base: float, codes: np.ndarray) -> np.ndarray:
     have, score = _HELD.get((run, block, model), (0, None))
     if score is None or have > len(trees):
         have, score = 0, np.full(codes.shape[1], base)
@@ -142,8 +144,10 @@ def _scores(run: str, block: str, model: str, trees: list[Tree], base: float, co
     return score
 
 
-def _counts(run: str, names: list[str], models: list[tuple]):
-    """Blocks -> ((model, feature), sums by node and bin of gradients, curvatures and, for unsymmetric trees, rows) and ((model, -1), counts of the AUC)."""
+def _counts(run: str, names: list[str], models: list[tuple], alone: bool = False):
+    """Blocks -> ((model, feature), sums by node and bin of gradients, curvatures and, for unsymmetric trees, rows) and ((model, -1), counts of the AUC).
+
+    Of sums that are whole, as one task has all training rows (alone), only the best splits go on: ((model, 0), _best's result)."""
 
     def work(blocks: Iterator) -> Iterator[tuple]:
         for key in [k for k in _HELD if k[0] != run]:
@@ -153,24 +157,33 @@ def _counts(run: str, names: list[str], models: list[tuple]):
             codes = np.frombuffer(raw, np.uint8).reshape(len(names), n)
             y, part = np.frombuffer(y, np.uint8), np.frombuffer(part, np.uint8)
             train = part == TRAIN
+            fit, judged = train.any(), (part == VAL).any()
             for m, (name, pick, bins, spec, base, old, new, tree, open_, first) in enumerate(models):
+                if not fit and not (first and judged):
+                    continue
                 mine = codes[pick]
                 score = _scores(run, block, name, [*old.value, *new] if old else new, base, mine)
                 p = 1 / (1 + np.exp(-score))
-                at = tree.place(mine)
-                slot = np.full(len(tree.feature), -1)
-                slot[open_] = np.arange(len(open_))
-                rows = np.flatnonzero(train & (slot[at] >= 0))
-                g, h = np.rint((p - y)[rows] * UNIT), np.rint((p * (1 - p))[rows] * UNIT)
-                weights = (g, h) if spec.symmetric else (g, h, None)
-                for f, width in enumerate(bins):
-                    key = slot[at[rows]] * width + mine[f, rows]
-                    sums = np.stack([np.bincount(key, w, len(open_) * width).reshape(len(open_), width) for w in weights], axis=2).astype(float)
-                    total[m, f] = total[m, f] + sums if (m, f) in total else sums
-                if first:
+                if fit:
+                    at = tree.place(mine)
+                    slot = np.full(len(tree.feature), -1)
+                    slot[open_] = np.arange(len(open_))
+                    rows = np.flatnonzero(train & (slot[at] >= 0))
+                    g, h = np.rint((p - y)[rows] * UNIT), np.rint((p * (1 - p))[rows] * UNIT)
+                    weights = (g, h) if spec.symmetric else (g, h, None)
+                    for f, width in enumerate(bins):
+                        key = slot[at[rows]] * width + mine[f, rows]
+                        sums = np.stack([np.bincount(key, w, len(open_) * width).reshape(len(open_), width) for w in weights], axis=2).astype(float)
+                        total[m, f] = total[m, f] + sums if (m, f) in total else sums
+                if first and judged:
                     place = np.minimum((p * STEPS).astype(np.int64), STEPS - 1)
                     auc = np.stack([np.bincount(place[(part == VAL) & (y == k)], minlength=STEPS) for k in (0, 1)])
                     total[m, -1] = total[m, -1] + auc if (m, -1) in total else auc
+        if alone:
+            best: dict = {}
+            for m, f in sorted(k for k in total if k[1] >= 0):
+                best[m] = _better(best.get(m), _best(total[m, f], f, models[m][3]), models[m][3])
+            total = {(m, 0): b for m, b in best.items()} | {k: c for k, c in total.items() if k[1] < 0}
         yield from total.items()
 
     return work
@@ -214,7 +227,7 @@ def _better(a: tuple | None, b: tuple, spec: Spec) -> tuple:
 
 
 def _chosen(specs: list[Spec]):
-    """Whole sums by (model, feature) -> (model, AUC or None, best splits or None), a row for each model."""
+    """Whole sums, or best splits, by (model, feature) -> (model, AUC or None, best splits or None), a row for each model."""
 
     def work(entries: Iterator) -> Iterator[tuple]:
         auc, best = {}, {}
@@ -222,7 +235,7 @@ def _chosen(specs: list[Spec]):
             if f < 0:
                 auc[m] = auc_of(sums)
             else:
-                best[m] = _better(best.get(m), _best(sums, f, specs[m]), specs[m])
+                best[m] = _better(best.get(m), sums if isinstance(sums, tuple) else _best(sums, f, specs[m]), specs[m])
         for m in sorted({*auc, *best}):
             yield m, auc.get(m), best.get(m)
 
@@ -255,15 +268,21 @@ def _grow(tree: Tree, open_: list[int], best: tuple, spec: Spec, level: int) ->
     return opened if level + 1 < spec.depth else []
 
 
+def _dealt(rows: DataFrame, borders: dict[str, list[float]], label: str, part: str, tag: int):
+    """The coded blocks of the rows with keys, (tag, number), kept, in a task for each TASK_ROWS rows, but in no more than there are cores."""
+    blocks = staged(coded_blocks(rows, borders, label, part), "coded-rows")
+    size = blocks.agg(F.sum("n")).first()[0] or 0
+    dealt = blocks.coalesce(max(1, min(size // TASK_ROWS, rows.sparkSession.sparkContext.defaultParallelism))).rdd
+    return dealt.zipWithUniqueId().map(lambda r: ((tag, r[1]), (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
+
+
 def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str = "part", bins: int = 64, borders: dict[str, list[float]] | None = None) -> dict[str, Forest]:
     """A forest for each spec, grown on the rows whose part is TRAIN; VAL rows say when to stop."""
     names = list(dict.fromkeys(f for s in specs for f in s.features))
     borders = borders or quantile_borders(rows.where(F.col(part) == TRAIN), names, bins)
-    blocks = staged(coded_blocks(rows, borders, label, part), "coded-rows")
     context = rows.sparkSession.sparkContext
-    size = blocks.agg(F.sum("n")).first()[0] or 0
-    held = blocks.coalesce(max(1, min(size // TASK_ROWS, context.defaultParallelism))).rdd.zipWithUniqueId().map(lambda r: (r[1], (r[0][0], bytes(r[0][1]), bytes(r[0][2]), bytes(r[0][3])))).persist()
-    tasks = held.getNumPartitions()
+    train, val = (_dealt(rows.where(F.col(part) == p), borders, label, part, p) for p in (TRAIN, VAL))
+    alone = train.getNumPartitions() == 1
     run = uuid.uuid4().hex
     ones = rows.where(F.col(part) == TRAIN).agg(F.avg(F.col(label).cast("int"))).first()[0]
     share = min(max(ones if ones is not None else 0.5, 1e-6), 1 - 1e-6)
@@ -279,8 +298,9 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
                 sent[name] = (context.broadcast(list(f.trees)), len(f.trees))
             old, n = sent[name]
             models.append((name, [names.index(x) for x in f.spec.features], [len(b) + 2 for b in f.borders], f.spec, base, old, f.trees[n:], tree, open_, level == 0))
-        sums = held.mapPartitions(_counts(run, names, models))
-        sums = sums.reduceByKey(operator.add, min(tasks, CHOOSERS)) if tasks > 1 else sums
+        judged = any(m[-1] for m in models)
+        sums = (context.union([train, val]) if judged else train).mapPartitions(_counts(run, names, models, alone))
+        sums = sums.reduceByKey(operator.add, CHOOSERS) if judged or not alone else sums
         asked = [m[3] for m in models]
         auc, best = {}, {}
         for m, a, b in sums.mapPartitions(_chosen(asked)).collect():  # a row for each model and chooser
@@ -301,7 +321,8 @@ def boost(rows: DataFrame, specs: list[Spec], label: str = "label", part: str =
                 growing[name] = (Tree(), [0], 0)
             else:  # nothing is left to gain
                 del growing[name]
-    held.unpersist()
+    train.unpersist()
+    val.unpersist()
     for f in forests.values():
         if f.spec.patience is not None:
             f.trees = f.trees[: f.best_round()]
