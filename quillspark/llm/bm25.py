@@ -3,10 +3,12 @@
 A word is a run of bytes other than white space, A-Z in lower case.
 
 Index: one pass over the documents writes shards of at most SHARD_DOCS documents: for each term its
-postings (document, frequency) in document order, the largest BM25 factor of the list, and for each block
-of BLOCK postings its largest factor and its last document. Factors are without idf, so that the shards
+postings (document, frequency) in document order and for each block of BLOCK postings its largest BM25
+factor; a block's last document and a list's largest factor are read off these. Factors are without idf, so that the shards
 don't depend on the queries; documents of a shard are ordered by length, as those of one length have alike
-factors. The index is written once; document frequencies are summed from it.
+factors. The index is written once; document frequencies are summed from it. A row of it has megabytes, so
+it is written in row groups of ROW_GROUP_BYTES and every step sends batches of BATCH_BYTES to Python: what
+an executor holds is a few shards a core, whatever the input.
 
 Search: queries become term lists with their weights (idf times how often the query has the term),
 written in groups of QUERY_GROUP. Groups and shards meet in blocks, a stated query set against all
@@ -31,11 +33,12 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import written
@@ -46,14 +49,39 @@ BLOCK, PRIMING, AHEAD = 32, 4, 16
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 300_000
 QUERY_GROUP = 1000
 BROADCAST_BYTES, BAR_GROUPS = 64 << 20, 32
+ROW_GROUP_BYTES, BATCH_BYTES = 8 << 20, 8 << 20
 _ROUND = 9
 
-_ARRAYS = ("doc_ids", "known", "lengths", "terms", "list_most", "first_posting", "first_block", "last", "most", "doc", "tf")
+_ARRAYS = ("doc_ids", "known", "lengths", "terms", "sizes", "most", "doc", "tf")
 _SHARD = pa.schema([("shard", pa.int64())] + [(c, pa.binary()) for c in _ARRAYS])
 _QUERY = ("query_ids", "query_known", "bounds", "query_terms", "weights")
 _SHARD_DDL = ", ".join(["shard long", *(f"{c} binary" for c in _ARRAYS)])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The jobs that run within send batches of BATCH_BYTES, and a row at most beyond, to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written in row groups of ROW_GROUP_BYTES, looked at from the first row on: by default Parquet's writer gathers 100 rows before it
+    looks, and its reader takes a row group at a time."""
+    return written(df, name, options={"parquet.enable.dictionary": "false", "parquet.block.size": ROW_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield batch.slice(r, 1).to_pylist()[0]
+
+
 def statistics(docs: DataFrame) -> tuple[int, float]:
     """Number of documents and their mean length in words."""
 
@@ -81,6 +109,13 @@ def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(int(size.sum())) + (first - (np.cumsum(size) - size))[which], which
 
 
+def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first posting and the first block of each list of so many postings, one more at the end, and the first posting of each block."""
+    first_posting, first_block = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (sizes, -(-sizes // BLOCK)))
+    block, of = _ranges(first_block[:-1], first_block[1:])
+    return first_posting, first_block, first_posting[of] + BLOCK * (block - first_block[of])
+
+
 def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float) -> tuple:
     """parts: (term, document, frequency, length of that document) of postings. Documents are put in order of
     length, as those of one length have alike factors, so that a block's largest is near the others."""
@@ -96,20 +131,13 @@ def _shard(number: int, ids: list[int | None], parts: list[tuple], mean: float)
     term, doc, tf, length = term[order], doc[order], tf[order], length[order]
     new_term = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
     lists = np.flatnonzero(new_term)
-    first_posting = np.append(lists, len(term))
-    first_block = np.concatenate([[0], np.cumsum(-(-np.diff(first_posting) // BLOCK))])
-    blocks = _ranges(first_block[:-1], first_block[1:])[1]  # the list of each block
-    at = lists[blocks] + BLOCK * (np.arange(len(blocks)) - first_block[blocks])
-    factor = factors(tf, length, mean)
-
-    def most(at: np.ndarray) -> bytes:
-        top = np.maximum.reduceat(factor, at) if len(at) else np.empty(0)
-        return np.nextafter(top.astype("<f4"), np.float32(np.inf)).tobytes()  # never below
-
+    sizes = np.diff(np.append(lists, len(term)))
+    at = _blocks(sizes)[2]
+    top = np.maximum.reduceat(factors(tf, length, mean), at) if len(at) else np.empty(0)
     return (
-        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.astype("<i4").tobytes(),
-        term[lists].tobytes(), most(lists), first_posting.astype("<i4").tobytes(), first_block.astype("<i4").tobytes(),
-        doc[np.append(at[1:], len(term))[: len(at)] - 1].astype("<u2").tobytes(), most(at), doc.astype("<u2").tobytes(), tf.astype("<i4").tobytes(),
+        number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.astype("<i4").tobytes(), term[lists].tobytes(), sizes.astype("<u2").tobytes(),
+        np.nextafter(top.astype("<f4"), np.float32(np.inf)).tobytes(),  # never below
+        doc.astype("<u2").tobytes(), tf.astype("<u2" if len(tf) == 0 or tf.max() < 1 << 16 else "<i4").tobytes(),
     )
 
 
@@ -139,7 +167,7 @@ def build_index(docs: DataFrame, mean: float) -> DataFrame:
         if ids:
             yield out()
 
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, _SHARD_DDL), "bm25-index")
+    return _written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, _SHARD_DDL), "bm25-index")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -147,10 +175,10 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, first_posting in zip(batch["terms"].to_pylist(), batch["first_posting"].to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(first_posting, "<i4")).astype(np.int64))], names=["term", "n"])
+            for terms, sizes in zip(batch["terms"].to_pylist(), batch["sizes"].to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(sizes, "<u2").astype(np.int64))], names=["term", "n"])
 
-    return index.select("terms", "first_posting").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return index.select("terms", "sizes").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
@@ -184,7 +212,7 @@ def query_groups(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([group])] + [pa.array([x.tobytes()], pa.binary()) for x in row], names=["group", *_QUERY])
                 group += 1
 
-    return written(lists.mapInArrow(pack, ", ".join(["group long", *(f"{c} binary" for c in _QUERY)])), "bm25-queries")
+    return _written(lists.mapInArrow(pack, ", ".join(["group long", *(f"{c} binary" for c in _QUERY)])), "bm25-queries")
 
 
 class Shard:
@@ -194,14 +222,14 @@ class Shard:
     def __init__(self, row: dict, mean: float):
         self.mean, self.lengths = mean, np.frombuffer(row["lengths"], "<i4")
         self.doc_ids, self.known = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], np.uint8).astype(bool)
-        self.terms, self.list_most = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["list_most"], "<f4")
-        self.first_posting, self.first_block = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("first_posting", "first_block"))
-        self.last, self.most = np.frombuffer(row["last"], "<u2"), np.frombuffer(row["most"], "<f4")
-        self.doc, self.tf = np.frombuffer(row["doc"], "<u2"), np.frombuffer(row["tf"], "<i4")
+        self.terms, self.most, self.doc = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["most"], "<f4"), np.frombuffer(row["doc"], "<u2")
+        self.tf = np.frombuffer(row["tf"], "<u2" if len(row["tf"]) == len(row["doc"]) else "<i4")
+        self.first_posting, self.first_block, at = _blocks(np.frombuffer(row["sizes"], "<u2").astype(np.int64))
+        self.list_most = np.maximum.reduceat(self.most, self.first_block[:-1]) if len(self.terms) else self.most
         self.sorted = np.argsort(self.terms)
         number = np.arange(len(self.terms)) << 16  # (list, document) as one ascending key, for cursors of many lists
         self.keys = np.repeat(number, np.diff(self.first_posting)) + self.doc
-        self.block_keys = np.repeat(number, np.diff(self.first_block)) + self.last
+        self.block_keys = np.repeat(number, np.diff(self.first_block)) + self.doc[np.append(at[1:], len(self.doc))[: len(at)] - 1]
         self.touched = self.maxima = 0
 
     def lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +323,12 @@ def search(shard: Shard, terms: np.ndarray, weights: np.ndarray, k: int, bar: fl
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents (doc_id, text) of each query (query_id, text)."""
+    """query_id, doc_id, score, rank: the k best documents (doc_id, text) of each query (query_id, text), searched now and written."""
+    with small_batches(docs.sparkSession):
+        return written(_top_k(docs, queries, k), "bm25-found")
+
+
+def _top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n_docs, mean = statistics(docs)
     index = build_index(docs, mean)
     groups = query_groups(queries, index, n_docs)
@@ -304,27 +337,25 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shard = None
         bars: dict[int, list[np.ndarray]] = {}  # of each group, the best scores of its queries that this task has seen
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1).to_pylist()[0]
-                if shard is None or row["shard"] != number:
-                    number, shard = row["shard"], Shard(row, mean)
-                ids, known = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_known"], np.uint8)
-                bounds, terms, weights = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"])
-                best = bars.pop(row["group"], None) or [np.empty(0)] * len(ids)
-                out: list[list] = [[], [], []]
-                for q, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-                    found, scores = search(shard, terms[a:b], weights[a:b], k, float(best[q][-1]) if len(best[q]) == k else 0.0)
-                    order = np.lexsort((shard.doc_ids[found], shard.known[found], -scores))[:k]
-                    out[0] += [int(ids[q]) if known[q] else None] * len(order)
-                    out[1] += [int(shard.doc_ids[d]) if shard.known[d] else None for d in found[order]]
-                    out[2] += scores[order].tolist()
-                    best[q] = -np.sort(-np.concatenate([best[q], scores[order]]))[:k]
-                bars[row["group"]] = best
-                if len(bars) > BAR_GROUPS:
-                    del bars[next(iter(bars))]
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
+        for row in _rows(batches):
+            if shard is None or row["shard"] != number:
+                number, shard = row["shard"], Shard(row, mean)
+            ids, known = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_known"], np.uint8)
+            bounds, terms, weights = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"])
+            best = bars.pop(row["group"], None) or [np.empty(0)] * len(ids)
+            out: list[list] = [[], [], []]
+            for q, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                found, scores = search(shard, terms[a:b], weights[a:b], k, float(best[q][-1]) if len(best[q]) == k else 0.0)
+                order = np.lexsort((shard.doc_ids[found], shard.known[found], -scores))[:k]
+                out[0] += [int(ids[q]) if known[q] else None] * len(order)
+                out[1] += [int(shard.doc_ids[d]) if shard.known[d] else None for d in found[order]]
+                out[2] += scores[order].tolist()
+                best[q] = -np.sort(-np.concatenate([best[q], scores[order]]))[:k]
+            bars[row["group"]] = best
+            if len(bars) > BAR_GROUPS:
+                del bars[next(iter(bars))]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
 
     # Groups of the stated queries, in blocks, against all shards.
     size = groups.agg(F.sum(reduce(lambda x, y: x + y, [F.length(c) for c in _QUERY]))).first()[0] or 0

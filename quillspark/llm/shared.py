@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.sources.stage import shared_dir
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: list[str] | None = None, options: dict | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts the lineage and survives lost executors. options: of the writer."""
     path = f"{shared_dir(df.sparkSession)}/quill/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.options(**(options or {})).option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
